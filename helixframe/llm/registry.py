@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from helixframe.llm import mixing
+from helixframe.llm import chat, mixing
 
-QUERIES = {"op9_source_mix": mixing.op9_source_mix}
-ORACLES = {"op9_source_mix": mixing.ORACLE}
+QUERIES = {
+    "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
+    "op9_source_mix": mixing.op9_source_mix,
+}
+ORACLES = {
+    "op2_chat_prefix_targets": chat.ORACLE,
+    "op9_source_mix": mixing.ORACLE,
+}
 
 
 def queries():
