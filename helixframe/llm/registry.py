@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from helixframe.llm import chat, mixing
+from helixframe.llm import chat, mixing, warc
 
 QUERIES = {
+    "op1_warc_zip": warc.op1_warc_zip,
     "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
     "op9_source_mix": mixing.op9_source_mix,
 }
 ORACLES = {
+    "op1_warc_zip": warc.ORACLE,
     "op2_chat_prefix_targets": chat.ORACLE,
     "op9_source_mix": mixing.ORACLE,
 }
