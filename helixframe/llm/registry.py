@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from helixframe.llm import bagminhash, chat, mixing, warc
+from helixframe.llm import bagminhash, chat, mixing, packing, warc
 
 QUERIES = {
     "op1_warc_zip": warc.op1_warc_zip,
     "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op7_bagminhash": bagminhash.op7_bagminhash,
     "op9_source_mix": mixing.op9_source_mix,
 }
