@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from helixframe.llm import bagminhash, chat, mixing, packing, warc
+from helixframe.llm import bagminhash, chat, langid, mixing, packing, warc
 
 QUERIES = {
     "op1_warc_zip": warc.op1_warc_zip,
     "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_language_families": langid.op5_language_families,
     "op7_bagminhash": bagminhash.op7_bagminhash,
     "op9_source_mix": mixing.op9_source_mix,
 }
