@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from helixframe.llm import bagminhash, chat, langid, mixing, packing, warc
+import corpus_pipeline
+from helixframe.llm import bagminhash, chat, langid, mixing, packing, secrets, warc
 
 QUERIES = {
     "op1_warc_zip": warc.op1_warc_zip,
@@ -10,7 +11,9 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_language_families": langid.op5_language_families,
     "op7_bagminhash": bagminhash.op7_bagminhash,
+    "op8_secret_forest": secrets.op8_secret_forest,
     "op9_source_mix": mixing.op9_source_mix,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_warc_zip": warc.ORACLE,
