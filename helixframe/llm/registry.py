@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from helixframe.llm import bagminhash, chat, langid, mixing, packing, secrets, warc
+from helixframe.llm import bagminhash, chat, langid, mixing, packing, secrets, toxicity, warc
 
 QUERIES = {
     "op1_warc_zip": warc.op1_warc_zip,
     "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_toxic_neighbours": toxicity.op4_toxic_neighbours,
     "op5_language_families": langid.op5_language_families,
     "op7_bagminhash": bagminhash.op7_bagminhash,
     "op8_secret_forest": secrets.op8_secret_forest,
