@@ -12,9 +12,10 @@ agree in it with probability equal to their similarity.  Points are drawn up to
 all components are likely filled; the few texts that have gaps are drawn again to a later one, which changes no value.
 
 Bands of the signature propose pairs.  Exact copies are one vertex.  In a bucket every
-member is compared with the smallest id; a pair of other members is compared only if one of them
-failed that test, the triangle inequality of the Jaccard distance leaves the pair a chance and no link joins the two already.
-So tight groups cost linear work, and no proposed link between classes is lost.
+member is compared with the smallest id, so tight groups cost linear work.  Where a member
+fails that test and the bucket still holds several components, failed members meet all other members, block
+by block as matrices of shared elements; only links that join components leave such a task, so that no
+class is lost and no list of pairs is made.
 
 Nulls and edge cases: texts that are null or have no word link with nothing; so do rows with a null
 doc_id; repeated rows are copies; a doc_id is taken to name one text; an empty table gives an
@@ -41,6 +42,8 @@ BANDS, ROWS = 20, 6
 #: Ids of up to this many candidate documents are broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 1_000_000
 MEMBERS_A_TASK = 256
+#: A large bucket is dealt into blocks of about so many members and bytes of multisets.
+BLOCK_MEMBERS, BLOCK_BYTES = 400, 16 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -93,7 +96,7 @@ def _draw(out: np.ndarray, owner: np.ndarray, element: np.ndarray, weight: np.nd
         step = 0
         while len(own):
             step += 1
-            draw = mix(seed + np.uint64(step) * np.uint64(0xD6E8FEB86659FD93))
+            draw = mix(seed + np.uint64(step * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
             time = time - np.log(((draw >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) / width
             live = time <= horizon[own]
             own, wide, time, seed, draw = own[live], wide[live], time[live], seed[live], draw[live]
@@ -189,6 +192,80 @@ def verify(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(_compare, "a long, b long, sim double"), "pair-sims")
 
 
+def _units(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Multisets as sets: a hash of each element and copy number, and the multiset of each."""
+    parts = [unpack(x) for x in bags]
+    weight = np.concatenate([w for _, w in parts]).astype(np.int64)
+    owner = np.repeat(np.repeat(np.arange(len(parts)), [len(e) for e, _ in parts]), weight)
+    copy = np.arange(len(owner)) - np.repeat(np.cumsum(weight) - weight, weight)
+    element = np.repeat(np.concatenate([e for e, _ in parts]), weight)
+    return mix(element + copy.astype(np.uint64) * _ODD[0]), owner
+
+
+def block_links(reps: list[int], bags: list[bytes], component: list[int], tested: np.ndarray, block: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join components, between members of ``tested`` and all members (of the other block, if there are two)."""
+    unit, owner = _units(bags)
+    size = np.bincount(owner, minlength=len(bags)).astype(np.float64)
+    _, unit, shared = np.unique(unit, return_inverse=True, return_counts=True)
+    good = shared[unit] > 1
+    unit, owner = unit[good], owner[good]
+    order = np.argsort(unit, kind="stable")
+    unit, owner = unit[order], owner[order]
+    unit = np.cumsum(np.concatenate([[0], unit[1:] != unit[:-1]])) if len(unit) else unit
+    rows = np.flatnonzero(tested)
+    both = np.zeros((len(rows), len(bags)))
+    width = 4096
+    for low in range(0, int(unit[-1]) + 1 if len(unit) else 0, width):
+        a, b = np.searchsorted(unit, (low, low + width))
+        dense = np.zeros((len(bags), width), np.float32)
+        dense[owner[a:b], unit[a:b] - low] = 1
+        both += dense[rows] @ dense.T
+    near = both >= similarity * (size[rows, None] + size[None, :] - both) - 1e-9
+    if block.min() != block.max():
+        near &= block[rows, None] != block[None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(near)):
+        i = rows[i]
+        a, b = root(component[i]), root(component[j])
+        if a != b:
+            parent[a] = b
+            out.append((reps[i], reps[j]))
+    return out
+
+
+def link_rest(known: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Links between components that share a bucket in which some member failed against the hub.
+
+    ``known(bucket, rep, failed, component)``.  A large bucket is dealt into blocks, every two of which meet
+    in one task as matrices of shared elements; no pair leaves the task unless it joins components.
+    """
+    sized = known.join(bags.select(F.col("doc_id").alias("rep"), F.length("bag").alias("bytes")), "rep")
+    open_ = sized.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.max("failed").alias("failed"), F.min("component").alias("c0"), F.max("component").alias("c1")
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    open_ = cut(open_.where("failed and c0 <> c1").select("bucket", blocks.alias("blocks")), "bag-open")
+    rows = known.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "rep", "failed", "component")
+    rows = cut(rows, "bag-blocks").join(bags.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def link(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rep")
+        get = lambda c: group.column(c).to_pylist()
+        out = block_links(get("rep"), get("bag"), get("component"), np.array(get("failed")), np.array(get("block")), similarity)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return cut(rows.groupBy("bucket", "b0", "b1").applyInArrow(link, "a long, b long"), "bag-late")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, copy_id (smallest id of its exact copies), class_id (smallest id of its class), kept."""
     spark = docs.sparkSession
@@ -214,16 +291,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     far = F.lit(1.0) - F.coalesce("sim", F.lit(1.0))
     known = member.join(sims.withColumnRenamed("a", "hub").withColumnRenamed("b", "rep"), ["hub", "rep"], "left")
     known = known.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select(
-        "bucket", "rep", far.alias("d"), F.coalesce("component", "rep").alias("component")
+        "bucket", "rep", (far > 1.0 - similarity + 1e-12).alias("failed"), F.coalesce("component", "rep").alias("component")
     )
-    known = cut(known, "bag-known")
-    slack = 1.0 - similarity
-    failed = known.where(F.col("d") > slack).select("bucket", *[F.col(c).alias("f_" + c) for c in ("rep", "d", "component")])
-    chance = (F.col("component") != F.col("f_component")) & (F.abs(F.col("d") - F.col("f_d")) <= slack + 1e-9)
-    once = (F.col("d") <= slack) | (F.col("rep") < F.col("f_rep"))
-    rest = known.join(cut(failed, "bag-failed"), "bucket").where(chance & once)
-    rest = rest.select(F.greatest("rep", "f_rep").alias("b"), F.least("rep", "f_rep").alias("a")).distinct()
-    late = verify(rest.select("a", "b"), bags).where(F.col("sim") >= similarity).select("a", "b")
+    late = link_rest(cut(known, "bag-known"), bags, similarity)
     labels = components(links.unionByName(late), "cc-all")
 
     out = signed.select("doc_id", "key").join(copies, "key", "left").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
