@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from helixframe.llm import bagminhash, chat, langid, mixing, packing, secrets, toxicity, warc
+from helixframe.llm import bagminhash, chat, langid, mixing, packing, secrets, sphericalcaps, toxicity, warc
 
 QUERIES = {
     "op1_warc_zip": warc.op1_warc_zip,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_toxic_neighbours": toxicity.op4_toxic_neighbours,
     "op5_language_families": langid.op5_language_families,
+    "op6_spherical_caps": sphericalcaps.op6_spherical_caps,
     "op7_bagminhash": bagminhash.op7_bagminhash,
     "op8_secret_forest": secrets.op8_secret_forest,
     "op9_source_mix": mixing.op9_source_mix,
