@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from helixframe.llm import bagminhash, chat, langid, mixing, packing, secrets, sphericalcaps, toxicity, warc
+from helixframe.llm import bagminhash, chat, jpeg, langid, mixing, packing, secrets, sphericalcaps, toxicity, warc
 
 QUERIES = {
     "op1_warc_zip": warc.op1_warc_zip,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_bagminhash": bagminhash.op7_bagminhash,
     "op8_secret_forest": secrets.op8_secret_forest,
     "op9_source_mix": mixing.op9_source_mix,
+    "op10_progressive_jpeg": jpeg.op10_progressive_jpeg,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
