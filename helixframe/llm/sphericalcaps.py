@@ -2,12 +2,12 @@
 
 Vectors link if their cosine, in double precision, is at least 0.9.  A filter is a direction made of
 one random codeword for each of M blocks of coordinates (after a random rotation), so B^M filters need only M*B
-codewords.  A vector passes a filter if its score reaches a threshold; list decoding finds all
+codewords; several independent codes are used, as filters of one code depend on each other.  A vector passes a filter if its score reaches a threshold; list decoding finds all
 filters that it passes by extending partial codes whose best completion can still reach the
 threshold.  Vectors meet in the filters they share and are then compared exactly.
 
-The threshold grows with the number of vectors so that an unrelated vector shares few filters, and the number of filters
-follows so that a vector passes ``PASSES`` on average.  A pair is counted only in the smallest
+The number of filters grows with the number of vectors, so that unrelated vectors share few, and the threshold
+follows, so that a vector passes ``PASSES`` on average.  A pair is counted only in the smallest
 filter that it shares, so no list of pairs is made: a task emits, for its filters, each vector's
 number of links and the links that join its own components.  Large filters are dealt into blocks, every two of
 which meet in one task.
@@ -33,67 +33,81 @@ from helixframe.llm.common import components, cut, table
 from helixframe.llm.textbytes import column
 
 COSINE = 0.9
-PASSES = 72
-MEET = 0.1
+#: Independent codes, filters that a vector passes over all of them, and how full filters may be.
+CODES, PASSES, MEET = 8, 72, 0.15
 BLOCK = 512
 SMALL = 24
 SPACE = 64
 SEED = 6
 
 
-def _tail(t: float) -> float:
-    return 0.5 * math.erfc(t / math.sqrt(2.0))
+def parameters(n: int) -> tuple[int, int]:
+    """Blocks M and codewords B of each code for ``n`` vectors.
 
-
-def parameters(n: int) -> tuple[float, int, int]:
-    """Threshold in standard deviations, blocks M and codewords B for ``n`` vectors."""
-    want = min(_tail(3.0), MEET / max(1, n))
-    low, high = 3.0, 8.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _tail(mid) > want else (low, mid)
-    filters = PASSES / _tail(low)
-    blocks = 2 if filters <= 1e8 else 4
-    return low, blocks, math.ceil(filters ** (1.0 / blocks))
+    ``n * PASSES / MEET`` filters in all let an unrelated vector appear in a given one of a vector's filters
+    with probability ``MEET``; there is a least number, so that caps stay far from half spheres.
+    """
+    filters = max(PASSES / 0.00135, n * PASSES / MEET) / CODES
+    blocks = 2 if filters <= 1e7 else 4
+    return blocks, math.ceil(filters ** (1.0 / blocks))
 
 
 @lru_cache(4)
-def _code(length: int, blocks: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """An isometry into max(SPACE, length) dimensions, and each block's codewords."""
+def _codes(length: int, blocks: int, words: int) -> tuple[list[tuple[np.ndarray, list[np.ndarray]]], float]:
+    """For each code an isometry into max(SPACE, length) dimensions and its codewords; and the threshold.
+
+    The threshold is set on seeded random vectors, so that these pass ``PASSES`` filters on average.
+    """
     space = -(-max(SPACE, length) // blocks) * blocks
     rng = np.random.default_rng((SEED, length, blocks, words))
-    turn = np.linalg.qr(rng.standard_normal((space, length)))[0].T
-    books = []
-    for _ in range(blocks):
-        book = rng.standard_normal((words, space // blocks))
-        books.append(book / np.linalg.norm(book, axis=1, keepdims=True))
-    return turn, books
+    codes = []
+    for _ in range(CODES):
+        turn = np.linalg.qr(rng.standard_normal((space, length)))[0].T
+        books = []
+        for _ in range(blocks):
+            book = rng.standard_normal((words, space // blocks))
+            books.append(book / np.linalg.norm(book, axis=1, keepdims=True))
+        codes.append((turn, books))
+    some = rng.standard_normal((100, space))
+    some /= np.linalg.norm(some, axis=1, keepdims=True)
+    parts = _scores(some, codes[0][1])
+    while len(parts) > 2:
+        parts = [(parts[k][:, :, None] + parts[k + 1][:, None, :]).reshape(len(some), -1) for k in range(0, len(parts), 2)]
+    right, low, high = np.sort(parts[1], axis=1), 0.0, 2.0
+    for _ in range(30):
+        mid = (low + high) / 2
+        n = sum(int((right.shape[1] - np.searchsorted(r, mid - l)).sum()) for l, r in zip(parts[0], right))
+        low, high = (mid, high) if n > PASSES / CODES * len(some) else (low, mid)
+    return codes, low
+
+
+def _scores(turned: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
+    width = turned.shape[1] // len(books)
+    return [turned[:, k * width : (k + 1) * width] @ book.T for k, book in enumerate(books)]
 
 
-def decode(unit: np.ndarray, threshold: float, blocks: int, words: int) -> list[np.ndarray]:
+def decode(unit: np.ndarray, blocks: int, words: int) -> list[np.ndarray]:
     """For each unit vector, the sorted numbers of the filters that it passes."""
-    turn, books = _code(unit.shape[1], blocks, words)
-    turned = unit @ turn
-    width = turned.shape[1] // blocks
-    # A filter's direction is its codewords over sqrt(blocks); a random vector's score has deviation 1/sqrt(dimensions).
-    reach = threshold / math.sqrt(turned.shape[1]) * math.sqrt(blocks)
-    scores = [turned[:, k * width : (k + 1) * width] @ book.T for k, book in enumerate(books)]
-    tops = [s.max(axis=1) for s in scores]
-    out = []
-    for row in range(len(unit)):
-        rest = sum(float(t[row]) for t in tops)
-        sums, codes = np.zeros(1), np.zeros(1, np.int64)
-        for k in range(blocks):
-            rest -= float(tops[k][row])
-            mine = scores[k][row]
-            word = np.flatnonzero(mine >= reach - rest - sums.max())
-            total = sums[:, None] + mine[word]
-            i, j = np.nonzero(total >= reach - rest)
-            sums, codes = total[i, j], codes[i] * words + word[j]
-            if not len(sums):
-                break
-        out.append(np.sort(codes))
-    return out
+    codes, reach = _codes(unit.shape[1], blocks, words)
+    found: list[list[np.ndarray]] = [[] for _ in range(len(unit))]
+    for number, (turn, books) in enumerate(codes):
+        scores = _scores(unit @ turn, books)
+        tops = [s.max(axis=1) for s in scores]
+        for row in range(len(unit)):
+            rest = sum(float(t[row]) for t in tops)
+            sums, words_so_far = np.zeros(1), np.full(1, number, np.int64)
+            for k in range(blocks):
+                rest -= float(tops[k][row])
+                mine = scores[k][row]
+                word = np.flatnonzero(mine >= reach - rest - sums.max())
+                start = sums >= reach - rest - float(tops[k][row])
+                total = sums[start][:, None] + mine[word]
+                i, j = np.nonzero(total >= reach - rest)
+                sums, words_so_far = total[i, j], words_so_far[start][i] * words + word[j]
+                if not len(sums):
+                    break
+            found[row].append(words_so_far)
+    return [np.sort(np.concatenate(f)) for f in found]
 
 
 def vectors(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +140,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("good", pa.array(usable(column(batch, "embedding"))))
 
 
-def _filters(threshold: float, blocks: int, words: int):
+def _filters(blocks: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = column(batch, "embedding")
@@ -135,7 +149,7 @@ def _filters(threshold: float, blocks: int, words: int):
                 for rows in np.array_split(np.flatnonzero(length == size), max(1, int((length == size).sum()) // 500)):
                     part = batch.take(pa.array(rows))
                     # A filter's number carries the length, so that only equal lengths meet.
-                    found = decode(units(column(part, "embedding"), int(size)), threshold, blocks, words)
+                    found = decode(units(column(part, "embedding"), int(size)), blocks, words)
                     yield pa.RecordBatch.from_arrays([column(part, "rep"), pa.array([(f << 12) + int(size) % 4096 for f in found], pa.list_(pa.int64()))], ["rep", "filters"])
 
     return run
@@ -253,16 +267,17 @@ def _groups(links: _Links, rows: pa.Table, cuts: np.ndarray) -> None:
 
 def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    marked = rows.mapInArrow(_check, "vec_id long, embedding array<double>, good boolean")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    marked = rows.mapInArrow(_check, f"vec_id long, embedding {kind}, good boolean")
     good = F.col("good") & F.col("vec_id").isNotNull()
     key = F.when(good, F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string"))), 256))
     keyed = cut(marked.select("vec_id", key.alias("key"), F.when(good, F.col("embedding")).alias("embedding")), "caps-keyed")
     copies = cut(keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "caps-copies")
     reps = keyed.join(copies, "key").where("vec_id = rep").dropDuplicates(["rep"]).select("rep", "copies", "embedding")
     reps = cut(reps, "caps-reps")
-    threshold, blocks, words = parameters(reps.count())
-    passed = cut(reps.select("rep", "embedding").mapInArrow(_filters(threshold, blocks, words), "rep long, filters array<long>"), "caps-filters")
+    blocks, words = parameters(reps.count())
+    passed = cut(reps.select("rep", "embedding").mapInArrow(_filters(blocks, words), "rep long, filters array<long>"), "caps-filters")
     dealt = passed.select("rep", F.explode("filters").alias("filter"))
     shared = dealt.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
     met = dealt.join(cut(shared.drop("m"), "caps-shared"), "filter").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

@@ -70,8 +70,7 @@ def test_recall_of_pairs_at_the_threshold(spark):
 
 def test_parameters_grow_with_the_input():
     few, many = S.parameters(1000), S.parameters(10**10)
-    assert many[0] > few[0] and many[1] == 4 and many[2] < 10_000
-    assert S.near_vectors is not None
+    assert few[0] == 2 and many[0] == 4 and many[1] < 10_000
 
 
 def test_empty(spark):
