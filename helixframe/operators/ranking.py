@@ -13,8 +13,8 @@ TRANCHES, TOP = 4, 1000
 WORST_HIGH, WORST_LOW = float(-(2**31)), float(2**31 - 1)
 
 
-def tie_rank(frame: DataFrame, score: str, rank: str, high_is_good: bool) -> DataFrame:
-    """Competition rank plus half the number of ties, rounded down.
+def tie_rank(frame: DataFrame, score: str, rank: str, high_is_good: bool, base: DataFrame | None = None) -> DataFrame:
+    """Competition rank plus half the number of ties, rounded down; ``base`` has the same scores by a shorter plan.
 
     Only distinct scores are ranked, by a running sum over their counts, so that ties and rows do not
     meet in one task; a score that is null or not a number is the worst.
@@ -22,8 +22,9 @@ def tie_rank(frame: DataFrame, score: str, rank: str, high_is_good: bool) -> Dat
     worst = WORST_HIGH if high_is_good else WORST_LOW
     value = F.coalesce(F.col(score).try_cast("double"), F.lit(worst))
     rows = frame.withColumn("_value", value)
+    base = rows if base is None else base.withColumn("_value", value)
     order = F.col("_value").desc() if high_is_good else F.col("_value").asc()
-    counts = rows.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
+    counts = base.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranks = counts.select(F.col("_value").alias("_key"), (before + 1 + F.floor(F.col("_n") / 2)).cast("long").alias(rank))
     return rows.join(ranks, F.col("_value") == F.col("_key")).drop("_value", "_key")
@@ -40,7 +41,7 @@ def aggregate_ranks(frame: DataFrame, scores: dict[str, bool], key: str = "guide
     ranked, names = frame.select(key, *scores), []
     for column, high in scores.items():
         names.append(f"rank_{column}")
-        ranked = tie_rank(ranked, column, names[-1], high)
+        ranked = tie_rank(ranked, column, names[-1], high, frame.select(key, *scores))
     ranked = ranked.withColumn("median", dna.median(F.array(*[F.col(n) for n in names])))
     ranked = tie_rank(ranked, "median", "median_rank", False)
     total = frame.agg(F.count(F.lit(1)).alias("guides"))

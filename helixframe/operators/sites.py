@@ -29,6 +29,9 @@ def find_sites(contigs: DataFrame, enzyme: Enzyme, flank: int = 0) -> DataFrame:
         "contig", "contig_idx", "size", "windows", (F.col("part") * CHUNK).alias("base"), first.alias("first"),
         F.substring("seq", first + 1, F.lit(CHUNK + n - 1 + 2 * flank)).alias("piece"),
     )
+    # Contigs are few and may be long: chunks, not contigs, are dealt to tasks before the windows are made.
+    tasks = max(int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), contigs.sparkSession.sparkContext.defaultParallelism)
+    parts = parts.repartition(tasks, "contig_idx", "base")
     last = F.least(F.col("base") + CHUNK, F.col("windows")) - 1
     rows = parts.withColumn("start", F.explode(F.sequence(F.col("base"), last)))
     rows = rows.withColumn("window", F.substring("piece", F.col("start") - F.col("first") + 1, F.lit(n)))
