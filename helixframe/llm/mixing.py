@@ -29,17 +29,18 @@ SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, sk (source key), size, and its place ``pos`` in [0, 1)."""
+def sized(docs: DataFrame, fan: int, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of the documents with their size, draw, and ranges of draws mix_b1 and mix_b2."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     head = F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)
     u = (F.conv(head, 16, 10).cast("double") + 1.0) / float(2**52 + 2)
-    out = docs.select("doc_id", "source", size.alias("size"), F.length("text").alias("n"), u.alias("u"))
-    mean = F.col("n").cast("double") / F.col("size")
-    weight = F.when(F.col("size") > 0, F.greatest(F.lit(0.1), F.lit(1.0) - F.abs(mean - 6.0) / 10.0)).otherwise(F.lit(0.1))
-    return out.select("doc_id", "source", "size", (-F.log("u") / weight).alias("draw")).select(
-        "doc_id", "source", "size", "draw", (F.lit(1.0) - F.exp(-F.col("draw"))).alias("pos")
-    )
+    out = docs.select(*keep, size.alias("mix_size"), F.length("text").cast("double").alias("mix_chars"), u.alias("mix_u"))
+    mean = F.col("mix_chars") / F.col("mix_size")
+    weight = F.when(F.col("mix_size") > 0, F.greatest(F.lit(0.1), F.lit(1.0) - F.abs(mean - 6.0) / 10.0)).otherwise(F.lit(0.1))
+    out = out.withColumn("mix_draw", -F.log("mix_u") / weight).drop("mix_chars", "mix_u")
+    place = F.lit(1.0) - F.exp(-F.col("mix_draw"))
+    first, second = F.floor(place * fan), F.floor(place * fan * fan) % fan
+    return out.withColumn("mix_b1", first.cast("int")).withColumn("mix_b2", second.cast("int"))
 
 
 def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -76,59 +77,65 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
 def _edge(rows: DataFrame, keys: list[str], fan: str, rest: str) -> DataFrame:
     """Of each key's ranges ``fan``, the one in which the running size reaches ``rest``."""
     run = W.partitionBy("source").orderBy(fan).rowsBetween(W.unboundedPreceding, 0)
-    by = rows.groupBy(*keys, rest, fan).agg(F.sum("size").alias("part"))
+    by = rows.groupBy(*keys, rest, fan).agg(F.sum("mix_size").alias("part"))
     by = by.withColumn("upto", F.sum("part").over(run))
     hit = by.where((F.col("upto") >= F.col(rest)) & (F.col("upto") - F.col("part") < F.col(rest)))
     return hit.select(*keys, F.col(fan), (F.col(rest) - F.col("upto") + F.col("part")).alias(rest + "_in"))
 
 
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One row a source: mix_source, source_size, target, epochs, and where its budget ends: ranges c1 and c2 with ``left`` words to take there."""
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    sums = rows.groupBy("source").agg(F.sum("mix_size").alias("source_size"))
+    out = cut(targets(sums, weights, cap).coalesce(1), "mix-plan").withColumnRenamed("source", "mix_source")
+    need = out.where("rest > 0").select(F.col("mix_source").alias("s"), "rest")
+    one = cut(_edge(rows.join(need, same("source", "s")).drop("s"), ["source"], "mix_b1", "rest").coalesce(1), "mix-b1")
+    near = one.select(F.col("source").alias("s"), F.col("mix_b1").alias("c1"), "rest_in")
+    inside = rows.join(near, same("source", "s") & (F.col("mix_b1") == F.col("c1"))).drop("s", "c1")
+    two = cut(_edge(inside, ["source", "mix_b1"], "mix_b2", "rest_in").coalesce(1), "mix-b2")
+    two = two.select(F.col("source").alias("s"), F.col("mix_b1").alias("c1"), F.col("mix_b2").alias("c2"), F.col("rest_in_in").alias("left"))
+    return cut(out.join(two, same("mix_source", "s"), "left").select("mix_source", "source_size", "target", "epochs", "c1", "c2", "left").coalesce(1), "mix-ends")
+
+
+def take(rows: DataFrame, ends: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of ``sized`` rows with source_size, target and taken.
+
+    The plan has a row a source and is broadcast if it is small; only rows in the range where a budget ends are sorted.
+    """
+    rows = rows.join(ends, F.col("source").eqNullSafe(F.col("mix_source")))
+    here = F.coalesce((F.col("mix_b1") == F.col("c1")) & (F.col("mix_b2") == F.col("c2")), F.lit(False))
+    below = F.coalesce((F.col("mix_b1") < F.col("c1")) | ((F.col("mix_b1") == F.col("c1")) & (F.col("mix_b2") < F.col("c2"))), F.lit(False))
+    once = F.col("epochs") * F.col("mix_size")
+    keep = [*keep, "source_size", "target"]
+    whole = rows.where(~here).select(*keep, (once + F.when(below, F.col("mix_size")).otherwise(0)).cast("long").alias("taken"))
+    run = W.partitionBy("source").orderBy("mix_draw", "doc_id", "mix_size").rowsBetween(W.unboundedPreceding, 0)
+    edge = rows.where(here).withColumn("upto", F.sum("mix_size").over(run))
+    got = F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("left") - F.col("upto") + F.col("mix_size")))
+    return whole.unionByName(edge.select(*keep, (once + got).cast("long").alias("taken")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, fan: int = FAN) -> DataFrame:
     """Per document: doc_id, size, source_size, target and the words ``taken`` by the mix.
 
     The document at the end of a budget is taken in part, so that each source's words
     equal its rounded target.
     """
-    first, second = F.floor(F.col("pos") * fan), F.floor(F.col("pos") * fan * fan) % fan
-    rows = cut(sized(docs).withColumn("b1", first.cast("int")).withColumn("b2", second.cast("int")), "mix")
-    same = lambda a, b: a.eqNullSafe(b)
-    plan = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).coalesce(1), "mix-plan")
-    need = plan.where("rest > 0").select(F.col("source").alias("s"), "rest")
-    one = cut(_edge(rows.join(need, same(F.col("source"), F.col("s"))).drop("s"), ["source"], "b1", "rest").coalesce(1), "mix-b1")
-    near = one.select(F.col("source").alias("s"), F.col("b1").alias("c1"), "rest_in")
-    two = cut(
-        _edge(rows.join(near, same(F.col("source"), F.col("s")) & (F.col("b1") == F.col("c1"))).drop("s", "c1"), ["source", "b1"], "b2", "rest_in").coalesce(1),
-        "mix-b2",
-    )
-    two = two.select(F.col("source").alias("t"), F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("rest_in_in").alias("left"))
-    plan = plan.withColumnRenamed("source", "s")
-    plan = plan.join(two, same(F.col("s"), F.col("t")), "left").drop("t")
-    rows = rows.join(plan, same(F.col("source"), F.col("s")))
-    here = F.coalesce((F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2")), F.lit(False))
-    below = F.coalesce((F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2"))), F.lit(False))
-    once = F.col("epochs") * F.col("size")
-    keep = ["doc_id", "size", "source_size", "target"]
-    whole = rows.where(~here).select(*keep, (once + F.when(below, F.col("size")).otherwise(0)).cast("long").alias("taken"))
-    run = W.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    edge = rows.where(here).withColumn("upto", F.sum("size").over(run))
-    got = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("upto") + F.col("size")))
-    edge = edge.select(*keep, (once + got).cast("long").alias("taken"))
-    return whole.unionByName(edge)
+    rows = cut(sized(docs, fan, ["doc_id", "source"]), "mix")
+    out = take(rows, plan(rows, weights, cap), ["doc_id", "mix_size"])
+    return out.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document appears ``taken / size`` times, rounded to whole copies.
 
-    Documents without words carry no weight in a mix and stay once.
+    Documents without words carry no weight in a mix and stay once.  Texts are not shuffled: sizes
+    and draws are computed again beside them and meet the plan of a row a source.
     """
-    plan = mix(docs).select(
-        F.col("doc_id").alias("mix_id"),
-        F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("copies"),
-        F.row_number().over(W.partitionBy("doc_id").orderBy("size", "taken")).alias("mix_nth"),
-    )
-    plan = plan.where("copies > 0")
-    rows = docs.withColumn("mix_row", F.row_number().over(W.partitionBy("doc_id").orderBy(F.length("text"), "text")))
-    out = rows.join(plan, rows["doc_id"].eqNullSafe(plan["mix_id"]) & (rows["mix_row"] == plan["mix_nth"]))
-    return out.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("mix_copy")).drop("mix_copy")
+    ends = plan(cut(sized(docs, FAN, ["doc_id", "source"]), "mix"))
+    out = take(sized(docs, FAN, docs.columns), ends, [*docs.columns, "mix_size"])
+    copies = F.when(F.col("mix_size") > 0, F.floor(F.col("taken") / F.col("mix_size") + 0.5)).otherwise(1).cast("int")
+    out = out.withColumn("mix_copies", copies).where("mix_copies > 0")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy")).drop("mix_copy")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
