@@ -303,12 +303,19 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the row with the smallest id stays; rows that link with nothing stay."""
-    lost = cut(near_classes(docs).where("not kept").select("doc_id").distinct(), "near-lost")
+    """Pipeline stage: of each class the row with the smallest id stays; rows that link with nothing stay.
+
+    Texts are shuffled only for ids that occur in several rows, of which one of each text stays.
+    """
+    marks = cut(near_classes(docs).select("doc_id", "kept"), "near-marks")
+    lost = cut(marks.where("not kept").select("doc_id").distinct(), "near-lost")
     rows = docs.join(lost, "doc_id", "left_anti")
+    twice = cut(marks.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "near-twice")
+    if not twice.limit(1).count():
+        return rows.select(*docs.columns)
     one = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    kept = rows.where("doc_id is not null").withColumn("nth", one).where("nth = 1").drop("nth")
-    return kept.unionByName(rows.where("doc_id is null")).select(*docs.columns)
+    several = rows.join(twice, "doc_id", "left_semi").withColumn("nth", one).where("nth = 1").drop("nth")
+    return rows.join(twice, "doc_id", "left_anti").unionByName(several).select(*docs.columns)
 
 
 def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
