@@ -58,7 +58,7 @@ def _cut_pieces(path: str | None, capacity: int):
         encoder = _ENCODERS.setdefault(file, None) or WordBpe(file)
         _ENCODERS[file] = encoder
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for part in chunks(batches, size=12 << 20):
+        for part in chunks(batches, size=5 << 20):
             ids, at = encoder.encode(column(part, "text"))
             ids = np.insert(ids, at[1:], END_ID).astype("<u4")
             at = at + np.arange(len(at))
