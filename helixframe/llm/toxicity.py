@@ -30,9 +30,11 @@ from helixframe.llm.textbytes import chunks, column, padded, span_hash, utf8, wo
 
 POSITIVES, NEGATIVES = 1000, 2000
 VOCABULARY = 4096
-CHI_SQUARE = 10.83
+CHI_SQUARE = 30.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks looked at before the first bound is drawn; later waves are four times larger each.
+WAVE = 8
 THRESHOLD = 0.3
 _PREFIXES = (4, 5)
 _LETTER = np.zeros(256, bool)
@@ -101,20 +103,30 @@ class Index:
     def nearest(self, place: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 and their cosines; smaller numbers first among equals."""
         bound = weight @ self.top[place]
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) >= k and bound[block] < cosine[k - 1] - 1e-12:
+        order = np.argsort(-bound, kind="stable")
+        best, cosine, at, wave = np.zeros(0, np.int64), np.zeros(0), 0, WAVE
+        while at < len(order):
+            blocks = order[at : at + wave]
+            least = cosine[k - 1] - 1e-12 if len(best) >= k else 0.0
+            blocks = blocks[(bound[blocks] > 0) & (bound[blocks] >= least)]
+            if not len(blocks):
                 break
-            score = np.zeros(BLOCK)
-            for p, w in zip((place * self.blocks + block).tolist(), weight.tolist()):
-                a, b = self.begin[p], self.begin[p + 1]
-                if a < b:
-                    score[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
-            hit = np.flatnonzero(score > 0)
-            hit = hit[hit + block * BLOCK != but]
-            best, cosine = np.concatenate([best, hit + block * BLOCK]), np.concatenate([cosine, score[hit]])
-            order = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[order], cosine[order]
+            slot = (place[:, None] * self.blocks + blocks).ravel()
+            begin = self.begin[slot]
+            size = self.begin[slot + 1] - begin
+            posting = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            product = self.weight[posting] * np.repeat(np.repeat(weight, len(blocks)), size)
+            score = np.bincount(self.example[posting], product, len(self.ids))
+            if but >= 0:
+                score[but] = 0.0
+            hit = np.flatnonzero((score > 0) & (score >= least))
+            best, cosine = np.concatenate([best, hit]), np.concatenate([cosine, score[hit]])
+            if len(best) > 4 * k:
+                some = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
+                best, cosine = best[some], cosine[some]
+            ranked = np.lexsort((best, -cosine))[:k]
+            best, cosine = best[ranked], cosine[ranked]
+            at, wave = at + wave, wave * 4
         return best, cosine
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
