@@ -26,6 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -201,8 +202,8 @@ def _page(record_id: str) -> int | None:
 class _Package:
     """One ZIP file under way: records go to the archive as they come, index lines wait."""
 
-    def __init__(self, folder: str) -> None:
-        self.path = f"{folder}/{uuid.uuid4().hex}.zip"
+    def __init__(self, folder: str, most: int) -> None:
+        self.path, self.most = f"{folder}/{uuid.uuid4().hex}.zip", most
         store, name = _open(self.path)
         store.create_dir(name.rpartition("/")[0], recursive=True)
         self.sink = store.open_output_stream(name)
@@ -210,13 +211,15 @@ class _Package:
         self.at = 0
 
     def write(self, records: Iterator[tuple[str, str, str, str, bytes]]) -> None:
+        """Takes records until the package is full; ``records`` must outlive a loop that is left early."""
+
         def parts() -> Iterator[bytes]:
             for record_id, url, kind, digest, data in records:
                 entry = {"id": record_id, "mime": "warc/revisit" if kind == "revisit" else "text/html", "digest": f"sha1:{digest}", "offset": self.at, "length": len(data)}
                 self.lines.append(f"{url.replace(' ', '%20') or '-'} 20260101000000 {json.dumps(entry)}\n".encode())
                 self.at += len(data)
                 yield data
-                if self.at >= PACKAGE_BYTES:
+                if self.at >= self.most:
                     return
 
         zipped = ZipWriter(self.sink)
@@ -226,7 +229,7 @@ class _Package:
         self.sink.close()
 
 
-def _write(folder: str):
+def _write(folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
             for batch in batches:
@@ -238,32 +241,25 @@ def _write(folder: str):
                     digest = digest32(payload)
                     yield _id(p), u, kind, digest, record(kind, _id(p), u, payload, digest, _id(f) if kind == "revisit" else None)
 
-        rows, more = records(), True
-        while more:
-            head = next(rows, None)
-            if head is None:
-                return
-            package = _Package(folder)
-            package.write(_chain(head, rows))
+        rows = records()
+        while (head := next(rows, None)) is not None:
+            package = _Package(folder, most)
+            # Unlike a generator that delegates to rows, chain does not close them when it is freed.
+            package.write(chain([head], rows))
             yield pa.RecordBatch.from_pydict({"path": [package.path], "records": [len(package.lines)]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
     return run
 
 
-def _chain(head, rows):
-    yield head
-    yield from rows
-
-
-def write_packages(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write a record per row of ``pages`` into packages; returns ``(path, records)``."""
+def write_packages(pages: DataFrame, folder: str | None = None, package_bytes: int | None = None) -> DataFrame:
+    """Write a record per row of ``pages`` into packages of about ``package_bytes``; returns ``(path, records)``."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
     rows = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("key"))
     first = rows.groupBy("key").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     # Cut, so that the join's sides have exchanges of their own and a hot payload can be split.
     copies = cut(first.where("n > 1").select("key", "first_id"), "warc-copies")
     marked = rows.join(copies.withColumn("many", F.lit(True)), "key", "left").drop("key")
-    return cut(marked.mapInArrow(_write(folder), "path string, records long"), "warc-packages")
+    return cut(marked.mapInArrow(_write(folder, package_bytes or PACKAGE_BYTES), "path string, records long"), "warc-packages")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,6 +54,14 @@ def test_packages_rotate(spark, monkeypatch):
     assert not sink.getvalue()
 
 
+def test_full_packages_lose_no_rows(spark):
+    rows = ROWS + [(k, f"u{k}", f"{k} " * 50) for k in range(1000, 1400)]
+    packages = warc.write_packages(frame(spark, rows).coalesce(1), package_bytes=2000)
+    assert packages.count() > 20 and sum(r.records for r in packages.collect()) == len(rows)
+    got = warc.read_packages(packages).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(rows)
+
+
 def test_reads_zips_of_other_writers():
     for force in (False, True):
         sink = io.BytesIO()
