@@ -35,6 +35,8 @@ from helixframe.llm.textbytes import column
 COSINE = 0.9
 #: Independent codes, filters that a vector passes over all of them, and how full filters may be.
 CODES, PASSES, MEET = 8, 72, 0.15
+#: Pairs at ``COSINE`` that are planted to find how many codes reach the recall.
+RECALL, PLANTED = 0.97, 300
 BLOCK = 512
 SMALL = 24
 SPACE = 64
@@ -48,7 +50,8 @@ def parameters(n: int) -> tuple[int, int]:
     with probability ``MEET``; there is a least number, so that caps stay far from half spheres.
     """
     filters = max(PASSES / 0.00135, n * PASSES / MEET) / CODES
-    blocks = 2 if filters <= 1e7 else 4
+    # Two blocks lose the fewest pairs; four only where two would need books of over 31,623 codewords (from 16.7 million vectors).
+    blocks = 2 if filters <= 1e9 else 4
     return blocks, math.ceil(filters ** (1.0 / blocks))
 
 
@@ -56,18 +59,21 @@ def parameters(n: int) -> tuple[int, int]:
 def _codes(length: int, blocks: int, words: int) -> tuple[list[tuple[np.ndarray, list[np.ndarray]]], float]:
     """For each code an isometry into max(SPACE, length) dimensions and its codewords; and the threshold.
 
-    The threshold is set on seeded random vectors, so that these pass ``PASSES`` filters on average.
+    The threshold is set on seeded random vectors, so that these pass ``PASSES / CODES`` filters of a code on average.
+    There are ``CODES`` codes, or as many more as pairs at ``COSINE`` need to share a filter with probability ``RECALL``.
     """
     space = -(-max(SPACE, length) // blocks) * blocks
     rng = np.random.default_rng((SEED, length, blocks, words))
-    codes = []
-    for _ in range(CODES):
+
+    def code() -> tuple[np.ndarray, list[np.ndarray]]:
         turn = np.linalg.qr(rng.standard_normal((space, length)))[0].T
         books = []
         for _ in range(blocks):
             book = rng.standard_normal((words, space // blocks))
             books.append(book / np.linalg.norm(book, axis=1, keepdims=True))
-        codes.append((turn, books))
+        return turn, books
+
+    codes = [code() for _ in range(CODES)]
     some = rng.standard_normal((100, space))
     some /= np.linalg.norm(some, axis=1, keepdims=True)
     parts = _scores(some, codes[0][1])
@@ -78,6 +84,13 @@ def _codes(length: int, blocks: int, words: int) -> tuple[list[tuple[np.ndarray,
         mid = (low + high) / 2
         n = sum(int((right.shape[1] - np.searchsorted(r, mid - l)).sum()) for l, r in zip(parts[0], right))
         low, high = (mid, high) if n > PASSES / CODES * len(some) else (low, mid)
+    one, two = rng.standard_normal((2, PLANTED, space))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    two -= (two * one).sum(axis=1, keepdims=True) * one
+    two = COSINE * one + math.sqrt(1 - COSINE**2) * two / np.linalg.norm(two, axis=1, keepdims=True)
+    met = sum(bool(len(np.intersect1d(a, b))) for a, b in zip(_passed(one, codes[0][1], low, 0), _passed(two, codes[0][1], low, 0)))
+    miss = 1 - min(max(met, 1), PLANTED - 1) / PLANTED
+    codes += [code() for _ in range(math.ceil(math.log(1 - RECALL) / math.log(miss)) - CODES)]
     return codes, low
 
 
@@ -86,28 +99,32 @@ def _scores(turned: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
     return [turned[:, k * width : (k + 1) * width] @ book.T for k, book in enumerate(books)]
 
 
+def _passed(turned: np.ndarray, books: list[np.ndarray], reach: float, number: int) -> list[np.ndarray]:
+    """For each turned vector, the numbers of the filters of code ``number`` that it passes."""
+    words, scores = len(books[0]), _scores(turned, books)
+    tops, found = [s.max(axis=1) for s in scores], []
+    for row in range(len(turned)):
+        rest = sum(float(t[row]) for t in tops)
+        sums, words_so_far = np.zeros(1), np.full(1, number, np.int64)
+        for k in range(len(books)):
+            rest -= float(tops[k][row])
+            mine = scores[k][row]
+            word = np.flatnonzero(mine >= reach - rest - sums.max())
+            start = sums >= reach - rest - float(tops[k][row])
+            total = sums[start][:, None] + mine[word]
+            i, j = np.nonzero(total >= reach - rest)
+            sums, words_so_far = total[i, j], words_so_far[start][i] * words + word[j]
+            if not len(sums):
+                break
+        found.append(words_so_far)
+    return found
+
+
 def decode(unit: np.ndarray, blocks: int, words: int) -> list[np.ndarray]:
     """For each unit vector, the sorted numbers of the filters that it passes."""
     codes, reach = _codes(unit.shape[1], blocks, words)
-    found: list[list[np.ndarray]] = [[] for _ in range(len(unit))]
-    for number, (turn, books) in enumerate(codes):
-        scores = _scores(unit @ turn, books)
-        tops = [s.max(axis=1) for s in scores]
-        for row in range(len(unit)):
-            rest = sum(float(t[row]) for t in tops)
-            sums, words_so_far = np.zeros(1), np.full(1, number, np.int64)
-            for k in range(blocks):
-                rest -= float(tops[k][row])
-                mine = scores[k][row]
-                word = np.flatnonzero(mine >= reach - rest - sums.max())
-                start = sums >= reach - rest - float(tops[k][row])
-                total = sums[start][:, None] + mine[word]
-                i, j = np.nonzero(total >= reach - rest)
-                sums, words_so_far = total[i, j], words_so_far[start][i] * words + word[j]
-                if not len(sums):
-                    break
-            found[row].append(words_so_far)
-    return [np.sort(np.concatenate(f)) for f in found]
+    found = [_passed(unit @ turn, books, reach, number) for number, (turn, books) in enumerate(codes)]
+    return [np.sort(np.concatenate(f)) for f in zip(*found)]
 
 
 def vectors(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +162,9 @@ def _filters(blocks: int, words: int):
         for batch in batches:
             lists = column(batch, "embedding")
             length = np.asarray(lists.value_lengths())
+            step = max(1, min(500, (4 << 20) // words))  # bounds the scores held at once
             for size in np.unique(length):
-                for rows in np.array_split(np.flatnonzero(length == size), max(1, int((length == size).sum()) // 500)):
+                for rows in np.array_split(np.flatnonzero(length == size), max(1, int((length == size).sum()) // step)):
                     part = batch.take(pa.array(rows))
                     # A filter's number carries the length, so that only equal lengths meet.
                     found = decode(units(column(part, "embedding"), int(size)), blocks, words)

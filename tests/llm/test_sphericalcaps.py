@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from helixframe.llm import sphericalcaps as S
 
@@ -73,5 +74,18 @@ def test_parameters_grow_with_the_input():
     assert few[0] == 2 and many[0] == 4 and many[1] < 10_000
 
 
+@pytest.mark.parametrize("n", [51_282, 200_000, 3_000_000, 30_000_000])
+def test_filters_keep_recall_as_the_input_grows(n):
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((200, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((200, 64))
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.9 * a + np.sqrt(1 - 0.9**2) * b
+    met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(S.decode(a, *S.parameters(n)), S.decode(near, *S.parameters(n)))]
+    assert np.mean(met) >= 0.94
+
+
 def test_empty(spark):
     assert S.near_vectors(frame(spark, [])).count() == 0
