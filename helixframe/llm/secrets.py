@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import table
 
 NAMES = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
-ASSIGNED = rf"(?i:(?<![A-Za-z0-9]){NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)([^\s\"'<>,;]{{6,256}})"
+ASSIGNED = rf"(?i:(?<![A-Za-z0-9]){NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)(?!-----BEGIN )([^\s\"'<>,;]{{6,}})"
 PREFIXED = r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|xox[abprs]-[\w-]{10,}|[sr]k_(?:live|test)_\w{10,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
-BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{16,}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN )[\s\S]){16,}?-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
 MIXED = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{0,255}[0-9])[A-Za-z0-9+/_=.-]{24,}"
 CANDIDATE = "|".join((BLOCK, ASSIGNED, PREFIXED, MIXED))
 

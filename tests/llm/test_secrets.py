@@ -1,3 +1,6 @@
+import random
+import string
+
 import pytest
 
 from helixframe.llm import secrets as S
@@ -50,6 +53,25 @@ def test_redact(spark, trees):
             assert len(r.text.split()) == len(text.split())
 
 
+def test_long_values_and_keys_are_found_whole(spark, trees):
+    rng = random.Random(3)
+    pick = lambda k, alphabet=string.ascii_letters + string.digits: "".join(rng.choice(alphabet) for _ in range(k))
+    body = lambda n: "\n".join(pick(64) for _ in range(n))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,{pick(32)}\n\n{body(25)}\n-----END RSA PRIVATE KEY-----"
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2 - test\n\n{body(50)}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----"
+    jwt = f"eyJ{pick(200)}.{pick(400)}.{pick(81)}"
+    rows = [(1, f'say access_token="{jwt}" end', [jwt]), (2, f"x {pem} y", [pem]), (3, f"x {pgp} y", [pgp]), (4, f"secret: {pem} y", [pem])]
+    rows += [(5, "-----BEGIN PRIVATE KEY----- alone " * 1000 + pem, [pem]), (6, (big := pem.replace("\n\n", f"\n\n{body(9000)}\n")), [big])]
+    for k, n in enumerate((300, 700, 1500, 5000)):
+        value = pick(n)
+        rows.append((10 + k, f"word token={value} end", [value]))
+    text = {i: t for i, t, _ in rows}
+    got = S.scan(docs_of(spark, rows), trees).where("is_secret").collect()
+    assert sorted((r.doc_id, text[r.doc_id][r.start : r.start + r.length]) for r in got) == [(i, s) for i, _, found in rows for s in found]
+    clean = {r.doc_id: r.text for r in S.redact(docs_of(spark, rows), trees).collect()}
+    assert all(clean[i] == t.replace(found[0], f"[SECRET:{'private_key' if found[0][0] == '-' else 'assigned'}]") for i, t, found in rows)
+
+
 def test_forest_on_unseen_findings(spark, trees):
     from pyspark.sql import functions as F
 
