@@ -3,7 +3,8 @@
 Texts are lower-cased and split into runs of letters, single digits and runs of other
 characters, all in numpy on the UTF-8 bytes; each distinct piece of a batch is merged once, all pieces
 side by side.  What the byte tables do not cover (an apostrophe, characters outside
-U+0000-U+07FF, marks, signs whose lower case or normal form differs in length, very long pieces) goes through the library.
+U+0000-U+07FF, marks, signs whose lower case or normal form differs in length, very long pieces, strings of added
+tokens such as ``<|endoftext|>``, which have ids of their own) goes through the library.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
+        # Lower-cased, as texts are when they are searched; the library finds what exactly matches.
+        self.added = [t["content"].lower().encode() for t in whole.get("added_tokens") or []]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         chars = _byte_chars()
         self.inner = np.array([vocab[c] for c in chars], np.int32)
@@ -78,6 +81,7 @@ class WordBpe:
         hard = np.zeros(n, bool)
         bad = np.flatnonzero(kind == HARD)
         hard[np.searchsorted(at, bad, "right") - 1] = True
+        hard[np.searchsorted(at, self._added_at(data), "right") - 1] = True
         starts, ends, first = self._pieces(data, kind, at, hard)
         ids, begin = self._merge_all(data, starts, ends)
         text_at = begin[first]
@@ -88,6 +92,16 @@ class WordBpe:
             parts[k] = np.array(self.library.encode(texts[int(k)].as_py() or "", add_special_tokens=False).ids, np.int32)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
+    def _added_at(self, data: np.ndarray) -> list[int]:
+        """Where an added token's string begins, in any case; one across two texts is harmless."""
+        raw, found = data.tobytes(), []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(token, at + 1)
+        return found
+
     def _classes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind, low = self.kind1[data], self.low1[data]
         lead = np.flatnonzero((data >= 0xC2) & (data < 0xE0))

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from helixframe.llm import packing
 from helixframe.llm.wordbpe import WordBpe
@@ -26,6 +27,15 @@ def test_encoder_equals_library(encoder):
         assert ids[at[k] : at[k + 1]].tolist() == encoder.library.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_added_tokens_have_their_ids(encoder):
+    fresh = Tokenizer.from_file(packing.vocabulary_path())
+    texts = ["the end <|endoftext|> next <|startoftext|>", "<|endoftext|><|endoftext|>", "plain", "<|", "endoftext|>", "x<|EndOfText|>y", "a<|startoftext|>b", "", "<|endoftext", "|> plain", None]
+    ids, at = encoder.encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == fresh.encode(text or "", add_special_tokens=False).ids, text
+    assert ids[: at[1]].tolist() == [518, 806, 49407, 1131, 49406]
+
+
 def valid(rows, capacity):
     by = {}
     for r in rows:
