@@ -1,11 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine (operator 4).
 
 A text's terms are its lower-case words and their first four and five bytes.  The vocabulary is
-chosen by chi-square on a bounded sample of labelled examples (``POSITIVES`` and ``NEGATIVES``, evenly drawn
-by a hash of doc_id); document frequencies of its terms are counted over all documents.  The
-examples' unit vectors form an inverted index in blocks of ``BLOCK`` examples with the largest weight of each
-term in each block.  A query visits blocks in order of their upper bounds and stops when the next
-bound is below its k-th best cosine, so the k nearest are exact.  Distance-weighted votes are mapped to
+every term of a bounded sample of labelled examples (``POSITIVES`` and ``NEGATIVES``, evenly drawn by a hash of
+doc_id), so cosines are over all terms that a text can share with an example; document frequencies of its terms are counted over all documents.  The
+cosine with every example is computed, frequent terms by a matrix product and rare ones by an inverted index, so
+the k nearest are exact.  Distance-weighted votes are mapped to
 probabilities by isotonic regression on the examples' own leave-one-out votes, weighted to the
 labels' true shares.  The nearest examples are the evidence.
 
@@ -29,12 +28,9 @@ from helixframe.llm.langid import fold
 from helixframe.llm.textbytes import chunks, column, padded, span_hash, utf8, words
 
 POSITIVES, NEGATIVES = 1000, 2000
-VOCABULARY = 4096
-CHI_SQUARE = 30.0
 NEIGHBOURS = 15
-BLOCK = 64
-#: Blocks looked at before the first bound is drawn; later waves are four times larger each.
-WAVE = 8
+#: Terms whose weights are kept as a dense matrix, and texts multiplied with it at once.
+DENSE, BLOCK = 1024, 128
 THRESHOLD = 0.3
 _PREFIXES = (4, 5)
 _LETTER = np.zeros(256, bool)
@@ -80,19 +76,22 @@ def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarra
 
 
 class Index:
-    """Block-max inverted index over labelled examples."""
+    """Labelled examples: the most frequent terms as a dense matrix, the others as an inverted index."""
 
     def __init__(self, known: np.ndarray, idf: np.ndarray, owner: np.ndarray, place: np.ndarray, count: np.ndarray, ids: np.ndarray, toxic: np.ndarray, prior: tuple[float, float]) -> None:
         self.known, self.idf, self.ids, self.toxic = known, idf, ids, toxic
         weight = self.weigh(owner, place, count, len(ids))
-        order = np.lexsort((owner, place))
-        self.example, self.weight = owner[order], weight[order]
-        self.blocks = -(-max(1, len(ids)) // BLOCK)
-        slot = place[order] * self.blocks + self.example // BLOCK
-        self.begin = np.searchsorted(slot, np.arange(len(known) * self.blocks + 1)).astype(np.int32)
-        self.top = np.zeros(len(known) * self.blocks)
-        np.maximum.at(self.top, slot, self.weight)
-        self.top = self.top.reshape(len(known), self.blocks)
+        many = np.bincount(place, minlength=len(known))
+        self.row = np.full(len(known), -1, np.int32)
+        often = np.argsort(-many, kind="stable")[:DENSE]
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(ids)))
+        dense = self.row[place] >= 0
+        self.dense[self.row[place[dense]], owner[dense]] = weight[dense]
+        many[often] = 0
+        self.begin = np.concatenate([[0], np.cumsum(many)])
+        order = np.argsort(place[~dense], kind="stable")
+        self.example, self.weight = owner[~dense][order].astype(np.int32), weight[~dense][order]
         self._calibrate(owner, place, weight, prior)
 
     def weigh(self, owner: np.ndarray, place: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -100,34 +99,35 @@ class Index:
         raw = (1.0 + np.log(count)) * self.idf[place]
         return raw / np.sqrt(np.bincount(owner, raw**2, n))[owner]
 
-    def nearest(self, place: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 and their cosines; smaller numbers first among equals."""
-        bound = weight @ self.top[place]
-        order = np.argsort(-bound, kind="stable")
-        best, cosine, at, wave = np.zeros(0, np.int64), np.zeros(0), 0, WAVE
-        while at < len(order):
-            blocks = order[at : at + wave]
-            least = cosine[k - 1] - 1e-12 if len(best) >= k else 0.0
-            blocks = blocks[(bound[blocks] > 0) & (bound[blocks] >= least)]
-            if not len(blocks):
-                break
-            slot = (place[:, None] * self.blocks + blocks).ravel()
-            begin = self.begin[slot]
-            size = self.begin[slot + 1] - begin
-            posting = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            product = self.weight[posting] * np.repeat(np.repeat(weight, len(blocks)), size)
-            score = np.bincount(self.example[posting], product, len(self.ids))
-            if but >= 0:
-                score[but] = 0.0
-            hit = np.flatnonzero((score > 0) & (score >= least))
-            best, cosine = np.concatenate([best, hit]), np.concatenate([cosine, score[hit]])
-            if len(best) > 4 * k:
-                some = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
-                best, cosine = best[some], cosine[some]
-            ranked = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[ranked], cosine[ranked]
-            at, wave = at + wave, wave * 4
-        return best, cosine
+    def cosines(self, owner: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Cosines of ``n`` texts with all examples, rounded so that equal examples tie."""
+        row, size = self.row[place], self.begin[place + 1] - self.begin[place]
+        dense = row >= 0
+        text = np.zeros((n, len(self.dense)))
+        text[owner[dense], row[dense]] = weight[dense]
+        posting = np.repeat(self.begin[place] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        cell = np.repeat(owner * len(self.ids), size) + self.example[posting]
+        rest = np.bincount(cell, self.weight[posting] * np.repeat(weight, size), n * len(self.ids))
+        return np.round(text @ self.dense + rest.reshape(n, len(self.ids)), 12)
+
+    def nearest_of(self, owner: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``n`` texts (``owner`` ascending), the k examples of largest cosine above 0, without ``but``; smaller numbers first among equals."""
+        for low in range(0, n, BLOCK):
+            rows = min(BLOCK, n - low)
+            mine = slice(*np.searchsorted(owner, (low, low + rows)))
+            cosine = self.cosines(owner[mine] - low, place[mine], weight[mine], rows)
+            if but is not None:
+                cosine[np.arange(rows), but[low : low + rows]] = 0.0
+            last = max(0, cosine.shape[1] - k)
+            least = np.partition(cosine, last, axis=1)[:, last]
+            for one, limit in zip(cosine, least):
+                hit = np.flatnonzero((one >= limit) & (one > 0))
+                best = hit[np.argsort(-one[hit], kind="stable")][:k]
+                yield best, one[best]
+
+    def nearest(self, place: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one text."""
+        return next(self.nearest_of(np.zeros(len(place), np.int64), place, weight, 1, k))
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic examples by weights that fall with distance; far ones leave the vote near 0."""
@@ -138,9 +138,8 @@ class Index:
     def _calibrate(self, owner: np.ndarray, place: np.ndarray, weight: np.ndarray, prior: tuple[float, float]) -> None:
         ends = np.searchsorted(owner, np.arange(len(self.ids) + 1))
         votes, has = np.zeros(len(self.ids)), np.diff(ends) > 0
-        for k in np.flatnonzero(has):
-            mine = slice(ends[k], ends[k + 1])
-            votes[k] = self.vote(*self.nearest(place[mine], weight[mine], but=int(k)))
+        for k, found in enumerate(self.nearest_of(owner, place, weight, len(self.ids), but=np.arange(len(self.ids)))):
+            votes[k] = self.vote(*found)
         mass = np.where(self.toxic == 1, prior[1], prior[0])
         none = mass[~has].sum()
         self.alone = float((mass * self.toxic)[~has].sum() / none) if none else 0.0
@@ -154,23 +153,8 @@ class Index:
         points = [(p[j], p[0]) for p in pools for j in (2, 3)] or [(0.0, 0.0)]
         self.curve = np.array(points).T
 
-    def score(self, place: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        best, cosine = self.nearest(place, weight)
-        if not len(best):
-            return self.alone, best, cosine
-        return float(np.interp(self.vote(best, cosine), *self.curve)), best, cosine
-
-
-def choose(owner: np.ndarray, term: np.ndarray, toxic: np.ndarray, most: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the terms whose presence depends on the label, by chi-square with classes of equal weight in count."""
-    known, place = np.unique(term, return_inverse=True)
-    yes = np.bincount(place, toxic[owner], len(known))
-    no = np.bincount(place, 1 - toxic[owner], len(known))
-    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-    n, have = n1 + n0, yes + no
-    chi = n * (yes * (n0 - no) - no * (n1 - yes)) ** 2 / np.maximum(1e-9, n1 * n0 * have * (n - have))
-    good = np.flatnonzero((have >= 3) & (chi >= CHI_SQUARE))
-    return np.sort(known[good[np.lexsort((known[good], -chi[good]))][:most]])
+    def score(self, best: np.ndarray, cosine: np.ndarray) -> float:
+        return float(np.interp(self.vote(best, cosine), *self.curve)) if len(best) else self.alone
 
 
 def _terms_of_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     count = np.concatenate([np.frombuffer(r[2], "<u4", n, 8 * n) for r, n in zip(rows, size)]) if rows else np.zeros(0, np.uint32)
     if not 0 < toxic.sum() < len(toxic):
         return None
-    known = choose(owner, term, toxic)
+    known = np.unique(term)
     idf, _ = inverse_frequencies(docs, known)
     at = np.searchsorted(known, term)
     at[at == len(known)] = 0
@@ -229,8 +213,8 @@ def inverse_frequencies(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray,
     """Smoothed inverse document frequencies of the known terms over all documents, and their number."""
     sums = docs.select("text").mapInArrow(_frequencies(known), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     df = np.zeros(len(known) + 1)
-    for r in sums.collect():  # at most one row a known term
-        df[r["place"]] = r["n"]
+    got = sums.toArrow()  # at most one row a known term
+    df[got["place"].to_numpy()] = got["n"].to_numpy()
     return np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0, int(df[-1])
 
 
@@ -244,11 +228,8 @@ def _score(index: Index | None):
             if index is not None and len(index.known):
                 owner, place, count = counted(column(part, "text"), index.known)
                 weight = index.weigh(owner, place, count, n)
-                ends = np.searchsorted(owner, np.arange(n + 1))
-                for k in np.flatnonzero(np.diff(ends)):
-                    mine = slice(ends[k], ends[k + 1])
-                    score[k], best, cosine = index.score(place[mine], weight[mine])
-                    evidence[k], cosines[k] = index.ids[best], cosine
+                for k, (best, cosine) in enumerate(index.nearest_of(owner, place, weight, n)):
+                    score[k], evidence[k], cosines[k] = index.score(best, cosine), index.ids[best], cosine
             yield pa.RecordBatch.from_arrays(
                 [column(part, "doc_id"), column(part, "held_out"), *(pa.array(v, schema.field(j + 2).type) for j, v in enumerate((score, evidence, cosines)))], schema=schema
             )

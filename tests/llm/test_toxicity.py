@@ -42,6 +42,18 @@ def test_terms_lower_case_and_prefixes():
     assert set(one.tolist()) == set(two.tolist()) and len(set(one.tolist())) == 3
 
 
+def test_rare_toxic_words_are_evidence(spark):
+    clean = [(i, f"alpha beta gamma{i % 7} delta") for i in range(300)]
+    bad = [(1000 + i, f"alpha vilestuff beta word{i}" + (" zzrare" if i % 30 == 0 else "")) for i in range(150)]
+    docs = spark.createDataFrame([*clean, *bad, (9000, "zzrare")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i, _ in clean] + [(i, 1) for i, _ in bad], "doc_id long, toxic int")
+    index = T.fit(docs, labels)
+    learnt = dict(clean + bad)
+    assert set(T.terms(pa.array([learnt[i] for i in index.ids.tolist()]))[0].tolist()) == set(index.known.tolist())
+    row = T.score(docs.where("doc_id = 9000"), index).first()
+    assert set(row.evidence) == {i for i in index.ids.tolist() if "zzrare" in learnt[i]} and len(row.evidence) > 0 and row.score >= T.THRESHOLD
+
+
 def test_held_out_and_edges(spark):
     clean = [(i, f"alpha beta gamma{i % 7} delta") for i in range(200)]
     bad = [(1000 + i, f"alpha vilestuff{i % 5} beta") for i in range(100)]
