@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+#: Bytes of text and rows of a slice: numpy's working arrays take tens of bytes a byte.
+CHUNK, CHUNK_ROWS = 1 << 20, 1 << 14
 _MASKS = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -34,15 +37,25 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``size`` bytes of text; a longer text is a slice of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``size`` bytes of text and at most ``rows`` rows; a longer text is a slice of its own."""
     for batch in batches:
         _, at = utf8(column(batch, text))
         start = 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(at, at[start] + size, "right")) - 1)
+            stop = min(stop, start + rows)
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, at
+        relieve()
+
+
+def relieve() -> None:
+    """Give freed memory back, so that a reused Python worker does not keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -12,9 +12,9 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from helixframe.llm.textbytes import padded, span_hash, utf8
@@ -33,10 +33,7 @@ def _byte_chars() -> list[str]:
 
 class WordBpe:
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             whole = json.load(file)
         model = whole["model"]
@@ -47,12 +44,20 @@ class WordBpe:
         self.inner = np.array([vocab[c] for c in chars], np.int32)
         self.final = np.array([vocab[c + suffix] for c in chars], np.int32)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        pair = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
+        pair = np.fromiter((vocab[a] << 20 | vocab[b] for a, b in merges), np.int64, len(merges))
         order = np.argsort(pair)
         self.pair, self.rank = pair[order], order.astype(np.int32)
-        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
+        self.merged = np.fromiter((vocab[a + b] for a, b in merges), np.int32, len(merges))
         self._tables()
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, loaded when a first text needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _tables(self) -> None:
         self.low1 = np.arange(256, dtype=np.uint8)
         self.low1[65:91] += 32
@@ -129,10 +134,16 @@ class WordBpe:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         length = ends - starts
-        code, _ = pd.factorize(span_hash(padded(data), starts, length))
-        kinds = int(code.max()) + 1
-        where = np.zeros(kinds, np.int64)
-        where[code[::-1]] = np.arange(len(code))[::-1]
+        found = span_hash(padded(data), starts, length)
+        order = np.argsort(found)
+        found = found[order]
+        new = np.empty(len(found), bool)
+        new[0], new[1:] = True, found[1:] != found[:-1]
+        where = order[new]
+        code = np.empty(len(order), np.int32)
+        code[order] = np.cumsum(new, dtype=np.int32) - 1
+        kinds = len(where)
+        del found, order, new
         first, size = starts[where], length[where]
         chunk: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # pieces, counts, ids
         lower = 0
@@ -151,7 +162,8 @@ class WordBpe:
         count[piece], origin[piece] = number, np.cumsum(number) - number
         each = count[code]
         begin = np.concatenate([[0], np.cumsum(each)])
-        source = np.repeat(origin[code] - begin[:-1], each) + np.arange(begin[-1])
+        source = np.repeat((origin[code] - begin[:-1]).astype(np.int32), each)
+        source += np.arange(begin[-1], dtype=np.int32)
         return pool[source], begin
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -20,3 +20,18 @@ def test_stages_follow_each_other(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     want = packing.pack(step).collect()
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in want)
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    names = "target taken nth mix_size draw share rep class_id f score length held_out lang_pred".split()
+    text = "some words of a text that is long enough to have shingles and a language "
+    rows = [(k, f"{text} {k} " * 4, "en", f"s{k % 2}", 0, *[k] * len(names)) for k in range(8)] + [(None, None, None, None, None, *[None] * len(names))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for part in (docs, docs.limit(0)):
+        step = part
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            step = stage(spark, step, str(tmp_path))
+            assert step.columns == docs.columns
+        packed = packing.stage(spark, step, str(tmp_path)).collect()
+        assert (len(packed) > 0) == (part is docs)
