@@ -58,9 +58,9 @@ def _cut_pieces(path: str | None, capacity: int):
         encoder = _ENCODERS.setdefault(file, None) or WordBpe(file)
         _ENCODERS[file] = encoder
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for part in chunks(batches, size=5 << 20):
+        for part in chunks(batches):
             ids, at = encoder.encode(column(part, "text"))
-            ids = np.insert(ids, at[1:], END_ID).astype("<u4")
+            ids = np.insert(ids, at[1:], END_ID).astype("<u4", copy=False)
             at = at + np.arange(len(at))
             size = np.diff(at)
             number = (size + capacity - 1) // capacity
@@ -239,25 +239,29 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     pieces = cut(texts.mapInArrow(_cut_pieces(tokenizer, capacity), PIECE_SCHEMA), "pieces")
     dealt = cut(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows = plan(counts, capacity, groups).rows
-    columns = zip(*rows) if rows else [[]] * 6
-    names = ["length", "low", "high", "sequence", "each", "place"]
-    runs = spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in zip(names, columns)}))
     before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     base = cut(dealt.select("length", "task", before.alias("base")), "piece-base")
-    ranked = pieces.join(base, ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
-    runs = F.broadcast(runs.withColumnRenamed("length", "run_length"))  # bounded: runs of at most ``capacity`` lengths
-    inside = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    place = F.col("rank") - F.col("low")
-    return ranked.join(runs, inside).select(
-        "doc_id",
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
-        (F.col("sequence") + F.floor(place / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("place") + place % F.col("each") * F.col("length")).cast("long").alias("offset"),
-    )
+    # Tasks times lengths grow with the input: this side is never broadcast.
+    ranked = pieces.join(base.hint("merge"), ["length", "task"]).withColumn("nth", F.col("base") + F.col("nth"))
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "nth")
+    return ranked.mapInArrow(_place(plan(counts, capacity, groups)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def _place(plan: _Plan):
+    """Sequence and offset of each piece: its run is found by length and rank.  A plan has a bounded number of runs."""
+    rows = np.array(sorted(plan.rows), np.int64).reshape(-1, 6)
+    low, sequence, each, place = rows[:, 1], rows[:, 3], rows[:, 4], rows[:, 5]
+    key = (rows[:, 0] << 48) + low
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = column(batch, "length").to_numpy(), column(batch, "nth").to_numpy()
+            at = np.searchsorted(key, (length << 48) + rank, "right") - 1
+            rank = rank - low[at]
+            found = [pa.array(sequence[at] + rank // each[at]), pa.array(place[at] + rank % each[at] * length)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *found], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return run
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
