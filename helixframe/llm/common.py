@@ -38,6 +38,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def open_store(path: str):
+    """Arrow's file system for a path in the shared folder, and the name there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
@@ -49,6 +56,22 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table made by ``cut`` that no later plan reads."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Smallest reachable id of every vertex of the undirected ``edges(a, b)``.
 
@@ -78,6 +101,8 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
             least.join(up, "component").select("v", F.col("root").alias("component"), "old"), label
         )
         moved = after.where("component <> old").limit(1).count()
+        for past in (labels, least):
+            drop(past)
         labels = after.select("v", "component")
         if not moved:
             return labels

@@ -26,6 +26,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 FAN = 1024
 SEED = "mix-1"
+LEAST_WEIGHT = 0.1
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -36,9 +37,10 @@ def sized(docs: DataFrame, fan: int, keep: list[str]) -> DataFrame:
     u = (F.conv(head, 16, 10).cast("double") + 1.0) / float(2**52 + 2)
     out = docs.select(*keep, size.alias("mix_size"), F.length("text").cast("double").alias("mix_chars"), u.alias("mix_u"))
     mean = F.col("mix_chars") / F.col("mix_size")
-    weight = F.when(F.col("mix_size") > 0, F.greatest(F.lit(0.1), F.lit(1.0) - F.abs(mean - 6.0) / 10.0)).otherwise(F.lit(0.1))
+    weight = F.when(F.col("mix_size") > 0, F.greatest(F.lit(LEAST_WEIGHT), F.lit(1.0) - F.abs(mean - 6.0) / 10.0)).otherwise(F.lit(LEAST_WEIGHT))
     out = out.withColumn("mix_draw", -F.log("mix_u") / weight).drop("mix_chars", "mix_u")
-    place = F.lit(1.0) - F.exp(-F.col("mix_draw"))
+    # On the scale of the least weight no range is far fuller than the others, whatever the weights are.
+    place = F.lit(1.0) - F.exp(-F.col("mix_draw") * LEAST_WEIGHT)
     first, second = F.floor(place * fan), F.floor(place * fan * fan) % fan
     return out.withColumn("mix_b1", first.cast("int")).withColumn("mix_b2", second.cast("int"))
 
@@ -131,11 +133,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words carry no weight in a mix and stay once.  Texts are not shuffled: sizes
     and draws are computed again beside them and meet the plan of a row a source.
     """
-    ends = plan(cut(sized(docs, FAN, ["doc_id", "source"]), "mix"))
-    out = take(sized(docs, FAN, docs.columns), ends, [*docs.columns, "mix_size"])
+    # The row travels as one struct, so that no column of it meets a name of the plan.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", "source", "text", whole.alias("mix_row"))
+    ends = plan(cut(sized(rows, FAN, ["doc_id", "source"]), "mix"))
+    out = take(sized(rows, FAN, ["doc_id", "source", "mix_row"]), ends, ["mix_row", "mix_size"])
     copies = F.when(F.col("mix_size") > 0, F.floor(F.col("taken") / F.col("mix_size") + 0.5)).otherwise(1).cast("int")
     out = out.withColumn("mix_copies", copies).where("mix_copies > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy")).drop("mix_copy")
+    out = out.select("mix_row", F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy"))
+    return out.select(*[F.col("mix_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

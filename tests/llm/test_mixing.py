@@ -73,3 +73,18 @@ def test_stage_keeps_columns_and_copies(spark):
     for k in range(100):
         assert counts[k] == int(taken[k].taken / taken[k].size + 0.5)
     assert counts[200] == 1
+
+
+def test_stage_with_clashing_columns(spark):
+    names = "target left taken epochs mix_size source_size c1 c2 mix_source mix_row mix_copies mix_copy s rest upto nth a.b mix_draw mix_b1 mix_b2".split()
+    rows = [(k, "w " * 10, "a" if k < 30 else "b", *[k] * len(names)) for k in range(40)] + [(None, None, None, *[None] * len(names)), (1, "w " * 10, "a", *[1] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = mixing.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert all(set(r[3:]) == {r.doc_id} for r in out.collect())
+
+
+def test_stage_of_an_empty_table(spark):
+    docs = docs_of(spark, [])
+    out = mixing.stage(spark, docs, "")
+    assert out.columns == docs.columns and out.count() == 0
