@@ -2,9 +2,9 @@
 
 A text's terms are its lower-case words and their first four and five bytes.  The vocabulary is
 every term of a bounded sample of labelled examples (``POSITIVES`` and ``NEGATIVES``, evenly drawn by a hash of
-doc_id), so cosines are over all terms that a text can share with an example; document frequencies of its terms are counted over all documents.  The
-cosine with every example is computed, frequent terms by a matrix product and rare ones by an inverted index, so
-the k nearest are exact.  Distance-weighted votes are mapped to
+doc_id), so cosines are over all terms that a text can share with an example; document frequencies of its terms are counted over all documents.
+The examples form a block-max inverted index (see ``Index``), whose bounds leave out blocks that cannot hold one of the k
+nearest, so these are exact.  Distance-weighted votes are mapped to
 probabilities by isotonic regression on the examples' own leave-one-out votes, weighted to the
 labels' true shares.  The nearest examples are the evidence.
 
@@ -29,8 +29,8 @@ from helixframe.llm.textbytes import chunks, column, padded, span_hash, utf8, wo
 
 POSITIVES, NEGATIVES = 1000, 2000
 NEIGHBOURS = 15
-#: Terms whose weights are kept as a dense matrix, and texts multiplied with it at once.
-DENSE, BLOCK = 1024, 128
+#: Terms whose weights are kept as dense matrices, examples of a block, blocks looked at before the first bound, texts compared at once.
+DENSE, BLOCK, WAVE, TEXTS = 1024, 64, 3, 128
 THRESHOLD = 0.3
 _PREFIXES = (4, 5)
 _LETTER = np.zeros(256, bool)
@@ -76,7 +76,13 @@ def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarra
 
 
 class Index:
-    """Labelled examples: the most frequent terms as a dense matrix, the others as an inverted index."""
+    """Block-max inverted index of labelled examples.
+
+    Similar examples are put side by side and cut into blocks of ``BLOCK``.  Rare terms have postings; the ``DENSE`` most
+    frequent terms, whose postings hold most examples, are kept as one matrix a block with their largest weight in it.  A
+    block's bound is its largest sum over rare terms plus the product with its largest weights; blocks whose bound is under a
+    text's k-th best cosine are not looked at, so the k nearest are exact.
+    """
 
     def __init__(self, known: np.ndarray, idf: np.ndarray, owner: np.ndarray, place: np.ndarray, count: np.ndarray, ids: np.ndarray, toxic: np.ndarray, prior: tuple[float, float]) -> None:
         self.known, self.idf, self.ids, self.toxic = known, idf, ids, toxic
@@ -85,13 +91,24 @@ class Index:
         self.row = np.full(len(known), -1, np.int32)
         often = np.argsort(-many, kind="stable")[:DENSE]
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), len(ids)))
         dense = self.row[place] >= 0
-        self.dense[self.row[place[dense]], owner[dense]] = weight[dense]
+        whole = np.zeros((len(ids), len(often)))
+        whole[owner[dense], self.row[place[dense]]] = weight[dense]
+        #: Example in each slot, by block; slots beyond the last example have no terms.
+        self.slots = _side_by_side(whole)
+        self.blocks = -(-len(ids) // BLOCK)
+        self.size = self.blocks * BLOCK
+        self.dense = np.zeros((self.size, len(often)))
+        self.dense[: len(ids)] = whole[self.slots]
+        self.dense = self.dense.reshape(self.blocks, BLOCK, -1)
+        self.top = self.dense.max(axis=1).T.copy()
+        slot = np.empty(len(ids), np.int64)
+        slot[self.slots] = np.arange(len(ids))
         many[often] = 0
         self.begin = np.concatenate([[0], np.cumsum(many)])
         order = np.argsort(place[~dense], kind="stable")
-        self.example, self.weight = owner[~dense][order].astype(np.int32), weight[~dense][order]
+        self.example, self.weight = slot[owner[~dense]][order].astype(np.int32), weight[~dense][order]
+        self.looked = np.zeros(2, np.int64)  # blocks looked at, and all
         self._calibrate(owner, place, weight, prior)
 
     def weigh(self, owner: np.ndarray, place: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -99,31 +116,51 @@ class Index:
         raw = (1.0 + np.log(count)) * self.idf[place]
         return raw / np.sqrt(np.bincount(owner, raw**2, n))[owner]
 
-    def cosines(self, owner: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        """Cosines of ``n`` texts with all examples, rounded so that equal examples tie."""
+    def cosines(self, owner: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None) -> np.ndarray:
+        """Cosines of ``n`` texts with the examples by slot, -1 where a block's bound shows that none is among the k largest.
+
+        Rounded, so that equal examples tie.
+        """
         row, size = self.row[place], self.begin[place + 1] - self.begin[place]
         dense = row >= 0
-        text = np.zeros((n, len(self.dense)))
+        text = np.zeros((n, self.dense.shape[2]))
         text[owner[dense], row[dense]] = weight[dense]
         posting = np.repeat(self.begin[place] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        cell = np.repeat(owner * len(self.ids), size) + self.example[posting]
-        rest = np.bincount(cell, self.weight[posting] * np.repeat(weight, size), n * len(self.ids))
-        return np.round(text @ self.dense + rest.reshape(n, len(self.ids)), 12)
+        cell = np.repeat(owner * self.size, size) + self.example[posting]
+        rare = np.bincount(cell, self.weight[posting] * np.repeat(weight, size), n * self.size).reshape(n, self.blocks, BLOCK)
+        bound = text @ self.top + rare.max(axis=2)
+        out = np.full((n, self.blocks, BLOCK), -1.0)
+        slot = None if but is None else np.argsort(self.slots)[but]
+
+        def look(want: np.ndarray) -> None:
+            for block in np.flatnonzero(want.any(axis=0)):
+                rows = np.flatnonzero(want[:, block])
+                out[rows, block] = np.round(text[rows] @ self.dense[block].T + rare[rows, block], 12)
+            if slot is not None:
+                out.reshape(n, -1)[np.arange(n), slot] = -1.0
+
+        first = bound >= np.partition(bound, max(0, self.blocks - WAVE), axis=1)[:, max(0, self.blocks - WAVE), None]
+        look(first)
+        last = max(0, self.size - k)
+        least = np.maximum(0.0, np.partition(out.reshape(n, -1), last, axis=1)[:, last])
+        rest = ~first & (bound > 0) & (bound >= least[:, None] - 1e-9)
+        look(rest)
+        self.looked += int(first.sum() + rest.sum()), first.size
+        return out.reshape(n, -1)
 
     def nearest_of(self, owner: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of ``n`` texts (``owner`` ascending), the k examples of largest cosine above 0, without ``but``; smaller numbers first among equals."""
-        for low in range(0, n, BLOCK):
-            rows = min(BLOCK, n - low)
+        for low in range(0, n, TEXTS):
+            rows = min(TEXTS, n - low)
             mine = slice(*np.searchsorted(owner, (low, low + rows)))
-            cosine = self.cosines(owner[mine] - low, place[mine], weight[mine], rows)
-            if but is not None:
-                cosine[np.arange(rows), but[low : low + rows]] = 0.0
-            last = max(0, cosine.shape[1] - k)
+            cosine = self.cosines(owner[mine] - low, place[mine], weight[mine], rows, k, None if but is None else but[low : low + rows])
+            last = max(0, self.size - k)
             least = np.partition(cosine, last, axis=1)[:, last]
             for one, limit in zip(cosine, least):
                 hit = np.flatnonzero((one >= limit) & (one > 0))
-                best = hit[np.argsort(-one[hit], kind="stable")][:k]
-                yield best, one[best]
+                found = self.slots[hit]
+                order = np.lexsort((found, -one[hit]))[:k]
+                yield found[order], one[hit[order]]
 
     def nearest(self, place: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The same for one text."""
@@ -157,8 +194,23 @@ class Index:
         return float(np.interp(self.vote(best, cosine), *self.curve)) if len(best) else self.alone
 
 
+def _side_by_side(rows: np.ndarray) -> np.ndarray:
+    """An order of the vectors in which similar ones are neighbours: spherical k-means from evenly spaced ones."""
+    centre = rows[:: max(1, len(rows) // max(1, len(rows) // BLOCK))]
+    for _ in range(6):
+        near = (rows @ centre.T).argmax(axis=1)
+        total = np.zeros_like(centre)
+        np.add.at(total, near, rows)
+        centre = total / np.maximum(1e-12, np.linalg.norm(total, axis=1, keepdims=True))
+    # Clusters that are alike follow each other too.
+    rank = np.argsort(centre @ centre.sum(axis=0), kind="stable")
+    place = np.empty(len(centre), np.int64)
+    place[rank] = np.arange(len(centre))
+    return np.argsort(place[near], kind="stable")
+
+
 def _terms_of_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches, size=2 << 20):
+    for part in chunks(batches):
         owner, term, count = counted(column(part, "text"))
         ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
         packed = [term[a:b].tobytes() + count[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
@@ -222,7 +274,7 @@ def _score(index: Index | None):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, size=4 << 20):
+        for part in chunks(batches):
             n = part.num_rows
             score, evidence, cosines = [0.0 if index is None else index.alone] * n, [[] for _ in range(n)], [[] for _ in range(n)]
             if index is not None and len(index.known):

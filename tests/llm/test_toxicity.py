@@ -1,9 +1,18 @@
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 
 from helixframe.llm import toxicity as T
 
 
+def letters(k):
+    """A word for a number: digits are no letters of a term."""
+    return (chr(97 + int(k) // 26) + chr(97 + int(k) % 26)) * 3
+
+
 def _index(rng, n=300, words=60):
     texts = [" ".join(f"w{k}" for k in rng.integers(0, words, 12)) for _ in range(n)]
     toxic = np.array([int("w3 " in t + " ") for t in texts])
@@ -36,6 +45,79 @@ def test_nearest_equals_brute_force():
         assert len(best) == min(15, int((cosine > 0).sum()))
 
 
+def test_blocks_are_left_out_and_nothing_is_lost():
+    """Two kinds of texts without a common frequent word: the bounds leave out blocks of the other kind."""
+    rng = np.random.default_rng(5)
+    words = lambda kind, n: " ".join(kind + letters(k) for k in rng.zipf(1.4, n) % 90)
+    texts = [words("ab"[i % 2], 40) for i in range(900)]
+    owner, term, count = T.counted(pa.array(texts))
+    known = np.unique(term)
+    place = np.searchsorted(known, term)
+    order = np.lexsort((place, owner))
+    index = T.Index(known, np.linspace(1, 2, len(known)), owner[order], place[order], count[order], np.arange(900), np.arange(900) % 3 // 2, (1.0, 1.0))
+    index.looked[:] = 0
+    weight = index.weigh(owner[order], place[order], count[order], 900)
+    dense = np.zeros((900, len(known)))
+    dense[owner[order], place[order]] = weight
+    cosine = np.round(dense @ dense.T, 12)
+    for k, (best, got) in enumerate(index.nearest_of(owner[order], place[order], weight, 900)):
+        assert np.allclose(got, np.sort(cosine[k])[::-1][:15], atol=1e-11) and (got > 0).all()
+        assert set(best) >= set(np.flatnonzero(cosine[k] > got[-1] + 1e-10))
+    assert index.looked[0] < 0.8 * index.looked[1]
+
+
+def isotonic(x, y, w):
+    """Means of the least upper and largest lower sets, by the min-max formula."""
+    levels = sorted(set(x))
+    mass = np.array([sum(m for v, m in zip(x, w) if v == level) for level in levels])
+    mean = np.array([sum(a * m for v, a, m in zip(x, y, w) if v == level) for level in levels]) / mass
+    part = lambda a, b: float((mean[a : b + 1] * mass[a : b + 1]).sum() / mass[a : b + 1].sum())
+    return levels, [max(min(part(a, b) for b in range(k, len(levels))) for a in range(k + 1)) for k in range(len(levels))]
+
+
+def test_whole_operator_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(160):
+        bad = i % 4 == 1
+        rows.append((i, " ".join([letters(k) for k in rng.integers(0, 40, 14)] + (["vile" + letters(k) for k in rng.integers(0, 6, 1 + i % 3)] if bad and i % 16 != 1 else [])), int(bad)))
+    rows += [(1000 + k, t, None) for k, t in enumerate(("ababab vileacacac vileadadad", "ahahah aiaiai", "Unknownterm", "", None))]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in T.score(docs, T.fit(docs, labels)).collect()}
+
+    def bag(text):
+        words = re.findall(r"[a-z]+", re.sub(r"[0-9]", " ", (text or "").lower()))
+        return Counter(w for w in words) + Counter(("4", w[:4]) for w in words if len(w) > 4) + Counter(("5", w[:5]) for w in words if len(w) > 5)
+
+    bags = {i: bag(t) for i, t, _ in rows}
+    learn = [i for i, _, y in rows if y is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    label = {i: y for i, _, y in rows}
+    known = set().union(*(bags[i] for i in learn))
+    idf = {t: np.log((1 + len(rows)) / (1 + sum(t in b for b in bags.values()))) + 1 for t in known}
+
+    def unit(b):
+        v = {t: (1 + np.log(n)) * idf[t] for t, n in b.items() if t in known}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    units = {i: unit(b) for i, b in bags.items()}
+
+    def vote(i, skip):
+        near = sorted(((-round(sum(x * units[j].get(t, 0.0) for t, x in units[i].items()), 12), j) for j in learn if j != skip))[:15]
+        near = [(-c, j) for c, j in near if c < 0]
+        weight = [min(1, c) ** 2 / (1.05 - min(1, c)) for c, _ in near]
+        return sum(w * label[j] for w, (_, j) in zip(weight, near)) / (sum(weight) + 0.05), [j for _, j in near]
+
+    votes = [vote(i, i)[0] for i in learn]
+    levels, means = isotonic(votes, [label[i] for i in learn], [1.0] * len(learn))
+    for i, _, _ in rows:
+        value, near = vote(i, None)
+        want = float(np.interp(value, levels, means)) if near else 0.0
+        assert abs(got[i].score - want) < 1e-6 and got[i].evidence == near, i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_terms_lower_case_and_prefixes():
     one, _ = T.terms(pa.array(["Éclair"]))
     two, _ = T.terms(pa.array(["éclair"]))
