@@ -88,7 +88,8 @@ def _codes(length: int, blocks: int, words: int) -> tuple[list[tuple[np.ndarray,
     one /= np.linalg.norm(one, axis=1, keepdims=True)
     two -= (two * one).sum(axis=1, keepdims=True) * one
     two = COSINE * one + math.sqrt(1 - COSINE**2) * two / np.linalg.norm(two, axis=1, keepdims=True)
-    met = sum(bool(len(np.intersect1d(a, b))) for a, b in zip(_passed(one, codes[0][1], low, 0), _passed(two, codes[0][1], low, 0)))
+    (i, a), (j, b) = _passed(one, codes[0][1], low, 0), _passed(two, codes[0][1], low, 0)
+    met = len(set(i[np.isin(i + a * PLANTED, j + b * PLANTED)].tolist()))
     miss = 1 - min(max(met, 1), PLANTED - 1) / PLANTED
     codes += [code() for _ in range(math.ceil(math.log(1 - RECALL) / math.log(miss)) - CODES)]
     return codes, low
@@ -99,32 +100,39 @@ def _scores(turned: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
     return [turned[:, k * width : (k + 1) * width] @ book.T for k, book in enumerate(books)]
 
 
-def _passed(turned: np.ndarray, books: list[np.ndarray], reach: float, number: int) -> list[np.ndarray]:
-    """For each turned vector, the numbers of the filters of code ``number`` that it passes."""
-    words, scores = len(books[0]), _scores(turned, books)
-    tops, found = [s.max(axis=1) for s in scores], []
-    for row in range(len(turned)):
-        rest = sum(float(t[row]) for t in tops)
-        sums, words_so_far = np.zeros(1), np.full(1, number, np.int64)
-        for k in range(len(books)):
-            rest -= float(tops[k][row])
-            mine = scores[k][row]
-            word = np.flatnonzero(mine >= reach - rest - sums.max())
-            start = sums >= reach - rest - float(tops[k][row])
-            total = sums[start][:, None] + mine[word]
-            i, j = np.nonzero(total >= reach - rest)
-            sums, words_so_far = total[i, j], words_so_far[start][i] * words + word[j]
-            if not len(sums):
-                break
-        found.append(words_so_far)
-    return found
+def _passed(turned: np.ndarray, books: list[np.ndarray], reach: float, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all turned vectors at once, (vector, filter of code ``number`` that it passes), in order of vector.
+
+    Partial codes are extended block by block as long as their best completion reaches the threshold.
+    """
+    n, words, scores = len(turned), len(books[0]), _scores(turned, books)
+    tops = [s.max(axis=1) for s in scores]
+    rest = sum(tops)
+    owner, sums, code = np.arange(n), np.zeros(n), np.full(n, number, np.int64)
+    for top, mine in zip(tops, scores):
+        rest = rest - top
+        start = sums >= (reach - rest - top)[owner]
+        owner, sums, code = owner[start], sums[start], code[start]
+        best = np.full(n, -np.inf)
+        np.maximum.at(best, owner, sums)
+        row, word = np.nonzero(mine >= (reach - rest - best)[:, None])
+        begin = np.searchsorted(row, np.arange(n + 1))
+        size = begin[owner + 1] - begin[owner]
+        at = np.repeat(begin[owner] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        owner, code = np.repeat(owner, size), np.repeat(code, size) * words + word[at]
+        sums = np.repeat(sums, size) + mine[owner, word[at]]
+        good = sums >= (reach - rest)[owner]
+        owner, sums, code = owner[good], sums[good], code[good]
+    return owner, code
 
 
 def decode(unit: np.ndarray, blocks: int, words: int) -> list[np.ndarray]:
     """For each unit vector, the sorted numbers of the filters that it passes."""
     codes, reach = _codes(unit.shape[1], blocks, words)
     found = [_passed(unit @ turn, books, reach, number) for number, (turn, books) in enumerate(codes)]
-    return [np.sort(np.concatenate(f)) for f in zip(*found)]
+    owner, code = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((code, owner))
+    return np.split(code[order], np.searchsorted(owner[order], np.arange(1, len(unit))))
 
 
 def vectors(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,9 +174,11 @@ def _filters(blocks: int, words: int):
             for size in np.unique(length):
                 for rows in np.array_split(np.flatnonzero(length == size), max(1, int((length == size).sum()) // step)):
                     part = batch.take(pa.array(rows))
-                    # A filter's number carries the length, so that only equal lengths meet.
                     found = decode(units(column(part, "embedding"), int(size)), blocks, words)
-                    yield pa.RecordBatch.from_arrays([column(part, "rep"), pa.array([(f << 12) + int(size) % 4096 for f in found], pa.list_(pa.int64()))], ["rep", "filters"])
+                    # A filter's number carries the length, so that only equal lengths meet.
+                    flat = (np.concatenate(found) << 12) + int(size) % 4096
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([column(part, "rep"), lists], ["rep", "filters"])
 
     return run
 
@@ -298,10 +308,13 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     passed = cut(reps.select("rep", "embedding").mapInArrow(_filters(blocks, words), "rep long, filters array<long>"), "caps-filters")
     dealt = passed.select("rep", F.explode("filters").alias("filter"))
     shared = dealt.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = dealt.join(cut(shared.drop("m"), "caps-shared"), "filter").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # Only ids and filters travel until here; filters of one vector are gone, from a vector's own list too.
+    met = cut(dealt.join(cut(shared.drop("m"), "caps-shared"), "filter"), "caps-met")
+    carried = reps.join(met.groupBy("rep").agg(F.sort_array(F.collect_list("filter")).alias("filters")), "rep")
+    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("filter", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "rep")
-    full = cut(met, "caps-met").join(reps, "rep").join(passed, "rep")
+    full = met.join(cut(carried, "caps-carried"), "rep")
     full = full.repartition("filter", "b0", "b1").sortWithinPartitions("filter", "b0", "b1", "rep")
     found = cut(full.mapInArrow(_compare(cosine), "a long, b long, n long"), "caps-links")
     counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
