@@ -5,11 +5,11 @@ all of them); words are runs of non-space bytes.  Texts link if their weighted J
 smaller over the sum of larger multiplicities, is at least 0.8.
 
 BagMinHash: the weight axis is cut into the unit bin [0, 1) and dyadic bins [2^k, 2^(k+1)).  Each
-shingle has one Poisson process a bin, whose rate is the bin's width; a point carries a
-signature component and its unit cell, found by halving the bin, and counts for a text if the cell
-lies below the text's multiplicity.  The component's value is its first point's time, so two texts
-agree in it with probability equal to their similarity.  Points are drawn up to a horizon at which
-all components are likely filled; the few texts that have gaps are drawn again to a later one, which changes no value.
+shingle has one Poisson process a bin, whose rate is the bin's width.  A process is known by its first point,
+which carries a signature component; it is split into halves, one of which keeps the point while the other starts
+later, until its cell lies below the text's multiplicity or beyond it.  The component's value is its first point's
+time, so two texts agree in it with probability equal to their similarity.  A process ends as soon as it is later than
+the largest component of its text, so few points are drawn for long texts.
 
 Bands of the signature propose pairs.  Exact copies are one vertex.  In a bucket every
 member is compared with the smallest id, so tight groups cost linear work.  Where a member
@@ -18,14 +18,16 @@ by block as matrices of shared elements; only links that join components leave s
 class is lost and no list of pairs is made.
 
 Nulls and edge cases: texts that are null or have no word link with nothing; so do rows with a null
-doc_id; repeated rows are copies; a doc_id is taken to name one text; an empty table gives an
-empty result; columns other than doc_id and text are ignored.
+doc_id; repeated rows are copies; where rows of one doc_id have several texts, each row is judged by its own copies and the
+text with the smallest MD5 stands for the id in comparisons; an empty table gives an empty result; columns other than doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import components, cut, table
+from helixframe.llm.common import components, cut, table, unused
 from helixframe.llm.textbytes import chunks, column, mix, utf8, word_hashes
 
 SIMILARITY = 0.8
@@ -41,7 +43,9 @@ SHINGLE = 5
 BANDS, ROWS = 20, 6
 #: Ids of up to this many candidate documents are broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 1_000_000
-MEMBERS_A_TASK = 256
+MEMBERS_A_TASK = 64
+#: Below so many live processes each gives ``BLOCK_POINTS`` points at once.
+FEW, BLOCK_POINTS = 4096, 16
 #: A large bucket is dealt into blocks of about so many members and bytes of multisets.
 BLOCK_MEMBERS, BLOCK_BYTES = 400, 16 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -71,46 +75,109 @@ def shingles(data: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.nda
 
 
 def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
-    """BagMinHash signatures of ``n`` multisets; ``owner`` is sorted.  No elements: infinities."""
+    """BagMinHash signatures of ``n`` multisets; ``owner`` is sorted.  No elements: infinities.
+
+    All texts' processes advance side by side, in rounds, and a process ends when its point is later than the
+    largest component of its text so far, as no later point can lower any.
+    """
     out = np.full((n, m), np.inf)
-    total = np.bincount(owner, weight, n)
-    todo = np.flatnonzero(total > 0)
-    reach = np.log(m) + 2.5
-    while len(todo):
-        pick = np.zeros(n, bool)
-        pick[todo] = True
-        mine = pick[owner]
-        _draw(out, owner[mine], element[mine], weight[mine], m * reach / np.maximum(total, 1), m)
-        todo = todo[np.isinf(out[todo]).any(axis=1)]
-        reach *= 2
+    live = _roots(owner, element, weight)
+    while len(live.own):
+        # Cells beyond the weight are left out by splitting; a process inside it gives its point.
+        inside = live.low + live.width <= live.weight
+        fresh = inside & ~live.used
+        np.minimum.at(out.reshape(-1), live.own[fresh] * m + _component(live.draw[fresh], m), live.time[fresh])
+        limit = out.max(axis=1)
+        live = _Processes.joined(_next(live.of(inside & (live.width == 1))), *_split(live.of(live.width > 1)))
+        live = live.of(live.time <= limit[live.own])
+        if 0 < len(live.own) < FEW:
+            _run_out(out, live, m)
+            live = live.of((live.width > 1) & (live.time <= out.max(axis=1)[live.own]))
     return out
 
 
-def _draw(out: np.ndarray, owner: np.ndarray, element: np.ndarray, weight: np.ndarray, horizon: np.ndarray, m: int) -> None:
-    """Lower ``out`` by all points of the processes up to each text's horizon."""
-    flat, low = out.reshape(-1), 0
-    while len(owner):
-        width = max(1, low)
-        seed = mix(element * np.uint64(0x9E3779B97F4A7C15) + np.uint64(low + 1))
-        own, wide, time = owner, weight, np.zeros(len(owner))
-        step = 0
-        while len(own):
-            step += 1
-            draw = mix(seed + np.uint64(step * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-            time = time - np.log(((draw >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) / width
-            live = time <= horizon[own]
-            own, wide, time, seed, draw = own[live], wide[live], time[live], seed[live], draw[live]
-            place = own * m + (((draw & np.uint64(0xFFFFFF)) * np.uint64(m)) >> np.uint64(24)).astype(np.int64)
-            if width == 1:
-                np.minimum.at(flat, place, time)
-            else:  # width is a power of two: the low bits of another hash are the halvings
-                inside = low + (mix(draw) & np.uint64(width - 1)).astype(np.int64) < wide
-                np.minimum.at(flat, place[inside], time[inside])
-        low = 1 if low == 0 else low * 2
+class _Processes(NamedTuple):
+    """Poisson processes over cells [low, low + width) of an element's weight axis, each at its first point not yet passed on.
+
+    ``draw`` decides a point's component and the half of the cell it lies in; ``used`` marks points that have counted.
+    """
+
+    own: np.ndarray
+    element: np.ndarray
+    weight: np.ndarray
+    low: np.ndarray
+    width: np.ndarray
+    time: np.ndarray
+    draw: np.ndarray
+    used: np.ndarray
+
+    def of(self, which: np.ndarray) -> _Processes:
+        return _Processes(*(x[which] for x in self))
+
+    @staticmethod
+    def joined(*parts: _Processes) -> _Processes:
+        return _Processes(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _component(draw: np.ndarray, m: int) -> np.ndarray:
+    return (((draw & np.uint64(0xFFFFFF)) * np.uint64(m)) >> np.uint64(24)).astype(np.int64)
+
+
+def _wait(draw: np.ndarray) -> np.ndarray:
+    """Exponential times of rate 1 from the upper bits, which neither component nor half uses."""
+    return -np.log(((draw >> np.uint64(25)).astype(np.float64) + 0.5) * 2.0**-39)
+
+
+def _seed(element: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    return mix(element * _ODD[0] + (low.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _ODD[2] + width.astype(np.uint64) * _ODD[4])
+
+
+def _roots(owner: np.ndarray, element: np.ndarray, weight: np.ndarray) -> _Processes:
+    """The first points of the bins [0, 1), [1, 2), [2, 4), ... that begin below each element's weight."""
+    parts, low = [], 0
+    while True:
+        width = np.full(len(owner), max(1, low))
+        draw = _seed(element, np.full(len(owner), low), width)
+        parts.append(_Processes(owner, element, weight, np.full(len(owner), low), width, _wait(draw) / width, draw, np.zeros(len(owner), bool)))
+        low = max(1, 2 * low)
         more = weight > low
+        if not more.any():
+            return _Processes.joined(*parts)
         owner, element, weight = owner[more], element[more], weight[more]
 
 
+def _split(p: _Processes) -> tuple[_Processes, _Processes]:
+    """Both halves of each cell: the point's own half keeps it, the other gets a first point of its own, later than it."""
+    half = p.width // 2
+    right = (p.draw >> np.uint64(24)) & np.uint64(1) == 1
+    again = mix(p.draw + _ODD[1])  # the point's next bit; its component stays
+    keep = p._replace(low=p.low + np.where(right, half, 0), width=half, draw=(p.draw & np.uint64(0xFFFFFF)) | (again & ~np.uint64(0xFFFFFF)))
+    low = p.low + np.where(right, 0, half)
+    draw = _seed(p.element, low, half)
+    other = p._replace(low=low, width=half, time=p.time + _wait(draw) / half, draw=draw, used=np.zeros(len(half), bool))
+    keep = keep._replace(used=p.used | (p.low + p.width <= p.weight))
+    return tuple(x.of(x.low < x.weight) for x in (keep, other))
+
+
+def _next(p: _Processes) -> _Processes:
+    """The next point of each unit cell."""
+    draw = mix(p.draw * _ODD[3] + _ODD[0])
+    return p._replace(time=p.time + _wait(draw), draw=draw, used=np.zeros(len(draw), bool))
+
+
+def _run_out(out: np.ndarray, live: _Processes, m: int) -> None:
+    """The points of a few unit cells, ``BLOCK_POINTS`` at a time, until they are later than all components of their text."""
+    p = live.of(live.width == 1)
+    p = _Processes.joined(p.of(~p.used), _next(p.of(p.used)))
+    while len(p.own):
+        time, draw = np.empty((len(p.own), BLOCK_POINTS)), np.empty((len(p.own), BLOCK_POINTS), np.uint64)
+        for k in range(BLOCK_POINTS):
+            time[:, k], draw[:, k] = p.time, p.draw
+            p = _next(p)
+        np.minimum.at(out.reshape(-1), (p.own[:, None] * m + _component(draw, m)).ravel(), time.ravel())
+        p = p.of(p.time <= out.max(axis=1)[p.own])
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     bits = np.ascontiguousarray(signature).view(np.uint64).reshape(len(signature), bands, rows)
     key = np.zeros((len(signature), bands), np.uint64) + np.arange(bands, dtype=np.uint64) * _ODD[1]
@@ -136,7 +203,7 @@ def _sign(bands: int, rows: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches, size=2 << 20):
+    for part in chunks(batches):
         data, at = utf8(column(part, "text"))
         owner, element, weight = shingles(data, at)
         ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
@@ -274,7 +341,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     usable = signed.where("key is not null and doc_id is not null")
     ids = usable.groupBy("key").agg(F.min("doc_id").alias("rep"))
     copies = cut(ids, "bag-copies")
-    reps = signed.join(copies, (signed["key"] == copies["key"]) & (signed["doc_id"] == copies["rep"])).select("rep", "bands").dropDuplicates(["rep"])
+    reps = signed.join(copies, (signed["key"] == copies["key"]) & (signed["doc_id"] == copies["rep"])).groupBy("rep").agg(F.min_by("bands", signed["key"]).alias("bands"))
     dealt = cut(reps.select("rep", F.explode("bands").alias("bucket")), "bag-buckets")
     full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1").select("bucket", "hub")
     member = cut(dealt.join(cut(full, "bag-hubs"), "bucket"), "bag-members")
@@ -282,7 +349,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
     wanted = cut(member.select(F.col("rep").alias("doc_id")).distinct(), "bag-wanted")
     narrow = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    bags = cut(texts.join(narrow, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, bag binary"), "bag-sets")
+    bags = cut(texts.join(narrow, "doc_id", "left_semi").where("text is not null").groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text")).mapInArrow(_sets, "doc_id long, bag binary"), "bag-sets")
     sims = verify(star, bags)
     links = sims.where(F.col("sim") >= similarity).select("a", "b")
     labels = components(links)
@@ -313,8 +380,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     twice = cut(marks.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "near-twice")
     if not twice.limit(1).count():
         return rows.select(*docs.columns)
+    nth = unused(docs, "nth")
     one = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    several = rows.join(twice, "doc_id", "left_semi").withColumn("nth", one).where("nth = 1").drop("nth")
+    several = rows.join(twice, "doc_id", "left_semi").withColumn(nth, one).where(F.col(nth) == 1).drop(nth)
     return rows.join(twice, "doc_id", "left_anti").unionByName(several).select(*docs.columns)
 
 

@@ -91,5 +91,48 @@ def test_stage_keeps_one_of_each_class(spark):
     assert sorted(k for k in kept if k is not None) == sorted(want) and kept.count(None) == 1
 
 
+def test_points_do_not_depend_on_the_company():
+    """A text's signature is the same alone, with others, and where few processes are left."""
+    rng = np.random.default_rng(2)
+    size = [1, 3, 40, 700]
+    owner = np.repeat(np.arange(4), size)
+    element = rng.integers(0, 2**47, len(owner)).astype(np.uint64)
+    weight = rng.choice([1, 1, 1, 2, 3, 7, 100], len(owner))
+    whole = B.signatures(owner, element, weight, 4, 120)
+    assert np.isfinite(whole).all()
+    for k in range(4):
+        mine = owner == k
+        assert (B.signatures(np.zeros(size[k], np.int64), element[mine], weight[mine], 1, 120)[0] == whole[k]).all()
+    assert np.isinf(B.signatures(owner[:0], element[:0], weight[:0], 1, 120)).all()
+
+
+def test_first_points_have_the_weight_as_rate():
+    """The components of one element of weight w are exponential of rate w / m."""
+    element = np.arange(400, dtype=np.uint64) * np.uint64(7919)
+    for w in (1, 3, 6, 13):
+        s = B.signatures(np.arange(400), element, np.full(400, w), 400, 64)
+        assert np.mean(s) * w / 64 == pytest.approx(1.0, rel=0.03)
+        assert np.mean(s > 64 / w) == pytest.approx(np.exp(-1), rel=0.06)
+
+
+def test_stage_with_clashing_columns(spark):
+    names = "nth rep key kept class_id component n bucket hub a b".split()
+    rows = made()[:40] + [(903, "again and again"), (903, "again and again"), (903, "another text")]
+    docs = spark.createDataFrame([(i, t, *[k] * len(names)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = B.stage(spark, docs, "")
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} >= {903}
+    assert B.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_one_id_with_several_texts_is_stable(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, base), (7, "quite another text of its own kind"), (9, base + " more"), (3, base + " less")]
+    want = None
+    for k in range(3):
+        got = sorted((r.doc_id, r.class_id) for r in B.near_classes(frame(spark, rows[k:] + rows[:k]).repartition(3)).collect())
+        assert want is None or got == want
+        want = got
+
+
 def test_empty(spark):
     assert B.near_classes(frame(spark, [])).count() == 0
