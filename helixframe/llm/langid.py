@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table
+from helixframe.llm.common import cut, table
 from helixframe.llm.textbytes import chunks, column, padded, utf8
 
 #: Closely related languages; a language not named here is a family of its own.
@@ -33,8 +33,11 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ca", "gl", "oc", "ro"),
     "slavic": ("pl", "cs", "sk", "sl", "hr", "sr", "bs", "bg", "mk", "ru", "uk", "be"),
 }
-PER_LANGUAGE = 500
+#: Texts learnt of each language, at most about so many.
+PER_LANGUAGE = 750
 WIDTH = 2048
+#: Rows of a slice: their dense vectors are held at once.
+SLICE = 500
 _LOW = np.full(256, 32, np.uint8)
 _LOW[97:123] = _LOW[65:91] = np.arange(97, 123)
 _LOW[128:] = np.arange(128, 256)
@@ -125,22 +128,23 @@ class Model:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches, size=2 << 20):
+    for part in chunks(batches, rows=SLICE):
         rows = features(column(part, "text"))
         yield pa.RecordBatch.from_arrays([column(part, "lang"), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "x"])
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Train on at most about ``1.5 * per_language`` texts of each language."""
-    learn = docs.where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return None
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.5 * per_language / n)).otherwise(share)
-    sample = learn.where(draw < share).select("lang", "text").mapInArrow(_featurise, "lang string, x binary")
+    """Train on about ``per_language`` texts of each language, drawn by a hash of id and text.
+
+    A draw is shared by repeated rows, which are learnt once, so that no id or text fills the sample.
+    """
+    learn = docs.select("doc_id", "lang", "text").where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("drawn_lang"), (per_language / F.col("n")).alias("share"))
+    counts = cut(counts, "lang-counts")  # read from a file, so the plan knows its size and texts are not shuffled for it
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    # A row a language: a table of its own, not an expression, so that any number of languages will do.
+    sample = learn.withColumn("draw", draw).join(counts, (F.col("lang") == F.col("drawn_lang")) & (F.col("draw") < F.col("share")))
+    sample = sample.select("doc_id", "lang", "text").distinct().select("lang", "text").mapInArrow(_featurise, "lang string, x binary")
     rows = sorted((r["lang"], bytes(r["x"])) for r in sample.collect())
     x = np.stack([np.frombuffer(v, np.float32) for _, v in rows]) if rows else np.zeros((0, WIDTH), np.float32)
     return Model(x, [lang for lang, _ in rows]) if rows else None
@@ -148,17 +152,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in chunks(batches, size=4 << 20):
-            for start in range(0, big.num_rows, 2000):
-                part = big.slice(start, 2000)
-                text = column(part, "text")
-                readable = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                if model is None:
-                    lang, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
-                else:
-                    lang, score = model.predict(features(text))
-                    lang[~readable], score[~readable] = "und", 1.0
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+        for part in chunks(batches, rows=SLICE):
+            text = column(part, "text")
+            readable = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            if model is None:
+                lang, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
+            else:
+                lang, score = model.predict(features(text))
+                lang[~readable], score[~readable] = "und", 1.0
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -175,8 +177,8 @@ def _accept(model: Model | None):
     judge = _predict(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, size=4 << 20):
-            rows = part.append_column("held_out", pa.array(np.zeros(part.num_rows, bool)))
+        for part in chunks(batches):
+            rows = pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "text"), pa.array(np.zeros(part.num_rows, bool))], ["doc_id", "text", "held_out"])
             lang = pa.concat_arrays([column(x, "lang_pred") for x in judge(iter([rows]))])
             yield part.filter(pc.not_equal(lang, "und"))
 

@@ -1,3 +1,8 @@
+import math
+
+import numpy as np
+import pyarrow as pa
+
 from helixframe.llm import langid
 
 STEMS = {"en": ("the", "and", "ing", "wh"), "de": ("der", "ung", "sch", "ein"), "fr": ("eau", "que", "ment", "oi"), "es": ("ción", "ado", "los", "ñ"), "xx": ("qqz", "zzk", "kkq")}
@@ -45,3 +50,40 @@ def test_stage_drops_texts_without_letters_only(spark):
     assert out.columns == docs.columns
     kept = {r.doc_id for r in out.collect()}
     assert kept == {r[0] for r in made(20) + ODD} - {9000, 9001, 9002}
+
+
+def test_predictions_equal_brute_force():
+    """Trigram shares, pairwise votes and confidences, text by text in plain Python."""
+    rng = np.random.default_rng(3)
+    word = lambda kind: "".join(rng.choice(list(kind), 5))
+    kinds = {"en": "abcdefg", "de": "efghijk", "fr": "lmnopqr", "es": "opqrstu", "xx": "uvwxyza"}
+    texts = [(lang, " ".join(word(k) for _ in range(30))) for lang, k in kinds.items() for _ in range(40)]
+    model = langid.Model(langid.features(pa.array([t for _, t in texts])), [lang for lang, _ in texts])
+
+    def vector(text):
+        data = bytes(int(langid._LOW[b]) for b in text.encode())
+        out = np.zeros(langid.WIDTH)
+        for k in range(len(data) - 2):
+            gram = int.from_bytes(data[k : k + 3], "little")
+            if gram != 0x202020:
+                out[(gram * 0x9E3779B97F4A7C15 % 2**64) >> (64 - 11)] += 1
+        return np.sqrt(out / max(1, out.sum()))
+
+    def winner(x, pairs, names):
+        if len(names) == 1:
+            return names[0], 1.0 / (1.0 + math.exp(-80.0))
+        margin = {}
+        for a, b, w in pairs:
+            margin[a, b] = float(x @ w[:-1] + w[-1])
+            margin[b, a] = -margin[a, b]
+        mine = lambda k: [m for (a, _), m in margin.items() if a == k]
+        best = max(range(len(names)), key=lambda k: sum(m > 0 for m in mine(k)) + 1e-3 * sum(math.tanh(m) for m in mine(k)))
+        return names[best], 1.0 / (1.0 + math.exp(-4.0 * max(-20.0, min(20.0, min(mine(best))))))
+
+    some = [t for _, t in texts[::9]] + ["", "ab", "a b c", "Abc DEF \u00e9\u00e8 " * 20, " ".join(word("abopuv") for _ in range(12))]
+    lang, score = model.predict(langid.features(pa.array(some)))
+    for k, text in enumerate(some):
+        x = vector(text)
+        group, sure = winner(x, model.between, model.families)
+        want, inner = winner(x, model.within[group], model.members[group])
+        assert lang[k] == want and abs(score[k] - sure * inner) < 1e-4, text
