@@ -1,8 +1,8 @@
 """Secret scans with a random forest that removes false positives (operator 8).
 
 Patterns propose candidates: key-shaped values, values assigned to credential names, and long
-mixed strings.  Each is described by its length, character transitions, dictionary coverage, path marks
-and neighbouring words, and a random forest decides.  The forest is trained on the driver from labelled
+mixed strings, all of any length.  Each is described by its length, character transitions, dictionary coverage, path marks
+and neighbouring words (the ``BEFORE`` characters before it and the ``AFTER`` behind), and a random forest decides.  The forest is trained on the driver from labelled
 findings, a table of value, text before, text after and label; by default a seeded list of
 ``FINDINGS`` made from known key formats and known kinds of false positives.  Its trees become one SQL
 expression, so scanning and redaction are DataFrame code without a shuffle.
@@ -27,7 +27,7 @@ NAMES = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?
 ASSIGNED = rf"(?i:(?<![A-Za-z0-9]){NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)(?!-----BEGIN )([^\s\"'<>,;]{{6,}})"
 PREFIXED = r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|xox[abprs]-[\w-]{10,}|[sr]k_(?:live|test)_\w{10,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
 BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN )[\s\S]){16,}?-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
-MIXED = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{0,255}[0-9])[A-Za-z0-9+/_=.-]{24,}"
+MIXED = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{24,}"
 CANDIDATE = "|".join((BLOCK, ASSIGNED, PREFIXED, MIXED))
 
 #: Character runs and words that secrets seldom hold.
@@ -40,6 +40,8 @@ CREDENTIAL = r"(?i)password|passwd|pwd|secret|token|api.?key|access.?key|auth|cr
 BENIGN = r"(?i)commit|sha1|sha256|sha-|md5|hash|checksum|digest|uuid|guid|etag|revision|version|example|sample|placeholder|image|base64|https?:|href|src=|file|isbn|order"
 TREES, DEPTH, LEAST, FINDINGS, SEED = 15, 6, 4, 1600, 8
 KEEP = 0.5
+#: Characters before and after a candidate that count as its neighbouring words.
+BEFORE, AFTER = 48, 24
 
 _CLASSES = (string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
 
@@ -113,7 +115,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     for k in range(n):
         made = (secret, harmless)[k % 2]
         value, before = made[(k // 2) % len(made)]()
-        out.append((value, before[-48:], rng.choice(("", '" ', " ", "\n")) + prose()[:24], 1 - k % 2))
+        out.append((value, before[-BEFORE:], rng.choice(("", '" ', " ", "\n")) + prose()[:AFTER], 1 - k % 2))
     return out
 
 
@@ -180,8 +182,8 @@ def findings(text: Column, trees: list[tuple]) -> Column:
         inner = F.regexp_extract(p["hit"], f"^{ASSIGNED}$", 1)
         value = F.when(inner != "", inner).otherwise(p["hit"])
         lead = F.substring(p["hit"], F.lit(1), F.length(p["hit"]) - F.length(value))
-        before = F.concat(F.right(p["gap"], F.lit(48)), lead)
-        inputs = features(value, before, F.substring(p["next"], 1, 24))
+        before = F.concat(F.right(p["gap"], F.lit(BEFORE)), lead)
+        inputs = features(value, before, F.substring(p["next"], 1, AFTER))
         kind = F.when(inner != "", "assigned").when(p["hit"].rlike("^-----"), "private_key").when(p["hit"].rlike(f"^{PREFIXED}$"), "key_format").otherwise("mixed")
         return F.struct(
             p["gap"].alias("gap"), lead.alias("lead"), value.alias("value"), kind.alias("kind"), F.array(*inputs.values()).alias("x")

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 import string
 
 import pytest
@@ -84,3 +86,66 @@ def test_forest_on_unseen_findings(spark, trees):
 def test_plan_has_no_python(spark, trees):
     plan = S.redact(docs_of(spark, ROWS), trees)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def plain_features(value, before, after):
+    n = len(value)
+    share = lambda pattern: (n - len(re.sub(pattern, "", value))) / n
+    shape = re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", value)))
+    has = lambda pattern, text: float(bool(re.search(pattern, text, re.ASCII)))
+    return [
+        float(n), (len(re.sub(r"(.)\1+", r"\1", shape)) - 1) / n, share("[0-9]"), share("[A-Z]"), share("[aeiouAEIOU]"), share("[0-9A-Za-z]"), len(set(value)) / n,
+        (n - len(re.sub("|".join(S.DICTIONARY), "", value.lower()))) / n, share(r"[^/\\]"), has(r"\.[A-Za-z]{2,5}(?:$|[/?#])", value),
+        max(has(r"[/\\.@-]$", before), has(r"^[/\\@]", after)), has("^[0-9a-fA-F]+$", value), has("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-", value),
+        has(f"^(?:{S.PREFIXED}|-----BEGIN)", value), has(S.CREDENTIAL, before), max(has(S.BENIGN, before), has(S.BENIGN, after)),
+    ]
+
+
+def plain_scan(text, trees):
+    """Findings by Python's regular expressions and a walk through each tree."""
+
+    def leaf(node, x):
+        while len(node) > 1:
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        return node[0]
+
+    hits, out, last = list(re.finditer(S.CANDIDATE, text, re.ASCII)), [], 0
+    for k, hit in enumerate(hits):
+        inner = re.match(f"{S.ASSIGNED}$", hit[0], re.ASCII)
+        value = inner[1] if inner else hit[0]
+        at = hit.end() - len(value)
+        lead = text[hit.start() : at]
+        following = text[hit.end() : hits[k + 1].start() if k + 1 < len(hits) else len(text)]
+        x = plain_features(value, text[last : hit.start()][-S.BEFORE :] + lead, following[: S.AFTER])
+        out.append((at, len(value), hashlib.sha256(value.encode()).hexdigest(), sum(leaf(t, x) for t in trees) / len(trees)))
+        last = hit.end()
+    return out
+
+
+def test_scan_equals_brute_force(spark):
+    trees = S.train(spark)
+    made = S.labelled_findings(300, seed=77)
+    texts = [before + value + after for value, before, after, _ in made]
+    texts += [a + "\n" + b for a, b in zip(texts[::7], texts[3::7])]
+    texts += ["", "no candidate at all", "password=" + "k9" * 2500, "x" * 300 + "7" + "y" * 300, "token: é" + "ab12" * 9 + " über", "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n" + "QUJD" * 600 + "\n-----END RSA PRIVATE KEY-----"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(9999, None)], "doc_id long, text string")
+    got = {}
+    for r in S.scan(docs, trees).collect():
+        got.setdefault(r.doc_id, []).append((r.finding_no, r.start, r.length, r.value_sha256, r.score, r.is_secret))
+    for k, text in enumerate(texts):
+        want = plain_scan(text, trees)
+        mine = sorted(got.get(k, []))
+        assert [m[1:4] for m in mine] == [w[:3] for w in want], text[:200]
+        assert all(abs(m[4] - w[3]) < 1e-9 and m[5] == (m[4] >= S.KEEP) for m, w in zip(mine, want)), text[:200]
+    redacted = {r.doc_id: r.text for r in S.redact(docs, trees).collect()}
+    assert redacted[9999] is None
+    for k, text in enumerate(texts):
+        for at, n, _, score in plain_scan(text, trees):
+            assert score < S.KEEP or text[at : at + n] not in redacted[k]
+
+
+def test_stage_of_an_empty_table_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "password=c1f6c02f845bf3028d1", 1, 2, 3)], "doc_id long, text string, f int, z int, score int")
+    out = S.stage(spark, docs, "")
+    assert out.columns == docs.columns and out.first()[2:] == (1, 2, 3)
+    assert S.stage(spark, docs.limit(0), "").count() == 0
