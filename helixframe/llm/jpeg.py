@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table
+from helixframe.llm.common import open_store, scratch_path, table
 from helixframe.llm.textbytes import chunks, column, padded, utf8
 
 UNIT = 576
@@ -678,42 +679,73 @@ _FIELDS = [
     ("doc_id", pa.int64(), "long"), ("n_bytes", pa.int64(), "long"), ("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"),
     ("tail_crc32", pa.int64(), "long"), ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string"),
     ("media", pa.binary(), "binary"), ("rgb", pa.binary(), "binary"), ("height", pa.int32(), "int"), ("width", pa.int32(), "int"),
+    ("media_path", pa.string(), "string"), ("media_start", pa.int64(), "long"),
 ]
 
 
-def _store(media: bool, rgb: bool):
-    fields = [f for f in _FIELDS if (f[0] != "media" or media) and (f[0] not in ("rgb", "height", "width") or rgb)]
+def _keep(folder: str, files: list[bytes]) -> str:
+    """Write the files one after another into a new file of the shared folder."""
+    path = f"{folder}/{uuid.uuid4().hex}.jpegs"
+    store, name = open_store(path)
+    store.create_dir(name.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(name) as sink:
+        for file in files:
+            sink.write(file)
+    return path
+
+
+def _fetch(path: str, sizes: list[int]) -> list[bytes]:
+    """The stored files, each read by its range."""
+    store, name = open_store(path)
+    ends = np.cumsum(sizes).tolist()
+    with store.open_input_file(name) as source:
+        return [source.read_at(n, end - n) for n, end in zip(sizes, ends)]
+
+
+def _store(media: bool, rgb: bool, folder: str, files_stay: bool):
+    chosen = {"media": media, "rgb": rgb, "height": rgb, "width": rgb, "media_path": files_stay, "media_start": files_stay}
+    fields = [f for f in _FIELDS if chosen.get(f[0], True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, size=1 << 20):
-            for low in range(0, part.num_rows, 1000):
-                some = part.slice(low, 1000)
-                data, at = utf8(column(some, "text"))
-                size = np.diff(at)
-                units = np.maximum(1, -(-size // UNIT))
-                payload = np.full(int(units.sum()) * UNIT, PAD, np.uint8)
-                payload[np.repeat((np.cumsum(units) - units) * UNIT - at[:-1], size) + np.arange(len(data))] = data
-                files = encode_many(payload, units)
-                frames = decode_many(files)
-                rows = []
-                for k, (frame, image) in enumerate(zip(frames, tensors(frames))):
-                    read = payload_of(frame)
-                    values = {"n_bytes": int(size[k]), "payload_bytes": len(read), "payload_sha256": hashlib.sha256(read).hexdigest(), "tail_crc32": zlib.crc32(read[-32:])}
-                    values |= {"media_bytes": len(files[k]), "media_sha256": hashlib.sha256(files[k]).hexdigest(), "feature": feature(image)}
-                    if media:
-                        values["media"] = files[k]
-                    if rgb:
-                        values |= {"rgb": image.tobytes(), "height": image.shape[0], "width": image.shape[1]}
-                    rows.append(values)
-                arrays = [column(some, "doc_id") if f[0] == "doc_id" else pa.array([r[f[0]] for r in rows], f[1]) for f in fields]
-                yield pa.RecordBatch.from_arrays(arrays, [f[0] for f in fields])
+        for some in chunks(batches, rows=1000):
+            data, at = utf8(column(some, "text"))
+            size = np.diff(at)
+            units = np.maximum(1, -(-size // UNIT))
+            payload = np.full(int(units.sum()) * UNIT, PAD, np.uint8)
+            payload[np.repeat((np.cumsum(units) - units) * UNIT - at[:-1], size) + np.arange(len(data))] = data
+            files = encode_many(payload, units)
+            sizes = [len(f) for f in files]
+            path = _keep(folder, files)
+            files = _fetch(path, sizes)  # what follows is computed from the stored bytes
+            if not files_stay:
+                store, name = open_store(path)
+                store.delete_file(name)
+            frames = decode_many(files)
+            rows, start = [], 0
+            for k, (frame, image) in enumerate(zip(frames, tensors(frames))):
+                read = payload_of(frame)
+                values = {"n_bytes": int(size[k]), "payload_bytes": len(read), "payload_sha256": hashlib.sha256(read).hexdigest(), "tail_crc32": zlib.crc32(read[-32:])}
+                values |= {"media_bytes": len(files[k]), "media_sha256": hashlib.sha256(files[k]).hexdigest(), "feature": feature(image)}
+                values |= {"media": files[k], "media_path": path, "media_start": start}
+                start += sizes[k]
+                if rgb:
+                    values |= {"rgb": image.tobytes(), "height": image.shape[0], "width": image.shape[1]}
+                rows.append(values)
+            arrays = [column(some, "doc_id") if f[0] == "doc_id" else pa.array([r[f[0]] for r in rows], f[1]) for f in fields]
+            yield pa.RecordBatch.from_arrays(arrays, [f[0] for f in fields])
 
     return run, ", ".join(f"{f[0]} {f[2]}" for f in fields)
 
 
-def store(docs: DataFrame, media: bool = True, rgb: bool = False) -> DataFrame:
-    """Each text as a progressive JPEG with digests and features read back; the file and the RGB tensor on request."""
-    run, schema = _store(media, rgb)
+def store(docs: DataFrame, media: bool = True, rgb: bool = False, folder: str | None = None) -> DataFrame:
+    """Each text stored as a progressive JPEG, with digests and features of what is read back.
+
+    The files of a slice of rows are written to one file of the shared folder and read from it by range.  With ``folder``
+    they stay there, and media_path and media_start say where; without, a file goes when it has been read, so that the
+    disk taken does not grow with the table.  A task that runs again writes files of new names, and only returned rows name
+    them.  ``media`` adds the file as a column, ``rgb`` the full-resolution tensor (row-major bytes, height, width).
+    """
+    run, schema = _store(media, rgb, folder or scratch_path(docs.sparkSession, "jpeg"), folder is not None)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 

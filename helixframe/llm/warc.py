@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut, scratch_path, table
+from helixframe.llm.common import cut, open_store, scratch_path, table
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 32 << 20
@@ -170,15 +170,9 @@ def data_start(read_at: ReadAt, member: Member) -> int:
     return member.header_at + 30 + names + extras
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def read_package(path: str, ids: set[str] | None = None) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
     """The records of a package, or those with the record ids given, each read by its range."""
-    store, name = _open(path)
+    store, name = open_store(path)
     with store.open_input_file(name) as file:
         read_at = lambda at, n: file.read_at(n, at)
         members = central_directory(read_at, file.size())
@@ -204,7 +198,7 @@ class _Package:
 
     def __init__(self, folder: str, most: int) -> None:
         self.path, self.most = f"{folder}/{uuid.uuid4().hex}.zip", most
-        store, name = _open(self.path)
+        store, name = open_store(self.path)
         store.create_dir(name.rpartition("/")[0], recursive=True)
         self.sink = store.open_output_stream(name)
         self.lines: list[bytes] = []
@@ -289,7 +283,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_packages(packages: DataFrame) -> DataFrame:
     """Every record of the packages in ``packages(path)``; a revisit's payload is null."""
-    spread = packages.select("path").repartition(max(1, packages.count()))
+    # Packages are few and large: each task takes some, as many tasks as there are cores a few times over.
+    tasks = min(packages.count(), 8 * packages.sparkSession.sparkContext.defaultParallelism)
+    spread = packages.select("path").repartition(max(1, tasks))
     return spread.mapInArrow(_read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 

@@ -63,7 +63,7 @@ def test_interleaved_dc_and_end_of_band_runs():
         J.decode(b"GIF89a")
 
 
-def test_store(spark):
+def test_store(spark, tmp_path):
     texts = [None, "", "plain", "é😀" * 400, "long " * 30_000, "plain"]
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, media string")
     rows = {r.doc_id: r for r in J.store(docs, rgb=True).collect()}
@@ -76,5 +76,11 @@ def test_store(spark):
         image = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
         assert J.feature(image) == r.feature
     assert rows[2][1:] == rows[5][1:] and J.store(docs.limit(0)).count() == 0
+    folder = f"file://{tmp_path}/kept"
+    kept = {r.doc_id: r for r in J.store(docs, folder=folder).collect()}
+    for k, r in kept.items():  # the stored bytes are those that were described
+        with open(r.media_path.removeprefix("file://"), "rb") as file:
+            file.seek(r.media_start)
+            assert file.read(r.media_bytes) == r.media == rows[k].media
     again = J.decode_media(J.store(docs).selectExpr("doc_id as id", "media").union(spark.sql("select 99L, cast(null as binary)")))
     assert {r.id: r.rgb for r in again.collect()} == {**{k: r.rgb for k, r in rows.items()}, 99: None}
