@@ -24,6 +24,11 @@ def valid(bases: Column) -> Column:
     return F.length(bases).between(1, 24) & ~bases.rlike("[^ACGT]")
 
 
+def flipped(bases: str) -> str:
+    """Reverse complement of a Python string."""
+    return bases.translate(str.maketrans(BASES, "TGCA"))[::-1]
+
+
 def complement(bases: Column) -> Column:
     """Upper- and lower-case bases are complemented; other letters stay."""
     return F.translate(bases, "ACGTacgt", "TGCAtgca")
@@ -86,10 +91,11 @@ def overlaps(start: Column, stop: Column, other_start: Column, other_stop: Colum
 
 
 def pack_position(contig: Column, start: Column, length: Column, forward: Column) -> Column:
-    """Strand 4 bits, length 8, contig 20, position 32."""
+    """Strand 4 bits, length 8, contig 20, position 32; null for contigs of higher numbers."""
     strand = F.when(forward, 1).otherwise(0).cast("bigint")
     wide = lambda c, n: F.shiftleft(c.cast("bigint"), n)
-    return wide(strand, 60).bitwiseOR(wide(length, 52)).bitwiseOR(wide(contig, 32)).bitwiseOR(start.cast("bigint"))
+    packed = wide(strand, 60).bitwiseOR(wide(length, 52)).bitwiseOR(wide(contig, 32)).bitwiseOR(start.cast("bigint"))
+    return F.when(contig.between(0, (1 << 20) - 1), packed)
 
 
 def unpack_position(packed: Column) -> dict[str, Column]:
@@ -108,3 +114,8 @@ def median(values: Column) -> Column:
     n = F.size(values)
     low, high = F.floor((n + 1) / 2).cast("int"), F.floor(n / 2).cast("int") + 1
     return F.when(n > 0, (F.try_element_at(s, low) + F.try_element_at(s, high)) / 2.0)
+
+
+def draw(*parts: Column) -> Column:
+    """A number from 0 to 2^52 - 1 by the MD5 of the parts, so that reruns and other engines agree."""
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 13), 16, 10).cast("bigint")

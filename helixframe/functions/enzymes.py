@@ -41,9 +41,13 @@ class Enzyme:
         flip = str.maketrans("ACGT", "TGCA")
         return self._end(window, not self.five_prime, tuple(p.translate(flip)[::-1] for p in self.pams))
 
+    def bin(self, bases: Column, bin_size: int = 7) -> Column:
+        """The first bases in traversal order: behind a 5' PAM, else the first of all."""
+        return F.substring(bases, self.length - self.guide + 1 if self.five_prime else 1, bin_size)
+
     def order(self, bases: Column, bin_size: int = 7) -> list[Column]:
         """The order in which targets are met: by bases, with a 5' PAM by the bin behind it first."""
-        return [F.substring(bases, self.length - self.guide + 1, bin_size), bases] if self.five_prime else [bases]
+        return [self.bin(bases, bin_size), bases] if self.five_prime else [bases]
 
 
 #: Name, number, target length, PAM side, PAMs, compared bases.

@@ -19,16 +19,17 @@ def overlap_join(sites: DataFrame, intervals: DataFrame, key: list[str], column:
     """Left join: ``column`` lists the names of the intervals that overlap a site, in file order, joined by commas, else NA.
 
     ``intervals(contig, start, stop, name, idx)``.  Both sides are cut into coordinate bins, so it is
-    an equi-join on contig and bin; a pair counts in the first bin that it shares.
+    an equi-join on contig and bin; a pair counts in the first bin that it shares.  Rows that repeat get the list of one.
     """
-    left = _bins(sites.select(*key, "contig", "start", "stop"), "start", "stop")
+    left = _bins(sites.select(*dict.fromkeys([*key, "contig", "start", "stop"])).distinct(), "start", "stop")
     right = _bins(intervals.select(F.col("contig").alias("_c"), F.col("start").alias("_s"), F.col("stop").alias("_e"), "name", "idx"), "_s", "_e")
     right = right.withColumnRenamed("_bin", "_other")
     hit = (F.col("contig") == F.col("_c")) & (F.col("_bin") == F.col("_other")) & dna.overlaps(F.col("start"), F.col("stop"), F.col("_s"), F.col("_e"))
     pairs = left.join(right, hit).where(F.col("_bin") == F.greatest(F.floor(F.col("start") / BIN), F.floor(F.col("_s") / BIN)))
     names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]), ",")
-    found = pairs.groupBy(*key).agg(names.alias(column))
-    return sites.join(found, key, "left").withColumn(column, F.coalesce(F.col(column), F.lit("NA")))
+    place = list(dict.fromkeys([*key, "contig", "start", "stop"]))
+    found = pairs.groupBy(*place).agg(names.alias(column))
+    return sites.join(found, place, "left").withColumn(column, F.coalesce(F.col(column), F.lit("NA"))).select(*sites.columns, column)
 
 
 def remap(sites: DataFrame, mapping: DataFrame) -> DataFrame:

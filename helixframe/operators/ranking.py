@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
+from helixframe.scratch import cut
 
-TRANCHES, TOP = 4, 1000
+TRANCHES, TOP, RANGES = 4, 1000, 64
 WORST_HIGH, WORST_LOW = float(-(2**31)), float(2**31 - 1)
 
 
-def tie_rank(frame: DataFrame, score: str, rank: str, high_is_good: bool, base: DataFrame | None = None) -> DataFrame:
-    """Competition rank plus half the number of ties, rounded down; ``base`` has the same scores by a shorter plan.
+def tie_rank(frame: DataFrame, score: str, rank: str, high_is_good: bool) -> DataFrame:
+    """Competition rank plus half the number of ties, rounded down; ``frame`` is read three times.
 
-    Only distinct scores are ranked, by a running sum over their counts, so that ties and rows do not
-    meet in one task; a score that is null or not a number is the worst.
+    Only distinct scores are ranked, so ties meet as one row, and these by ranges: edges are ``RANGES`` quantiles of
+    the scores, counts of the ranges before are summed over these few rows, and no task orders all scores.
+    A score that is null or not a number is the worst.
     """
     worst = WORST_HIGH if high_is_good else WORST_LOW
-    value = F.coalesce(F.col(score).try_cast("double"), F.lit(worst))
-    rows = frame.withColumn("_value", value)
-    base = rows if base is None else base.withColumn("_value", value)
-    order = F.col("_value").desc() if high_is_good else F.col("_value").asc()
-    counts = base.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = frame.withColumn("_value", F.coalesce(F.col(score).try_cast("double"), F.lit(worst)))
+    edges = sorted(set(rows.approxQuantile("_value", [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)))
+    value = -F.col("_value") if high_is_good else F.col("_value")
+    edges = F.array(*[F.lit(-e if high_is_good else e) for e in edges]).cast("array<double>")
+    counts = rows.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_range", F.size(F.filter(edges, lambda e: e < value)))
+    upto = W.rowsBetween(W.unboundedPreceding, -1)
+    base = counts.groupBy("_range").agg(F.sum("_n").alias("_sum"))  # at most RANGES rows
+    base = base.select("_range", F.coalesce(F.sum("_sum").over(upto.orderBy("_range")), F.lit(0)).alias("_base"))
+    counts = counts.join(F.broadcast(base), "_range")
+    before = F.col("_base") + F.coalesce(F.sum("_n").over(upto.partitionBy("_range").orderBy(value)), F.lit(0))
     ranks = counts.select(F.col("_value").alias("_key"), (before + 1 + F.floor(F.col("_n") / 2)).cast("long").alias(rank))
     return rows.join(ranks, F.col("_value") == F.col("_key")).drop("_value", "_key")
 
@@ -38,39 +44,31 @@ def aggregate_ranks(frame: DataFrame, scores: dict[str, bool], key: str = "guide
     """
     if not scores:
         return frame.select(key, *[F.lit(None).cast("long").alias(c) for c in ("median_rank", "tranche", "top_x")])
-    ranked, names = frame.select(key, *scores), []
+    ranked, names = cut(frame.select(key, *scores), "scores"), []
+    guides = ranked.count()
     for column, high in scores.items():
         names.append(f"rank_{column}")
-        ranked = tie_rank(ranked, column, names[-1], high, frame.select(key, *scores))
-    ranked = ranked.withColumn("median", dna.median(F.array(*[F.col(n) for n in names])))
+        ranked = tie_rank(ranked, column, names[-1], high)
+    ranked = cut(ranked.withColumn("median", dna.median(F.array(*[F.col(n) for n in names]))), "medians")
     ranked = tie_rank(ranked, "median", "median_rank", False)
-    total = frame.agg(F.count(F.lit(1)).alias("guides"))
-    ranked = ranked.crossJoin(F.broadcast(total))  # one row
-    size = F.least(F.ceil(F.col("guides") / tranches), F.lit(top))
+    size = F.lit(min(-(-guides // tranches), top))
     best = ranked.orderBy("median", key).limit(top)
     place = best.select(F.col(key).alias("_k"), F.row_number().over(W.orderBy("median", key)).cast("long").alias("top_x"), size.alias("_size"))
     place = place.where(F.col("top_x") <= F.col("_size")).drop("_size")
     out = ranked.join(F.broadcast(place), F.col(key) == F.col("_k"), "left")  # at most ``top`` rows
-    return out.select(key, *names, "median", "median_rank", F.ceil(F.col("median_rank") * tranches / F.col("guides")).cast("long").alias("tranche"), "top_x")
+    return out.select(key, *names, "median", "median_rank", F.ceil(F.col("median_rank") * tranches / guides).cast("long").alias("tranche"), "top_x")
 
 
-def schulze(votes: list[list[int]]) -> list[tuple[int, int]]:
-    """Rank and score of each candidate by widest paths over summed rank differences.
+def schulze(frame: DataFrame, votes: list[str], key: str) -> DataFrame:
+    """Rank from 0 and score of each candidate by Schulze's method over summed votes: key, score, rank.
 
-    For at most a thousand candidates: the pairwise matrix is quadratic.
+    A preference is the difference of two candidates' sums, so the widest path from one to another is the direct one
+    (its steps add up to that difference), and a score is the sum of the differences to all lower candidates: running counts and
+    sums over the distinct sums.  Equal scores are ranked by key.  For few candidates: the distinct sums are ordered in one task.
     """
-    sums = np.array([sum(v) for v in votes], np.int64)
-    prefer = sums[:, None] - sums[None, :]
-    wide = np.where(prefer > prefer.T, prefer, 0)
-    n = len(votes)
-    for i in range(n):
-        through = np.minimum(wide[:, i][:, None], wide[i, :][None, :])
-        grown = np.maximum(wide, through)
-        grown[i, :], grown[:, i] = wide[i, :], wide[:, i]
-        np.fill_diagonal(grown, np.diag(wide))
-        wide = grown
-    score = wide.sum(axis=1)
-    order = np.argsort(-score, kind="stable")
-    rank = np.empty(n, int)
-    rank[order] = np.arange(n)
-    return [(int(r), int(s)) for r, s in zip(rank, score)]
+    sums = frame.select(key, sum((F.col(v).cast("long") for v in votes[1:]), F.col(votes[0]).cast("long")).alias("_s"))
+    lower = W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    by = sums.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+    score = F.col("_s") * F.coalesce(F.sum("_n").over(lower), F.lit(0)) - F.coalesce(F.sum(F.col("_n") * F.col("_s")).over(lower), F.lit(0))
+    scored = sums.join(by.withColumn("score", score).drop("_n"), "_s")
+    return scored.select(key, F.col("score").cast("long").alias("score"), (F.row_number().over(W.orderBy(F.col("score").desc(), key)) - 1).cast("long").alias("rank"))

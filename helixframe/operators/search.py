@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations, product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
 from helixframe.functions.enzymes import Enzyme
+from helixframe.scratch import cut
 
 MAX_MISMATCHES, MAX_OFF_TARGETS = 4, 2000
-#: Up to this many guides are broadcast (about 60 bytes each); more go through segments.
-BROADCAST_GUIDES = 20_000
+#: Up to this many guides are broadcast (about 60 bytes each); more go through halves.
+BROADCAST_GUIDES = 2_000
 
 
 def _named(guides: DataFrame) -> DataFrame:
@@ -24,47 +27,74 @@ def join_broadcast(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most:
     return targets.join(F.broadcast(_named(guides)), distance <= most).withColumn("mm", distance).drop("enc", "guide_enc")
 
 
-def _segments(enc, enzyme: Enzyme, most: int) -> list:
-    """The compared bases in most + 1 pieces; two strings within ``most`` mismatches share one."""
-    n, at, out = enzyme.guide, 0, []
-    for k in range(most + 1):
-        size = n * (k + 1) // (most + 1) - at
-        out.append(F.shiftright(enc, 2 * (n - at - size)).bitwiseAND(F.lit((1 << 2 * size) - 1).cast("bigint")))
-        at += size
+def _masks(length: int, most: int) -> list[int]:
+    """What a packed string of ``length`` bases is XORed with to give each of its neighbours within ``most`` mismatches."""
+    out = []
+    for n in range(min(most, length) + 1):
+        for places in combinations(range(length), n):
+            out += [sum(d << 2 * p for p, d in zip(places, digits)) for digits in product((1, 2, 3), repeat=n)]
     return out
 
 
-def join_segments(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES) -> DataFrame:
-    """Equi-join on segments, then the exact distance; a pair counts in the first segment that it shares."""
-    pieces = lambda c: F.array(*[F.struct(F.lit(k).alias("k"), s.alias("s")) for k, s in enumerate(_segments(F.col(c), enzyme, most))])
-    left = targets.withColumn("seg", F.explode(pieces("enc")))
-    right = _named(guides).withColumn("guide_seg", F.explode(pieces("guide_enc")))
-    pairs = left.join(right, F.col("seg") == F.col("guide_seg"))
-    earlier = F.lit(False)
-    for k, (a, b) in enumerate(zip(_segments(F.col("enc"), enzyme, most), _segments(F.col("guide_enc"), enzyme, most))):
-        earlier = earlier | ((F.col("seg.k") > k) & (a == b))
-    distance = dna.mismatches(F.col("enc"), F.col("guide_enc"), enzyme.guide)
-    return pairs.where(~earlier & (distance <= most)).withColumn("mm", distance).drop("enc", "guide_enc", "seg", "guide_seg")
+def join_halves(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES) -> DataFrame:
+    """Equi-join on a half of the compared bases, then the exact distance.
+
+    Of two strings within ``most`` mismatches, some half has at most ``most // 2`` of them.  The guides' halves are replaced by
+    all their neighbours at that distance, so a key is 4^10 wide and candidates are few; a pair counts in its first half
+    unless that has more mismatches than allowed.  Lists of positions wait until the pairs are known.
+    """
+    n, low = enzyme.guide, enzyme.guide // 2
+    sizes, shifts = (n - low, low), (2 * low, 0)
+    half = lambda enc, k: F.shiftrightunsigned(enc, shifts[k]).bitwiseAND(F.lit((1 << 2 * sizes[k]) - 1).cast("bigint"))
+
+    def keys(enc: Column, near: bool) -> Column:
+        """Keys of both halves, the second marked by a bit above them."""
+        out = []
+        for k in (0, 1):
+            masks = _masks(sizes[k], most // 2) if near else [0]
+            all_of = F.array(*[F.lit(m + (k << 2 * max(sizes))).cast("bigint") for m in masks])
+            own = half(enc, k)
+            out.append(F.transform(all_of, lambda m: own.bitwiseXOR(m)))  # noqa: B023
+        return F.concat(*out)
+
+    heavy = [f.name for f in targets.schema.fields if f.dataType.typeName() == "array"]
+    slim = targets.drop(*heavy)
+    left = slim.withColumn("half", F.explode(keys(F.col("enc"), False)))
+    right = _named(guides).withColumn("guide_half", F.explode(keys(F.col("guide_enc"), True)))
+    pairs = left.join(right, F.col("half") == F.col("guide_half"))
+    distance = dna.mismatches(F.col("enc"), F.col("guide_enc"), n)
+    first = dna.mismatches(half(F.col("enc"), 0), half(F.col("guide_enc"), 0), sizes[0])
+    second = F.col("half") >= (1 << 2 * max(sizes))
+    hits = pairs.where((distance <= most) & (~second | (first > most // 2))).withColumn("mm", distance)
+    hits = hits.drop("enc", "guide_enc", "half", "guide_half")
+    if not heavy:
+        return hits
+    return hits.join(targets.select(F.col("bases").alias("_of"), *heavy), F.col("bases") == F.col("_of")).drop("_of")
 
 
 def discover(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES, strategy: str = "auto") -> DataFrame:
-    """Hits (guide_id, guide, bases, cnt, mm, ...) by the cheaper of both joins."""
+    """Hits (guide_id, guide, bases, cnt, mm, ...) by the cheaper of both joins; ``auto`` counts the guides."""
     if strategy == "auto":
         few = guides.limit(BROADCAST_GUIDES + 1).count() <= BROADCAST_GUIDES
-        strategy = "broadcast" if few else "segments"
-    return {"broadcast": join_broadcast, "segments": join_segments}[strategy](guides, targets, enzyme, most)
+        strategy = "broadcast" if few else "halves"
+    return {"broadcast": join_broadcast, "halves": join_halves}[strategy](guides, targets, enzyme, most)
 
 
 def overflow(hits: DataFrame, enzyme: Enzyme, most: int = MAX_OFF_TARGETS) -> DataFrame:
     """Keep hits in traversal order while the occurrences before them are under ``most``.
 
     The hit that crosses the limit is kept and marks its guide: ``overflowed`` is true for all of
-    its rows.  A limit of 0 keeps nothing.
+    its rows.  A limit of 0 keeps nothing.  Hits are summed by bin first; bins behind the limit are dropped and the others
+    ordered one by one, so no task orders all hits of a guide.
     """
-    by = W.partitionBy("guide_id").orderBy(*enzyme.order(F.col("bases")))
-    before = F.coalesce(F.sum("cnt").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("cnt").over(W.partitionBy("guide_id"))
-    return hits.withColumn("before", before).withColumn("overflowed", total >= most).where(F.col("before") < most).drop("before")
+    hits = cut(hits, "hits").withColumn("_bin", enzyme.bin(F.col("bases")))
+    in_order = W.partitionBy("guide_id").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = hits.groupBy("guide_id", "_bin").agg(F.sum("cnt").alias("_n"))
+    bins = bins.withColumn("_base", F.coalesce(F.sum("_n").over(in_order), F.lit(0))).withColumn("overflowed", F.sum("_n").over(W.partitionBy("guide_id")) >= most)
+    near = hits.join(bins.where(F.col("_base") < most).drop("_n"), ["guide_id", "_bin"])
+    inside = W.partitionBy("guide_id", "_bin").orderBy(*enzyme.order(F.col("bases"))).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_base") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))
+    return near.withColumn("_before", before).where(F.col("_before") < most).drop("_before", "_base", "_bin")
 
 
 def by_guide(hits: DataFrame) -> DataFrame:

@@ -2,52 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
 from helixframe.functions.enzymes import Enzyme
 
-CHUNK = 256
+#: Letters of a block, which is dealt to a task, and of a chunk, in which PAMs are looked for.
+BLOCK, CHUNK = 4096, 256
 
 
-def find_sites(contigs: DataFrame, enzyme: Enzyme, flank: int = 0) -> DataFrame:
-    """Sites of ``contigs(contig, contig_idx, seq)``: contig, contig_idx, start, stop, bases, fwd, context.
+def _blocks(contigs: DataFrame, before: int, after: int, size: int) -> DataFrame:
+    """Contigs in blocks (contig, contig_idx, size, at, lead, piece): ``piece`` is the block with up to ``before`` letters before it and ``after`` behind.
 
-    Contigs are first cut into chunks that overlap by a window and its flanks, so a window is
-    taken from a short string; both strands are read off the same window.  ``context`` is null
-    where a flank leaves the contig; it may hold letters other than bases.
+    One pass of a pattern cuts a contig, so the cost is linear in its length.
     """
-    n, size = enzyme.length, F.length("seq")
-    windows = F.greatest(size - n + 1, F.lit(0))
-    parts = contigs.where(size >= n).select(
-        "contig", "contig_idx", size.alias("size"), windows.alias("windows"), "seq",
-        F.explode(F.sequence(F.lit(0), F.floor((windows - 1) / CHUNK).cast("int"))).alias("part"),
-    )
-    first = F.greatest(F.col("part") * CHUNK - flank, F.lit(0))
-    parts = parts.select(
-        "contig", "contig_idx", "size", "windows", (F.col("part") * CHUNK).alias("base"), first.alias("first"),
-        F.substring("seq", first + 1, F.lit(CHUNK + n - 1 + 2 * flank)).alias("piece"),
+    cuts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    whole = contigs.select("contig", "contig_idx", F.length("seq").alias("size"), cuts.alias("cuts"))
+    side = lambda i: F.coalesce(F.get("cuts", i), F.lit(""))
+
+    def block(body: Column, i: Column) -> Column:
+        lead = F.right(side(i - 1), F.lit(before)) if before else F.lit("")
+        return F.struct(F.length(lead).alias("lead"), F.concat(lead, body, F.left(side(i + 1), F.lit(after))).alias("piece"))
+
+    rows = whole.select("contig", "contig_idx", "size", F.posexplode(F.transform("cuts", block)).alias("k", "b"))
+    return rows.select("contig", "contig_idx", "size", (F.col("k") * size).alias("at"), F.col("b.lead").alias("lead"), F.col("b.piece").alias("piece"))
+
+
+def _pattern(enzymes: list[Enzyme]) -> str:
+    """Zero-width pattern of the places where a window of some enzyme may begin."""
+    heads, tails = set(), defaultdict(set)
+    for e in enzymes:
+        for pams, head in ((e.pams, e.five_prime), (tuple(dna.flipped(p) for p in e.pams), not e.five_prime)):
+            for pam in pams:
+                heads.add(pam) if head else tails[e.length - len(pam)].add(pam)
+    ways = sorted(heads) + [f".{{{n}}}(?:{'|'.join(sorted(pams))})" for n, pams in sorted(tails.items())]
+    return f"(?s)(?={'|'.join(ways)})"
+
+
+def find_sites_of(contigs: DataFrame, enzymes: list[Enzyme], flank: int = 0) -> DataFrame:
+    """Sites of all ``enzymes`` in one scan of ``contigs(contig, contig_idx, seq)``.
+
+    Returns enzyme, contig, contig_idx, start, stop, bases, fwd, context.  Contigs are cut into blocks that overlap by a
+    window and its flanks, and blocks, not contigs, are dealt to tasks.  A chunk of a block is split where a PAM
+    allows a window, so rows are made for candidates only; both strands are read off the same window.  ``context``
+    is null where a flank leaves the contig; it may hold letters other than bases.
+    """
+    longest = max(e.length for e in enzymes)
+    after = longest - 1 + flank
+    size = max(BLOCK, 1 << after.bit_length())  # a block's neighbours hold its flanks
+    shortest = min(e.length for e in enzymes)
+    rows = _blocks(contigs.where(F.length("seq") >= shortest), flank, after, size)
+    spark = contigs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks, "contig_idx", "at")
+
+    inner = F.least(F.lit(size), F.col("size") - F.col("at"))
+    rows = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((inner - 1) / CHUNK).cast("int"))))
+    first = F.greatest(F.col("lead") + F.col("c") * CHUNK - flank, F.lit(0))
+    rows = rows.select(
+        "contig", "contig_idx", "size", (F.col("at") + F.col("c") * CHUNK).alias("base"), (F.col("lead") + F.col("c") * CHUNK - first).alias("lead"),
+        F.substring("piece", first + 1, F.col("lead") + F.col("c") * CHUNK - first + CHUNK + after).alias("piece"),
     )
-    # Contigs are few and may be long: chunks, not contigs, are dealt to tasks before the windows are made.
-    tasks = max(int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), contigs.sparkSession.sparkContext.defaultParallelism)
-    parts = parts.repartition(tasks, "contig_idx", "base")
-    last = F.least(F.col("base") + CHUNK, F.col("windows")) - 1
-    rows = parts.withColumn("start", F.explode(F.sequence(F.col("base"), last)))
-    rows = rows.withColumn("window", F.substring("piece", F.col("start") - F.col("first") + 1, F.lit(n)))
-    window = F.col("window")
-    rows = rows.where((enzyme.forward(window) | enzyme.backward(window)) & ~window.rlike("[^ACGT]"))
-    strands = F.array(F.when(enzyme.forward(window), True), F.when(enzyme.backward(window), False))
-    rows = rows.withColumn("fwd", F.explode(F.array_compact(strands)))
-    whole = (F.col("start") >= flank) & (F.col("start") + n + flank <= F.col("size"))
-    around = F.substring("piece", F.col("start") - F.col("first") + 1 - flank, F.lit(n + 2 * flank))
+    scanned = F.substring("piece", F.col("lead") + 1, F.lit(CHUNK + longest - 1))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+    starts = F.filter(F.aggregate(F.split(scanned, _pattern(enzymes), -1), zero, step, lambda acc: acc["all"]), lambda k: k < CHUNK)
+    rows = rows.withColumn("clean", ~F.col("piece").rlike("[^ACGT]"))
+    rows = rows.withColumn("k", F.explode(starts)).withColumn("start", F.col("base") + F.col("k"))
+
+    window = lambda n: F.substring("piece", F.col("lead") + F.col("k") + 1, n if isinstance(n, Column) else F.lit(n))
+    found = []
+    for e in enzymes:
+        w = window(e.length)
+        inside = (F.col("start") + e.length <= F.col("size")) & (F.col("clean") | ~w.rlike("[^ACGT]"))
+        for fwd, good in ((True, e.forward(w)), (False, e.backward(w))):
+            found.append(F.when(inside & good, F.struct(F.lit(e.name).alias("enzyme"), F.lit(e.length).alias("n"), F.lit(fwd).alias("fwd"))))
+    rows = rows.withColumn("f", F.explode(F.array_compact(F.array(*found))))
+    rows = rows.select("contig", "contig_idx", "size", "start", "lead", "k", "piece", "f.enzyme", "f.n", "f.fwd")
+    whole = (F.col("start") >= flank) & (F.col("start") + F.col("n") + flank <= F.col("size"))
+    around = F.substring("piece", F.col("lead") + F.col("k") + 1 - flank, F.col("n") + 2 * flank)
     strand = lambda c: F.when(F.col("fwd"), c).otherwise(dna.reverse_complement(c))
     return rows.select(
-        "contig", "contig_idx", "start", (F.col("start") + n).alias("stop"),
-        strand(window).alias("bases"), "fwd", F.when(whole, strand(around)).alias("context"),
+        "enzyme", "contig", "contig_idx", "start", (F.col("start") + F.col("n")).alias("stop"),
+        strand(window(F.col("n"))).alias("bases"), "fwd", F.when(whole, strand(around)).alias("context"),
     )
 
 
+def find_sites(contigs: DataFrame, enzyme: Enzyme, flank: int = 0) -> DataFrame:
+    """The same for one enzyme: contig, contig_idx, start, stop, bases, fwd, context."""
+    return find_sites_of(contigs, [enzyme], flank).drop("enzyme")
+
+
 def gc_filter(sites: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
     if not (0 <= low <= 1 and 0 <= high <= 1):
         raise ValueError("GC limits lie between 0 and 1")

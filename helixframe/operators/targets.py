@@ -3,25 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
 from helixframe.functions.enzymes import Enzyme
 
+#: Places of a target are first gathered by contig and stretches of 2^STRETCH bases, which bounds a list.
+STRETCH = 20
+
 
 def build_targets(sites: DataFrame, enzyme: Enzyme, positions: bool = True) -> DataFrame:
     """One row per distinct target: bases, enc (compared bases, packed), cnt and its positions in order.
 
-    Counts and positions stop at 32767.  Without ``positions`` only counts are shuffled.
+    Counts and positions stop at 32767.  Without ``positions`` only counts are shuffled.  With them, the stretches of the
+    genome that lie behind a target's first 32767 places are dropped by a running count before its list is made, so a
+    repeat family of any size makes a list of at most that many places and one stretch.
     """
-    aggregates = [F.least(F.count(F.lit(1)), F.lit(dna.COUNT_CAP)).cast("int").alias("cnt")]
-    if positions:
-        place = F.struct("contig_idx", "start", (~F.col("fwd")).alias("rev"), "contig", (F.col("stop") - F.col("start")).alias("len"))
-        listed = F.slice(F.sort_array(F.collect_list(place)), 1, dna.COUNT_CAP)
-        shaped = F.transform(listed, lambda p: F.struct(p["contig"].alias("contig"), p["start"].alias("start"), p["len"].alias("len"), (~p["rev"]).alias("fwd")))
-        aggregates.append(shaped.alias("positions"))
-    out = sites.groupBy("bases").agg(*aggregates)
-    return out.withColumn("enc", dna.encode(enzyme.key(F.col("bases"))))
+    if not positions:
+        out = sites.groupBy("bases").agg(F.least(F.count(F.lit(1)), F.lit(dna.COUNT_CAP)).cast("int").alias("cnt"))
+        return out.withColumn("enc", dna.encode(enzyme.key(F.col("bases"))))
+    place = F.struct("contig_idx", "start", (~F.col("fwd")).alias("rev"), "contig", (F.col("stop") - F.col("start")).alias("len"))
+    stretches = sites.groupBy("bases", "contig_idx", F.shiftright("start", STRETCH).alias("stretch")).agg(F.collect_list(place).alias("places"))
+    order = W.partitionBy("bases").orderBy("contig_idx", "stretch").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.size("places")).over(order), F.lit(0))
+    near = stretches.withColumn("before", before).where(F.col("before") < dna.COUNT_CAP)
+    listed = F.slice(F.sort_array(F.flatten(F.collect_list("places"))), 1, dna.COUNT_CAP)
+    out = near.groupBy("bases").agg(listed.alias("listed"))
+    shaped = F.transform("listed", lambda p: F.struct(p["contig"].alias("contig"), p["start"].alias("start"), p["len"].alias("len"), (~p["rev"]).alias("fwd")))
+    return out.select("bases", F.size("listed").alias("cnt"), shaped.alias("positions")).withColumn("enc", dna.encode(enzyme.key(F.col("bases"))))
 
 
 def count_range(targets: DataFrame, low: int = 0, high: int = 2**31 - 1) -> DataFrame:
@@ -42,5 +52,5 @@ def kmer_table(spark, k: int) -> DataFrame:
 
 
 def subsample(targets: DataFrame, share: float, seed: int = 1) -> DataFrame:
-    """A share of the targets, chosen by a hash of their bases, so that reruns agree."""
-    return targets.where(F.pmod(F.xxhash64("bases", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    """A share of the targets, chosen by a hash of seed and bases, so that reruns agree."""
+    return targets.where(dna.draw(F.lit(f"{seed}:"), F.col("bases")) < int(share * (1 << 52)))

@@ -1,7 +1,8 @@
 """Queries over the driver's tables and their SQL counterparts.
 
 The tables hold no nucleotides.  The document genome makes some: a document is a contig whose
-letters, lower-cased, are mapped to bases.  Guides are the targets whose packed bases are divisible by 97.
+letters, lower-cased, are mapped to bases.  Searches take as guides every target whose packed bases are divisible by 20,
+against all targets; all other queries use all rows.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from helixframe.functions import dna
 from helixframe.functions.enzymes import ENZYMES, Enzyme, enzyme
 from helixframe.operators import folding as fold
 from helixframe.operators import intervals, randoms, ranking, scoring, search, sites, targets
-from helixframe.sources import guide_table
+from helixframe.scratch import cut, scratch_path
+from helixframe.sources import bed, fasta, guide_table
+from helixframe.sources import index as target_index
 
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTTGCAACGTGTCACATGGTACTC"
 NGG, CPF1 = enzyme("spcas9ngg"), enzyme("cpf1")
-EVERY = 97
+EVERY = 20
 #: A low limit, so that guides overflow in tables of this size.
 LOW_LIMIT = 5
 
@@ -63,10 +66,9 @@ def some_guides(found: DataFrame) -> DataFrame:
     return found.where(F.col("enc") % EVERY == 0).select(F.col("enc").alias("guide_id"), "bases", "enc")
 
 
-def ngg_hits(spark: SparkSession, sf_dir: str, strategy: str = "broadcast", most: int = 4, nuclease: Enzyme = NGG, positions: bool = False) -> DataFrame:
-    found = ngg_targets(spark, sf_dir, positions, nuclease)
-    guides = found if not positions else ngg_targets(spark, sf_dir, False, nuclease)
-    return search.discover(some_guides(guides), found, nuclease, most, strategy)
+def ngg_hits(spark: SparkSession, sf_dir: str, strategy: str = "auto", most: int = 4, nuclease: Enzyme = NGG, positions: bool = False) -> DataFrame:
+    found = cut(ngg_targets(spark, sf_dir, positions, nuclease), "targets")  # read as guides and as targets
+    return search.discover(some_guides(found), found, nuclease, most, strategy)
 
 
 # SQL building blocks.
@@ -110,14 +112,22 @@ pieces_{name} as (
 
 
 def targets_sql(nuclease: Enzyme = NGG) -> str:
-    return f"{GENOME_SQL}, {sites_sql(nuclease)}, targets as (select bases, least(count(*), 32767)::int as cnt, {_enc('bases', *nuclease.compared)} as enc from sites group by bases)"
+    return f"{GENOME_SQL}, {sites_sql(nuclease)}, targets as materialized (select bases, least(count(*), 32767)::int as cnt, {_enc('bases', *nuclease.compared)} as enc from sites group by bases)"
 
 
 def hits_sql(most: int = 4, nuclease: Enzyme = NGG) -> str:
-    x = "xor(g.enc, t.enc)"
-    mm = f"bit_count(({x} | ({x} >> 1)) & {int('01' * nuclease.guide, 2)})"
-    return f"""{targets_sql(nuclease)}, guides as (select enc as guide_id, bases, enc from targets where enc % {EVERY} = 0),
-hits as (select g.guide_id, g.bases as guide, t.bases, t.cnt, {mm}::int as mm from guides g join targets t on {mm} <= {most})"""
+    """Hits by equality of one of ``most + 1`` segments, in the first of which that agrees a pair counts, then the distance."""
+    x, n = "xor(g.enc, t.enc)", nuclease.guide
+    mm = f"bit_count(({x} | ({x} >> 1)) & {int('01' * n, 2)})"
+    ends = [n * k // (most + 1) for k in range(most + 2)]
+    part = lambda r, k: f"(({r}.enc >> {2 * (n - ends[k + 1])}) & {4 ** (ends[k + 1] - ends[k]) - 1})"
+    same = lambda k: f"{part('g', k)} = {part('t', k)}"
+    joins = [
+        f"select g.guide_id, g.bases as guide, t.bases, t.cnt, {mm}::int as mm from guides g join targets t on {same(k)} where {mm} <= {most}" + "".join(f" and not {same(j)}" for j in range(k))
+        for k in range(most + 1)
+    ]
+    return f"""{targets_sql(nuclease)}, guides as materialized (select enc as guide_id, bases, enc from targets where enc % {EVERY} = 0),
+hits as materialized ({' union all '.join(joins)})"""
 
 
 SITES = f"with {GENOME_SQL}, {sites_sql(NGG)} "
@@ -138,12 +148,9 @@ def sites_ngg(spark, sf_dir):
     + " union all ".join(f"select '{e.name}' as enzyme, fwd, count(*) as n, count(distinct bases) as n_distinct from s_{e.name.lower()} group by fwd" for e in ENZYMES.values())
 )
 def sites_all_enzymes(spark, sf_dir):
-    out = None
-    for e in ENZYMES.values():
-        one = ngg_sites(spark, sf_dir, 0, e).groupBy("fwd").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bases").alias("n_distinct"))
-        one = one.select(F.lit(e.name).alias("enzyme"), "fwd", "n", "n_distinct")
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = sites.find_sites_of(genome(spark, sf_dir), list(ENZYMES.values()))
+    # Counts of one enzyme's distinct bases are merged by key, so the distinct count is a plain one.
+    return found.groupBy("enzyme", "fwd", "bases").agg(F.count(F.lit(1)).alias("n")).groupBy("enzyme", "fwd").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
 
 
 @query(f"with {GENOME_SQL}, {sites_sql(CPF1)} select contig, start::int as start, stop::int as stop, bases, fwd from sites")
@@ -176,13 +183,17 @@ def site_lines_parsed(spark, sf_dir):
 
 
 @query(
-    SITES + "select contig, start::int as start, fwd, (((fwd::int)::hugeint << 60) + (23::hugeint << 52) + (contig_idx::hugeint << 32) + start)::bigint as packed, contig_idx from sites where contig_idx < 1048576"
+    SITES + """select contig, start::int as start, fwd, contig_idx < 1048576 as packs,
+    case when contig_idx < 1048576 then (((fwd::int)::hugeint << 60) + (23::hugeint << 52) + (contig_idx::hugeint << 32) + start)::bigint end as packed, contig_idx from sites"""
 )
 def position_pack(spark, sf_dir):
-    rows = ngg_sites(spark, sf_dir).where(F.col("contig_idx") < 1 << 20)
+    """Contigs are numbered in 20 bits; beyond them a place has no packed form."""
+    rows = ngg_sites(spark, sf_dir)
     packed = dna.pack_position(F.col("contig_idx"), F.col("start"), F.col("stop") - F.col("start"), F.col("fwd"))
+    rows = rows.select("contig", "contig_idx", "start", "fwd", packed.alias("packed"))
     back = dna.unpack_position(F.col("packed"))
-    return rows.select("contig", packed.alias("packed")).select("contig", back["start"].cast("int").alias("start"), back["fwd"].alias("fwd"), "packed", back["contig_idx"].alias("contig_idx"))
+    read = lambda name: F.coalesce(back[name], F.col(name))
+    return rows.select("contig", read("start").cast("int").alias("start"), read("fwd").alias("fwd"), F.col("packed").isNotNull().alias("packs"), "packed", read("contig_idx").alias("contig_idx"))
 
 
 # Targets.
@@ -248,13 +259,14 @@ def homopolymer(spark, sf_dir):
 
 @query(TARGETS + "select '>' || bases || '_' || cnt || chr(10) || bases as record from targets where cnt >= 2")
 def extract_fasta(spark, sf_dir):
-    from helixframe.sources.fasta import target_records
-
-    kept = target_records(targets.count_range(ngg_targets(spark, sf_dir), 2))
+    kept = fasta.target_records(targets.count_range(ngg_targets(spark, sf_dir), 2))
     return kept.select(F.concat(F.lit(">"), "name", F.lit("\n"), "bases").alias("record"))
 
 
-@query()
+_DRAW = lambda key: f"('0x' || substr(md5({key}), 1, 13))::bigint"
+
+
+@query(TARGETS + f"select bases, cnt from targets where {_DRAW("'1:' || bases")} < {int(0.1 * (1 << 52))}")
 def sample(spark, sf_dir):
     return targets.subsample(ngg_targets(spark, sf_dir), 0.1).select("bases", "cnt")
 
@@ -271,7 +283,7 @@ def unidirectional(spark, sf_dir):
 
 @query(HITS + "select guide_id, guide, count(*) as n_hits, sum(cnt)::bigint as ot_count from hits group by all")
 def hamming_totals(spark, sf_dir):
-    return search.by_guide(ngg_hits(spark, sf_dir, "auto"))
+    return search.by_guide(ngg_hits(spark, sf_dir))
 
 
 @query(HITS + "select guide_id, guide, bases, cnt, mm from hits")
@@ -281,12 +293,12 @@ def hamming_join(spark, sf_dir):
 
 @query(HITS + "select guide_id, guide, bases, cnt, mm from hits")
 def hamming_join_pigeonhole(spark, sf_dir):
-    return ngg_hits(spark, sf_dir, "segments").select("guide_id", "guide", "bases", "cnt", "mm")
+    return ngg_hits(spark, sf_dir, "halves").select("guide_id", "guide", "bases", "cnt", "mm")
 
 
 @query(f"with {hits_sql(3, CPF1)} select guide_id, guide, bases, cnt, mm from hits")
 def hamming_join_cpf1(spark, sf_dir):
-    return ngg_hits(spark, sf_dir, "broadcast", 3, CPF1).select("guide_id", "guide", "bases", "cnt", "mm")
+    return ngg_hits(spark, sf_dir, "auto", 3, CPF1).select("guide_id", "guide", "bases", "cnt", "mm")
 
 
 @query(HITS + "select guide_id, bases, list_sum(list_transform(range(1, 24), lambda i: (substr(guide, i, 1) <> substr(bases, i, 1))::int))::int as text_mm from hits")
@@ -295,12 +307,11 @@ def text_mismatches(spark, sf_dir):
 
 
 @query(
-    HITS + """, g as (select * from guides), n as (select a.guide_id, a.bases as guide, b.guide_id as p, b.bases as pb from g a join g b
-      on bit_count((xor(a.enc, b.enc) | (xor(a.enc, b.enc) >> 1)) & 366503875925) between 1 and 4)
-    select guide_id, guide, string_agg(pb, ',' order by p, pb) as partners from n group by all"""
+    HITS + """, near as (select h.guide_id, h.guide, g.guide_id as p, g.bases as pb from hits h join guides g on g.bases = h.bases where h.mm > 0)
+    select guide_id, guide, string_agg(pb, ',' order by p, pb) as partners from near group by all"""
 )
 def reciprocal(spark, sf_dir):
-    return search.reciprocal(some_guides(ngg_targets(spark, sf_dir)), NGG, 4)
+    return search.reciprocal(cut(some_guides(ngg_targets(spark, sf_dir)), "guides"), NGG, 4)
 
 
 _BEDS = "beds as (select doc_id::varchar as contig, (doc_id % 7) * 40 as start, (doc_id % 7) * 40 + 300 as stop, 'r' || doc_id || '_' || k as name, doc_id * 2 + k as idx from documents, (select unnest([0, 1]) as k) where doc_id % 3 = 0 and k <= doc_id % 2)"
@@ -342,6 +353,27 @@ def overflow_cutoff(spark, sf_dir):
     return search.overflow(ngg_hits(spark, sf_dir), NGG, LOW_LIMIT).select("guide_id", "bases", "cnt", "mm", "overflowed")
 
 
+_BEFORE5 = "coalesce(sum(cnt) over (partition by guide_id order by substr(bases, 5, 7), bases rows between unbounded preceding and 1 preceding), 0)"
+
+
+@query(
+    f"with {hits_sql(3, CPF1)}, o as (select *, {_BEFORE5} as before, sum(cnt) over (partition by guide_id) >= {LOW_LIMIT} as overflowed from hits) "
+    f"select guide_id, bases, cnt, mm, overflowed from o where before < {LOW_LIMIT}"
+)
+def overflow_cutoff_cpf1(spark, sf_dir):
+    return search.overflow(ngg_hits(spark, sf_dir, "auto", 3, CPF1), CPF1, LOW_LIMIT).select("guide_id", "bases", "cnt", "mm", "overflowed")
+
+
+@query(
+    HITS + ", d as (select guide_id, guide, length(regexp_replace(guide, '[^GC]', '', 'g'))::double / length(guide) as gc, sum(case when mm = 0 then cnt else 0 end)::bigint as n from hits group by all) "
+    "select guide_id, guide, gc < 0.25 or gc > 0.75 as gc_flag, case when contains(substr(guide, 1, 20), 'TTTT') then 'PolyT' else 'NONE' end as poly_t, "
+    "case when n > 0 then 'IN_GENOME=' || n else 'NONE' end as in_genome from d"
+)
+def dangerous_text(spark, sf_dir):
+    out = scoring.dangerous(ngg_hits(spark, sf_dir))
+    return out.select("guide_id", "guide", F.col("gc").startswith("GC_").alias("gc_flag"), "poly_t", "in_genome")
+
+
 @query(HITS + "select guide_id, sum(cnt)::bigint as ot_count from hits group by 1")
 def ot_totals(spark, sf_dir):
     return search.by_guide(ngg_hits(spark, sf_dir)).select("guide_id", "ot_count")
@@ -441,16 +473,16 @@ def moreno2015(spark, sf_dir):
     return rows.select("contig", "start", "fwd", F.round(scoring.moreno2015(F.col("context")), 6).alias("moreno2015"))
 
 
-# Ranks, over two scores that both engines compute from the guide alone.
+# Ranks of all targets, over two scores that both engines compute from the target alone.
 
-_SCORED = f"{TARGETS}, scored as (select enc as guide_id, cnt::double as a, (enc % 1009)::double as b from targets where enc % {EVERY} = 0)"
+_SCORED = f"{TARGETS}, scored as (select bases as guide_id, cnt::double as a, (enc % 1009)::double as b, bases from targets)"
 _RANK = lambda c, order: f"(rank() over (order by {c} {order}) + count(*) over (partition by {c}) // 2)"
 _RANKED = f"{_SCORED}, r as (select *, {_RANK('a', 'desc')} as rank_a, {_RANK('b', 'asc')} as rank_b from scored), m as (select *, (rank_a + rank_b) / 2.0::double as median from r), k as (select *, {_RANK('median', 'asc')} as median_rank, count(*) over () as n from m) "
 
 
 def _scored(spark, sf_dir):
-    rows = ngg_targets(spark, sf_dir).where(F.col("enc") % EVERY == 0)
-    return rows.select(F.col("enc").alias("guide_id"), F.col("cnt").cast("double").alias("a"), (F.col("enc") % 1009).cast("double").alias("b"))
+    rows = ngg_targets(spark, sf_dir)
+    return rows.select(F.col("bases").alias("guide_id"), F.col("cnt").cast("double").alias("a"), (F.col("enc") % 1009).cast("double").alias("b"))
 
 
 def _ranked(spark, sf_dir):
@@ -498,35 +530,135 @@ def token_roundtrip(spark, sf_dir):
     f"select concat_ws(chr(9), 'g', 0, 23, guide, 'NONE', case when n >= {LOW_LIMIT} then 'OVERFLOW' else 'OK' end, 'FWD', n, t) as line from s"
 )
 def guide_rows(spark, sf_dir):
-    hits = ngg_hits(spark, sf_dir)
+    return guide_table.guide_lines(_guide_rows(ngg_hits(spark, sf_dir))).withColumnRenamed("value", "line")
+
+
+def _guide_rows(hits: DataFrame) -> DataFrame:
     token = guide_table.token(F.col("bases"), F.col("cnt"), F.col("mm"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("bases", token.alias("t")))), lambda x: x["t"])
     rows = hits.groupBy("guide_id", "guide").agg(F.sum("cnt").alias("ot_count"), listed.alias("tokens"))
-    rows = rows.select(
+    return rows.select(
         F.lit("g").alias("contig"), F.lit(0).alias("start"), F.lit(23).alias("stop"), F.col("guide").alias("bases"), F.lit(None).cast("string").alias("context"),
         (F.col("ot_count") >= LOW_LIMIT).alias("overflowed"), F.lit(True).alias("fwd"), "ot_count", "tokens",
     )
-    return guide_table.guide_lines(rows).withColumnRenamed("value", "line")
 
 
-@query()
+# Random guides: letters by MD5, which both engines have.
+
+
+def _letter_sql(slot: str, letters: str) -> str:
+    return f"substr('{letters}', ({_DRAW(f"'1:{slot}:' || id")} % {len(letters)})::int + 1, 1)"
+
+
+def _random_sql(count: int, tokens: list[str], left: int, right: int, one_site: bool) -> str:
+    """The ``count`` smallest of 50 times as many ids whose guide is new (and has one site)."""
+    around = lambda n, name: [_letter_sql(f"{name}{k}", "ACGT") for k in range(n)]
+    body = []
+    for k, t in enumerate(tokens):
+        one = _letter_sql(t[1:].rstrip("-") or f"own{k}", randoms.IUPAC[next(x[0] for x in tokens if x[1:] == t[1:].rstrip("-")) if t[1:] else t])
+        body.append(f"translate({one}, 'ACGT', 'TGCA')" if t.endswith("-") else one)
+    seq = " || ".join([*around(left, "l"), *body, "'GG'", *around(right, "r")])
+    n = len(tokens) + 2
+    fits = " + ".join(f"(substr(seq, {k + 1}, {n}) like '%GG')::int + (substr(seq, {k + 1}, 2) = 'CC')::int" for k in range(left + right + 1))
+    good = f"where {fits} = 1" if one_site else ""
+    return f"with r as (select id, {seq} as seq from range({50 * count}) t(id)), d as (select min(id)::bigint as id, seq from r {good} group by seq) select id, seq from d order by id limit {count}"
+
+
+_TOKENS = ["N1", "R", "N2", "N2-", "N1-"] + ["N"] * 16
+
+
+@query(_random_sql(500, ["N"] * 21, 4, 4, False))
 def random_guides(spark, sf_dir):
     return randoms.random_guides(spark, NGG, 500, left=4, right=4)
 
 
-@query()
+@query(_random_sql(200, _TOKENS, 0, 0, True))
 def patterned_guides(spark, sf_dir):
-    return randoms.random_guides(spark, NGG, 200, tokens="N1,R,N2,N2-,N1-," + ",".join("N" * 16), one_site=True)
+    return randoms.random_guides(spark, NGG, 200, tokens=",".join(_TOKENS), one_site=True)
+
+
+@query(_random_sql(300, ["N"] * 21, 0, 0, False).replace("select id, seq from d", "select 'random' || seq as name, seq from d"))
+def random_fasta(spark, sf_dir):
+    path = scratch_path(spark, "random-fasta")
+    rows = randoms.random_guides(spark, NGG, 300)
+    fasta.write_fasta(rows.select(F.concat(F.lit("random"), "seq").alias("name"), "seq"), "name", "seq", path)
+    return fasta.read_fasta(spark, path).select(F.col("contig").alias("name"), "seq")
+
+
+# Files: written to the shared folder and read back.
+
+
+@query(f"with {GENOME_SQL} select 'doc_' || doc_id as contig, length(seq)::bigint as n, md5(seq) as digest from chunked")
+def fasta_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "fasta")
+    rows = genome(spark, sf_dir).select(F.concat(F.lit("doc "), "contig").alias("name"), F.lower("seq").alias("seq"))
+    fasta.write_fasta(rows, "name", "seq", path, "gzip")
+    return fasta.read_fasta(spark, path).select("contig", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("digest"))
+
+
+@query(f"with {GENOME_SQL} select doc_id::varchar as contig, length(seq)::bigint as length from chunked")
+def dictionary_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "dict")
+    line = F.concat(F.lit("@SQ\tSN:"), "contig", F.lit("\tLN:"), F.length("seq").cast("string"))
+    genome(spark, sf_dir).select(line).union(spark.sql("select '@HD\tVN:1.6'")).write.text(path)
+    return fasta.read_dictionary(spark, path)
+
+
+@query(
+    "select doc_id::varchar as contig, (doc_id % 7 * 40)::bigint as start, (doc_id % 7 * 40 + 300)::bigint as stop, 'r' || doc_id as name, "
+    "case when doc_id % 2 = 0 then source end as source, case when doc_id % 2 = 0 then '1' end as kind from documents"
+)
+def bed_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "bed")
+    start = F.col("doc_id") % 7 * 40
+    fields = ["doc_id", start, start + 300, F.concat(F.lit("r"), "doc_id")]
+    more = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("source="), "source", F.lit(";kind=1")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.select(F.concat_ws("\t", *fields, more)).union(spark.sql("select '#chrom\tstart'")).write.text(path)
+    return bed.read_bed(spark, path).select("contig", "start", "stop", "name", F.col("rest")["source"].alias("source"), F.col("rest")["kind"].alias("kind"))
+
+
+@query(TARGETS + "select bases, cnt, enc, substr(bases, 1, 2) as bin from targets")
+def index_linear(spark, sf_dir):
+    path = scratch_path(spark, "index")
+    target_index.write_index(ngg_targets(spark, sf_dir), NGG, path)
+    return target_index.read_index(spark, path)[0].select("bases", "cnt", "enc", "bin")
+
+
+@query(TARGETS + "select bases, cnt from targets where substr(bases, 1, 2) in ('AC', 'GT') or substr(bases, 1, 1) = 'T' or substr(bases, 2, 1) = 'A'")
+def index_seek(spark, sf_dir):
+    """The bins that guides beginning with TA may meet within one mismatch, and two bins by name."""
+    path = scratch_path(spark, "index")
+    target_index.write_index(ngg_targets(spark, sf_dir), NGG, path)
+    found, nuclease = target_index.read_index(spark, path)
+    near = target_index.seek(found, found.where("bin = 'TA'"), nuclease, 1)
+    return near.unionByName(found.where("bin in ('AC', 'GT')")).select("bases", "cnt").distinct()
+
+
+@query(
+    HITS + ", s as (select guide_id, guide, sum(cnt) as n, list({'b': bases, 'c': cnt, 'm': mm} order by bases) as l from hits group by all) "
+    "select guide as bases, n::bigint as ot_count, array_to_string(list_transform(list_filter(l, lambda x: x.m <= 2), lambda x: x.b || ' ' || x.c || ' ' || x.m), ',') as kept "
+    f"from s where n < {LOW_LIMIT}"
+)
+def guide_table_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "guides")
+    guide_table.write_guides(_guide_rows(ngg_hits(spark, sf_dir)), path)
+    back = guide_table.read_guides(spark, path, 2)
+    kept = F.transform("hits", lambda h: F.concat_ws(" ", h["bases"], h["cnt"], h["mm"]))
+    return back.select("bases", "ot_count", F.array_join(kept, ",").alias("kept"))
 
 
 @query()
 def folding(spark, sf_dir):
-    return fold.folding(some_guides(ngg_targets(spark, sf_dir)).select("guide_id", "bases"), NGG, 19)
+    return fold.folding(ngg_targets(spark, sf_dir).select("bases"), NGG, 19)
 
 
-@query()
+@query(
+    _RANKED + ", p as (select guide_id, row_number() over (order by median, guide_id) as place, rank_a + rank_b as s, n from k), b as (select * from p where place <= least(ceil(n / 4.0::double), 1000)), "
+    "w as (select x.guide_id, x.s, sum(greatest(0, x.s - y.s)) as score from b x cross join b y group by all) "
+    "select guide_id, score::bigint as score, (row_number() over (order by score desc, guide_id) - 1)::bigint as rank from w"
+)
 def schulze(spark, sf_dir):
-    """Widest paths over the ranks of the best guides, at most a thousand rows on the driver."""
-    top = _ranked(spark, sf_dir).where("top_x is not null").select("guide_id", "rank_a", "rank_b").orderBy("guide_id").collect()
-    found = ranking.schulze([[r["rank_a"], r["rank_b"]] for r in top])
-    return spark.createDataFrame([(r["guide_id"], k, s) for r, (k, s) in zip(top, found)], "guide_id long, rank int, score long")
+    """The best guides, at most a thousand, by widest paths over their two ranks."""
+    best = _ranked(spark, sf_dir).where("top_x is not null")
+    return ranking.schulze(best, ["rank_a", "rank_b"], "guide_id")

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,23 @@ def test_folding_of_strings_that_do_not_fold():
     assert folding.energy("") == folding.energy("AAAA") == folding.energy("A" * 20) == 0.0
 
 
-def test_schulze():
-    assert schulze([[5], [2], [3], [4], [1]])[0] == (0, 10)
-    assert [r for r, _ in schulze([[5], [2], [3], [4], [1]])] == [0, 3, 2, 1, 4]
+def widest(votes):
+    """Schulze's method by its definition: preferences, then widest paths."""
+    n, sums = len(votes), [sum(v) for v in votes]
+    wide = [[max(0, a - b) for b in sums] for a in sums]
+    for i in range(n):
+        for j in range(n):
+            for k in range(n):
+                wide[j][k] = max(wide[j][k], min(wide[j][i], wide[i][k])) if j != k else 0
+    score = [sum(w) for w in wide]
+    order = sorted(range(n), key=lambda i: (-score[i], i))
+    return [(score[i], order.index(i)) for i in range(n)]
+
+
+def test_schulze(spark):
+    golden = spark.createDataFrame([(k, *[v] * 5) for k, v in enumerate((5, 2, 3, 4, 1))], "id int, a int, b int, c int, d int, e int")
+    assert {r.id: (r.score, r.rank) for r in schulze(golden, list("abcde"), "id").collect()}[0] == (50, 0)
+    rng = random.Random(7)
+    votes = [[rng.randint(1, 9), rng.randint(1, 9)] for _ in range(25)]
+    frame = spark.createDataFrame([(k, *v) for k, v in enumerate(votes)], "id int, a int, b int")
+    assert [(r.score, r.rank) for r in schulze(frame, ["a", "b"], "id").orderBy("id").collect()] == widest(votes)

@@ -67,11 +67,39 @@ def test_joins_agree_with_brute_force(spark, most):
     guides = found.where(F.col("enc") % 5 == 0).select(F.col("enc").alias("guide_id"), "bases", "enc")
     rows = [r.bases for r in found.collect()]
     want = {(g, t) for g in (r.bases for r in guides.collect()) for t in rows if sum(a != b for a, b in zip(g[:20], t[:20])) <= most}
-    for strategy in ("broadcast", "segments", "auto"):
+    for strategy in ("broadcast", "halves", "auto"):
         got = search.discover(guides, found, NGG, most, strategy).collect()
         assert {(r.guide, r.bases) for r in got} == want and len(got) == len(want)
 
 
+def test_search_brings_positions(spark):
+    found = some_targets(spark, 80).withColumn("positions", F.array("cnt"))
+    guides = found.where(F.col("enc") % 5 == 0).select(F.col("enc").alias("guide_id"), "bases", "enc")
+    for strategy in ("broadcast", "halves"):
+        rows = search.discover(guides, found, NGG, 4, strategy).collect()
+        assert rows and all(r.positions == [r.cnt] for r in rows)
+
+
+@pytest.mark.parametrize("name", ["spcas9ngg", "cpf1"])
+def test_overflow_equals_brute_force(spark, name):
+    rng, e = random.Random(4), enzyme(name)
+    texts = sorted({"".join(rng.choice("ACGT") for _ in range(e.length)) for _ in range(200)})
+    hits = [(g, "g", b, rng.randint(1, 9), 1) for g in range(3) for b in texts[: 70 * (g + 1)]]
+    frame = spark.createDataFrame(hits, "guide_id long, guide string, bases string, cnt int, mm int")
+    order = (lambda b: (b[4:11], b)) if e.five_prime else (lambda b: b)
+    for most in (1, 40, 700, 5000):
+        want = set()
+        for g in range(3):
+            total = 0
+            mine = sorted((h for h in hits if h[0] == g), key=lambda h: order(h[2]))
+            for h in mine:
+                if total < most:
+                    want.add((g, h[2], sum(x[3] for x in mine) >= most))
+                total += h[3]
+        got = search.overflow(frame, e, most).collect()
+        assert {(r.guide_id, r.bases, r.overflowed) for r in got} == want and len(got) == len(want)
+
+
 def test_overflow(spark):
     hits = spark.createDataFrame([(1, "g", b, c, 1) for b, c in (("A", 2), ("C", 3), ("G", 4), ("T", 1))], "guide_id long, guide string, bases string, cnt int, mm int")
     kept = search.overflow(hits, NGG, 5).orderBy("bases").collect()
@@ -87,6 +115,19 @@ def test_dedupe_and_cap(spark, monkeypatch):
     assert row.cnt == 3 and [p.contig for p in row.positions] == ["c0", "c1", "c2"]
 
 
+def test_positions_of_a_repeat_family(spark, monkeypatch):
+    """The first places in order are kept, whatever contig and stretch they lie in."""
+    monkeypatch.setattr(dna, "COUNT_CAP", 7)
+    monkeypatch.setattr(targets, "STRETCH", 3)
+    rng = random.Random(1)
+    places = [(f"c{rng.randint(0, 4)}", rng.randint(0, 4), rng.randint(0, 60), bool(rng.randint(0, 1))) for _ in range(80)]
+    places = sorted({(f"c{i}", i, s, f) for _, i, s, f in places})
+    sites_of = spark.createDataFrame([(c, i, s, s + 23, "A" * 21 + "GG", f) for c, i, s, f in places], "contig string, contig_idx int, start int, stop int, bases string, fwd boolean")
+    row = targets.build_targets(sites_of.repartition(3), NGG).first()
+    want = sorted(places, key=lambda p: (p[1], p[2], not p[3]))[:7]
+    assert row.cnt == 7 and [(p.contig, p.start, p.fwd) for p in row.positions] == [(c, s, f) for c, _, s, f in want]
+
+
 def test_closest_goldens(spark):
     schema = "guide_id long, guide string, bases string, cnt int, mm int"
     rows = [(1, "g", "a", 1, 1), (2, "g", "a", 40, 1), (3, "g", "a", 70, 1), (3, "g", "b", 20, 2), (3, "g", "c", 10, 4), (4, "g", "a", 5, 0)]
@@ -134,6 +175,13 @@ def test_intervals(spark):
     assert (rows["z"].contig, rows["z"].start, rows["z"].old_contig, rows["x"].old_contig) == ("chr8", 10050, "1", "NA")
 
 
+def test_repeated_rows_and_overlaps(spark):
+    found = spark.createDataFrame([("c", 0, 23, "x"), ("c", 0, 23, "x"), ("d", 0, 23, "x")], "contig string, start int, stop int, bases string")
+    beds = spark.createDataFrame([("c", 0, 9, "r", 0)], "contig string, start int, stop int, name string, idx int")
+    rows = intervals.overlap_join(found, beds, ["bases"], "hit").collect()
+    assert sorted((r.contig, r.hit) for r in rows) == [("c", "r"), ("c", "r"), ("d", "NA")] and rows[0].__fields__ == ["contig", "start", "stop", "bases", "hit"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">a b\tc\nacgt\nAC\n>second\nTTTT\n>empty\n")
     rows = fasta.read_fasta(spark, str(tmp_path / "x.fa")).orderBy("contig_idx").collect()
@@ -176,6 +224,12 @@ def test_index_round_trip_and_stream(spark, tmp_path):
     assert spark.table("hits").where("mm = 0").count() >= len(plain_sites(seqs[0], NGG))
 
 
+@pytest.mark.parametrize("tokens", ["R1,N1", "N1-,N", "N2,N1-", "Z,N", "N-,N", "N,N,N"])
+def test_refused_patterns(tokens):
+    with pytest.raises(ValueError):
+        randoms.pattern(tokens, 1, 2)
+
+
 def test_randoms(spark):
     rows = randoms.random_guides(spark, NGG, 50, tokens="N1,N1-," + ",".join("N" * 19), one_site=True).collect()
     assert len({r.seq for r in rows}) == 50
