@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
+
 from helixframe.llm import bagminhash, chat, jpeg, langid, mixing, packing, secrets, sphericalcaps, toxicity, warc
 
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline lies at the repository's top, beside the package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_warc_zip": warc.op1_warc_zip,
     "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
@@ -16,7 +26,7 @@ QUERIES = {
     "op8_secret_forest": secrets.op8_secret_forest,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_progressive_jpeg": jpeg.op10_progressive_jpeg,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": _pipeline,
 }
 ORACLES = {
     "op1_warc_zip": warc.ORACLE,
