@@ -152,6 +152,37 @@ def test_hsu_guide_golden(spark):
     assert 96 < scoring.hsu(hits).first().hsu2013 < 100
 
 
+# The published mismatch weights that the golden pairs below need (position, guide base, target base, weight).
+CFD_SOME = (
+    (1, "G", "T", 1.0), (2, "A", "G", 0.8), (2, "A", "T", 0.727272727), (4, "T", "C", 0.647058824), (5, "T", "G", 0.64), (8, "A", "C", 0.428571429),
+    (10, "C", "A", 0.866666667), (11, "C", "A", 0.75), (12, "G", "A", 0.933333333), (12, "G", "C", 0.529411765), (15, "G", "A", 0.941176471), (18, "G", "A", 0.692307692),
+    (18, "G", "T", 0.666666667), (19, "G", "C", 0.448275862), (19, "G", "T", 0.666666667), (20, "T", "A", 0.5625),
+)
+CRISPRI_SOME = ((1, "A", "T", 0.7952747759038213), (4, "A", "T", 0.6947382165440157), (9, "A", "T", 0.31016952886752025), (14, "A", "G", 0.26865890093507167))
+
+
+def test_pair_goldens(spark):
+    """Pairs scored with published weights."""
+    weights = scoring.weights_from_rows(CFD_SOME)
+    want = {"GACCTGCATACGAAGCCTTT": 0.249237473, "TTCTTGCATCAGAAGCCGCT": 0.244514106, "GACCTGCATCCAAAGCCAGA": 0.235180995, "GGCTGGCATCCCAAGCCAGT": 0.187656109, "GACTTGCCTCCCAAACCTGT": 0.142362828}
+    rows = spark.createDataFrame([(t,) for t in want], "t string")
+    got = {r.t: r.s for r in rows.select("t", scoring.pair_product(F.lit("GACTTGCATCCGAAGCCGGT"), F.col("t"), weights).alias("s")).collect()}
+    assert got == pytest.approx(want, abs=1e-3)
+    hits = spark.createDataFrame([(1, "GACTTGCATCCGAAGCCGGTGGG", t + "TGG", 2, 3) for t in want] + [(1, "GACTTGCATCCGAAGCCGGTGGG", "GACTTGCATCCGAAGCCGGTAGG", 5, 0)], "guide_id long, guide string, bases string, cnt int, mm int")
+    row = scoring.cfd(hits, weights).first()
+    assert row.cfd_max == pytest.approx(0.249237473, abs=1e-3) and row.cfd_specificity == pytest.approx(1 / (1 + 2 * sum(want.values())), abs=1e-3)
+
+    weights, guide = scoring.weights_from_rows(CRISPRI_SOME), "A" * 20 + "GGG"
+    want = {"T" + guide[1:]: 1.0, "AT" + guide[2:]: 0.7952747759038213, "AAAATAAAATAAAAGAAAAAGGG": 0.6947382165440157 * 0.31016952886752025 * 0.26865890093507167}
+    for target, value in want.items():
+        assert one(spark, scoring.crispri_hit(F.lit(guide), F.lit(target), weights)) == pytest.approx(value)
+    assert one(spark, scoring.crispri_hit(F.lit("A" * 19 + "GGG"), F.lit("AAATAAAATAAAAGAAAAAGGG"), weights, 22)) == pytest.approx(value)
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("out")).first()["out"]
+
+
 def test_rank_goldens(spark):
     frame = spark.createDataFrame([(k, float(k)) for k in range(5)], "guide_id long, s double")
     rows = {r.guide_id: r for r in ranking.aggregate_ranks(frame, {"s": True}).collect()}
