@@ -21,6 +21,8 @@ from helixframe.llm.textbytes import padded, span_hash, utf8
 
 SPACE, LETTER, DIGIT, OTHER, HARD = range(5)
 LONGEST = 48
+#: Distinct pieces whose ids are kept from slice to slice, about 40 bytes each.
+REMEMBERED = 1 << 17
 _NEVER = np.int32(2**31 - 1)
 
 
@@ -49,6 +51,7 @@ class WordBpe:
         self.pair, self.rank = pair[order], order.astype(np.int32)
         self.merged = np.fromiter((vocab[a + b] for a, b in merges), np.int32, len(merges))
         self._tables()
+        self._forget()
 
     @cached_property
     def library(self):
@@ -142,9 +145,30 @@ class WordBpe:
         where = order[new]
         code = np.empty(len(order), np.int32)
         code[order] = np.cumsum(new, dtype=np.int32) - 1
-        kinds = len(where)
+        keys = found[new]
         del found, order, new
-        first, size = starts[where], length[where]
+        at = self._known(data, keys, starts[where], length[where])
+        count, origin, pool = self.counts[at], self.origins[at], self.pool
+        each = count[code]
+        begin = np.concatenate([[0], np.cumsum(each)])
+        source = np.repeat((origin[code] - begin[:-1]).astype(np.int32), each)
+        source += np.arange(begin[-1], dtype=np.int32)
+        return pool[source], begin
+
+    def _known(self, data: np.ndarray, keys: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places of the distinct pieces in the table of pieces already merged; new ones are merged and join it.
+
+        Slices share most of their words.  The table starts anew beyond ``REMEMBERED`` pieces.
+        """
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        old = at < len(self.keys)
+        old[old] = self.keys[at[old]] == keys[old]
+        fresh = np.flatnonzero(~old)
+        if not len(fresh):
+            return at
+        first, size = first[fresh], size[fresh]
         chunk: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # pieces, counts, ids
         lower = 0
         for upper in (2, 4, 6, 8, 12, 16, 24, LONGEST):
@@ -157,14 +181,17 @@ class WordBpe:
             chunk.append((np.array([k]), np.array([len(got)]), np.array(got, np.int32)))
         piece = np.concatenate([c[0] for c in chunk])
         number = np.concatenate([c[1] for c in chunk])
-        pool = np.concatenate([c[2] for c in chunk])
-        count, origin = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
-        count[piece], origin[piece] = number, np.cumsum(number) - number
-        each = count[code]
-        begin = np.concatenate([[0], np.cumsum(each)])
-        source = np.repeat((origin[code] - begin[:-1]).astype(np.int32), each)
-        source += np.arange(begin[-1], dtype=np.int32)
-        return pool[source], begin
+        origin = len(self.pool) + np.cumsum(number) - number
+        order = np.argsort(np.concatenate([self.keys, keys[fresh][piece]]), kind="stable")
+        self.counts = np.concatenate([self.counts, number.astype(np.int32)])[order]
+        self.origins = np.concatenate([self.origins, origin])[order]
+        self.pool = np.concatenate([self.pool, *(c[2] for c in chunk)])
+        self.keys = np.concatenate([self.keys, keys[fresh][piece]])[order]
+        return np.searchsorted(self.keys, keys)
+
+    def _forget(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.origins, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left.astype(np.int64) << 20) | right.astype(np.int64)
