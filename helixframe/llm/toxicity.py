@@ -8,7 +8,7 @@ nearest, so these are exact.  Distance-weighted votes are mapped to
 probabilities by isotonic regression on the examples' own leave-one-out votes, weighted to the
 labels' true shares.  The nearest examples are the evidence.
 
-Nulls and edge cases: a null text is empty; a text without a known term has no neighbours and gets the share
+Nulls and edge cases: a null text is empty; a text without a known term of weight has no neighbours and gets the share
 of toxic ones among such examples; without labels of both kinds every score is that of no evidence, 0;
 a null doc_id counts as the empty string in the fold and is never learnt from; an example labelled
 twice is toxic if one label says so; repeated rows are scored each; columns other than doc_id and text are ignored.
@@ -114,7 +114,7 @@ class Index:
     def weigh(self, owner: np.ndarray, place: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
         """TF-IDF weights, each text's vector of length 1."""
         raw = (1.0 + np.log(count)) * self.idf[place]
-        return raw / np.sqrt(np.bincount(owner, raw**2, n))[owner]
+        return raw / np.sqrt(np.maximum(np.bincount(owner, raw**2, n), 1e-300))[owner]
 
     def cosines(self, owner: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None) -> np.ndarray:
         """Cosines of ``n`` texts with the examples by slot, -1 where a block's bound shows that none is among the k largest.
@@ -262,12 +262,12 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
 
 
 def inverse_frequencies(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
-    """Smoothed inverse document frequencies of the known terms over all documents, and their number."""
+    """Inverse document frequencies of the known terms over all documents, 0 for a term of every document; and their number."""
     sums = docs.select("text").mapInArrow(_frequencies(known), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     df = np.zeros(len(known) + 1)
     got = sums.toArrow()  # at most one row a known term
     df[got["place"].to_numpy()] = got["n"].to_numpy()
-    return np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0, int(df[-1])
+    return np.log((1.0 + df[-1]) / (1.0 + df[:-1])), int(df[-1])
 
 
 def _score(index: Index | None):

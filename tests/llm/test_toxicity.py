@@ -94,7 +94,7 @@ def test_whole_operator_equals_brute_force(spark):
     learn = [i for i, _, y in rows if y is not None and zlib.crc32(str(i).encode()) % 4 != 2]
     label = {i: y for i, _, y in rows}
     known = set().union(*(bags[i] for i in learn))
-    idf = {t: np.log((1 + len(rows)) / (1 + sum(t in b for b in bags.values()))) + 1 for t in known}
+    idf = {t: np.log((1 + len(rows)) / (1 + sum(t in b for b in bags.values()))) for t in known}
 
     def unit(b):
         v = {t: (1 + np.log(n)) * idf[t] for t, n in b.items() if t in known}
