@@ -60,7 +60,10 @@ def join_halves(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int
     heavy = [f.name for f in targets.schema.fields if f.dataType.typeName() == "array"]
     slim = targets.drop(*heavy)
     left = slim.withColumn("half", F.explode(keys(F.col("enc"), False)))
-    right = _named(guides).withColumn("guide_half", F.explode(keys(F.col("guide_enc"), True)))
+    # Guides are few rows before their neighbours are listed, so they are dealt out first.
+    spark = guides.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    right = _named(guides).repartition(tasks, "guide_enc").withColumn("guide_half", F.explode(keys(F.col("guide_enc"), True)))
     pairs = left.join(right, F.col("half") == F.col("guide_half"))
     distance = dna.mismatches(F.col("enc"), F.col("guide_enc"), n)
     first = dna.mismatches(half(F.col("enc"), 0), half(F.col("guide_enc"), 0), sizes[0])
