@@ -63,7 +63,8 @@ def ngg_targets(spark: SparkSession, sf_dir: str, positions: bool = False, nucle
 
 
 def some_guides(found: DataFrame) -> DataFrame:
-    return found.where(F.col("enc") % EVERY == 0).select(F.col("enc").alias("guide_id"), "bases", "enc")
+    """Targets as guides; an id packs all bases, as targets that differ in the PAM alone share their compared bases."""
+    return found.where(F.col("enc") % EVERY == 0).select(dna.encode(F.col("bases")).alias("guide_id"), "bases", "enc")
 
 
 def ngg_hits(spark: SparkSession, sf_dir: str, strategy: str = "auto", most: int = 4, nuclease: Enzyme = NGG, positions: bool = False) -> DataFrame:
@@ -126,7 +127,7 @@ def hits_sql(most: int = 4, nuclease: Enzyme = NGG) -> str:
         f"select g.guide_id, g.bases as guide, t.bases, t.cnt, {mm}::int as mm from guides g join targets t on {same(k)} where {mm} <= {most}" + "".join(f" and not {same(j)}" for j in range(k))
         for k in range(most + 1)
     ]
-    return f"""{targets_sql(nuclease)}, guides as materialized (select enc as guide_id, bases, enc from targets where enc % {EVERY} = 0),
+    return f"""{targets_sql(nuclease)}, guides as materialized (select {_enc('bases', 1, nuclease.length)} as guide_id, bases, enc from targets where enc % {EVERY} = 0),
 hits as materialized ({' union all '.join(joins)})"""
 
 

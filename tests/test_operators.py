@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import dna
 from helixframe.functions.enzymes import ENZYMES, enzyme
 from helixframe.operators import intervals, randoms, ranking, scoring, search, sites, targets
+from helixframe.plans import catalog
 from helixframe.sources import bed, fasta, guide_table, index
 from helixframe.streaming.guides import stream_hits
 
@@ -267,3 +268,12 @@ def test_randoms(spark):
     for r in rows:
         assert r.seq[1] == revcomp(r.seq[0]) and r.seq.endswith("GG") and len(plain_sites(r.seq, NGG)) == 1
     assert len(randoms.random_guides(spark, enzyme("cpf1"), 20, left=3).collect()[0].seq) == 27
+
+
+def test_targets_that_differ_in_the_pam_alone_are_guides_of_their_own(spark):
+    rows = [("A" * 20 + "AGG", 1, 0), ("A" * 20 + "TGG", 2, 0)]
+    found = spark.createDataFrame(rows, "bases string, cnt int, enc long")
+    guides = catalog.some_guides(found)
+    assert guides.select("guide_id").distinct().count() == 2
+    hits = search.by_guide(search.discover(guides, found, catalog.NGG))
+    assert sorted((r["guide"], r["n_hits"], r["ot_count"]) for r in hits.collect()) == [(b, 2, 3) for b, _, _ in rows]
