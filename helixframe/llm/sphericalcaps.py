@@ -70,7 +70,7 @@ def _codes(length: int, blocks: int, words: int) -> tuple[list[tuple[np.ndarray,
         books = []
         for _ in range(blocks):
             book = rng.standard_normal((words, space // blocks))
-            books.append(book / np.linalg.norm(book, axis=1, keepdims=True))
+            books.append((book / np.linalg.norm(book, axis=1, keepdims=True)).astype(np.float32))
         return turn, books
 
     codes = [code() for _ in range(CODES)]
@@ -96,7 +96,8 @@ def _codes(length: int, blocks: int, words: int) -> tuple[list[tuple[np.ndarray,
 
 
 def _scores(turned: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
-    width = turned.shape[1] // len(books)
+    """Scores of each block's codewords, in single precision: they only decide which vectors meet."""
+    turned, width = turned.astype(np.float32), turned.shape[1] // len(books)
     return [turned[:, k * width : (k + 1) * width] @ book.T for k, book in enumerate(books)]
 
 
@@ -115,7 +116,7 @@ def _passed(turned: np.ndarray, books: list[np.ndarray], reach: float, number: i
         owner, sums, code = owner[start], sums[start], code[start]
         best = np.full(n, -np.inf)
         np.maximum.at(best, owner, sums)
-        row, word = np.nonzero(mine >= (reach - rest - best)[:, None])
+        row, word = np.divmod(np.flatnonzero(mine >= (reach - rest - best).astype(np.float32)[:, None]), words)
         begin = np.searchsorted(row, np.arange(n + 1))
         size = begin[owner + 1] - begin[owner]
         at = np.repeat(begin[owner] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -278,11 +279,12 @@ def _groups(links: _Links, rows: pa.Table, cuts: np.ndarray) -> None:
             unit = found
         else:
             unit[of] = found
+        thin = unit.astype(np.float32)
         for step in range(1, SMALL):
             same = np.flatnonzero((owner[step:] == owner[:-step]) & (length[step:] == width)) if step < rows.num_rows else []
             if len(same):
-                cosine = np.einsum("ij,ij->i", unit[same], unit[same + step])
-                hit[owner[same[cosine >= links.cosine - 1e-9]]] = True
+                cosine = np.einsum("ij,ij->i", thin[same], thin[same + step])
+                hit[owner[same[cosine >= links.cosine - 1e-5]]] = True
         get = lambda c: rows.column(c).to_numpy()
         filters, rep, copies, block, b0, b1 = (get(c) for c in ("filter", "rep", "copies", "block", "b0", "b1"))
         mine = rows.column("filters").chunk(0)
