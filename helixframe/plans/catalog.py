@@ -1,7 +1,7 @@
 """Queries over the driver's tables and their SQL counterparts.
 
 The tables hold no nucleotides.  The document genome makes some: a document is a contig whose
-letters, lower-cased, are mapped to bases.  Searches take as guides every target whose packed bases are divisible by 20,
+letters, lower-cased, are mapped to bases.  Searches take as guides every target whose packed compared bases are divisible by 20,
 against all targets; all other queries use all rows.
 """
 
