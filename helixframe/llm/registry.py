@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import bagminhash, chat, jpeg, langid, mixing, packing, secrets, sphericalcaps, toxicity, warc
+from helixframe.llm import bagminhash, chat, jpeg, langid, linededup, mixing, packing, secrets, sphericalcaps, toxicity, warc
 
 
 
@@ -26,12 +26,14 @@ QUERIES = {
     "op8_secret_forest": secrets.op8_secret_forest,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_progressive_jpeg": jpeg.op10_progressive_jpeg,
+    "op12_line_dedup": linededup.op12_line_dedup,
     "pipeline": _pipeline,
 }
 ORACLES = {
     "op1_warc_zip": warc.ORACLE,
     "op2_chat_prefix_targets": chat.ORACLE,
     "op9_source_mix": mixing.ORACLE,
+    "op12_line_dedup": linededup.ORACLE,
 }
 
 
