@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import bagminhash, chat, jpeg, langid, linededup, mixing, packing, secrets, sphericalcaps, toxicity, warc
+from helixframe.llm import bagminhash, chat, jpeg, langid, linededup, mixing, packing, secrets, sphericalcaps, threshold, toxicity, warc
 
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op8_secret_forest": secrets.op8_secret_forest,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_progressive_jpeg": jpeg.op10_progressive_jpeg,
+    "op11_threshold_search": threshold.op11_threshold_search,
     "op12_line_dedup": linededup.op12_line_dedup,
     "pipeline": _pipeline,
 }
@@ -33,6 +34,7 @@ ORACLES = {
     "op1_warc_zip": warc.ORACLE,
     "op2_chat_prefix_targets": chat.ORACLE,
     "op9_source_mix": mixing.ORACLE,
+    "op11_threshold_search": threshold.ORACLE,
     "op12_line_dedup": linededup.ORACLE,
 }
 
