@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import bagminhash, chat, jpeg, langid, linededup, mixing, packing, secrets, sphericalcaps, threshold, toxicity, warc
+from helixframe.llm import bagminhash, chat, jpeg, langid, linededup, mixing, packing, secrets, sphericalcaps, threshold, toxicity, turnrepair, warc
 
 
 
@@ -28,6 +28,7 @@ QUERIES = {
     "op10_progressive_jpeg": jpeg.op10_progressive_jpeg,
     "op11_threshold_search": threshold.op11_threshold_search,
     "op12_line_dedup": linededup.op12_line_dedup,
+    "op13_turn_repair": turnrepair.op13_turn_repair,
     "pipeline": _pipeline,
 }
 ORACLES = {
@@ -36,6 +37,7 @@ ORACLES = {
     "op9_source_mix": mixing.ORACLE,
     "op11_threshold_search": threshold.ORACLE,
     "op12_line_dedup": linededup.ORACLE,
+    "op13_turn_repair": turnrepair.ORACLE,
 }
 
 
