@@ -17,10 +17,11 @@ fails that test and the bucket still holds several components, failed members me
 by block as matrices of shared elements; only links that join components leave such a task, so that no
 class is lost and no list of pairs is made.
 
+Vertices are distinct texts, whatever their ids are, so rows of one doc_id with several texts are judged one by one.
+
 Nulls and edge cases: texts that are null or have no word link with nothing; so do rows with a null
-doc_id; repeated rows are copies; where rows of one doc_id have several texts, each row is judged by its own copies and the
-text with the smallest MD5 stands for the id in comparisons; an empty table gives an empty result; columns other than doc_id
-and text are ignored.
+doc_id; repeated rows are copies; the document kept of a class has its smallest doc_id, and of that id's texts in the class the
+one with the smallest MD5; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import components, cut, table, unused
@@ -41,8 +41,8 @@ from helixframe.llm.textbytes import chunks, column, mix, utf8, word_hashes
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS, ROWS = 20, 6
-#: Ids of up to this many candidate documents are broadcast (8 bytes each); more are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Up to this many candidate texts' ids and hashes are broadcast (about 40 bytes each); more are shuffled.
+BROADCAST_IDS = 300_000
 MEMBERS_A_TASK = 64
 #: Below so many live processes each gives ``BLOCK_POINTS`` points at once.
 FEW, BLOCK_POINTS = 4096, 16
@@ -333,23 +333,23 @@ def link_rest(known: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
     return cut(rows.groupBy("bucket", "b0", "b1").applyInArrow(link, "a long, b long"), "bag-late")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: doc_id, copy_id (smallest id of its exact copies), class_id (smallest id of its class), kept."""
-    spark = docs.sparkSession
+def near_rows(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row: doc_id, key (MD5 of a text that can link), copy_id, class_id, kept; as ``near_classes`` says."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(texts.mapInArrow(_sign(bands, rows), "doc_id long, key binary, bands array<long>"), "bag-signed")
     usable = signed.where("key is not null and doc_id is not null")
-    ids = usable.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    copies = cut(ids, "bag-copies")
-    reps = signed.join(copies, (signed["key"] == copies["key"]) & (signed["doc_id"] == copies["rep"])).groupBy("rep").agg(F.min_by("bands", signed["key"]).alias("bands"))
+    # ``rep`` numbers the distinct texts; the table is written, so numbers stay as they are.
+    copies = cut(usable.groupBy("key").agg(F.min("doc_id").alias("low")).withColumn("rep", F.monotonically_increasing_id()), "bag-copies")
+    reps = signed.join(copies, (signed["key"] == copies["key"]) & (signed["doc_id"] == copies["low"])).groupBy("rep").agg(F.first("bands").alias("bands"))
     dealt = cut(reps.select("rep", F.explode("bands").alias("bucket")), "bag-buckets")
     full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1").select("bucket", "hub")
     member = cut(dealt.join(cut(full, "bag-hubs"), "bucket"), "bag-members")
     star = member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
-    wanted = cut(member.select(F.col("rep").alias("doc_id")).distinct(), "bag-wanted")
+    wanted = cut(copies.join(member.select("rep").distinct(), "rep"), "bag-wanted")
     narrow = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    bags = cut(texts.join(narrow, "doc_id", "left_semi").where("text is not null").groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text")).mapInArrow(_sets, "doc_id long, bag binary"), "bag-sets")
+    own = texts.where("text is not null").join(narrow, (F.col("doc_id") == F.col("low")) & (F.unhex(F.md5("text")) == F.col("key")))
+    bags = cut(own.groupBy(F.col("rep").alias("doc_id")).agg(F.first("text").alias("text")).mapInArrow(_sets, "doc_id long, bag binary"), "bag-sets")
     sims = verify(star, bags)
     links = sims.where(F.col("sim") >= similarity).select("a", "b")
     labels = components(links)
@@ -361,29 +361,39 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         "bucket", "rep", (far > 1.0 - similarity + 1e-12).alias("failed"), F.coalesce("component", "rep").alias("component")
     )
     late = link_rest(cut(known, "bag-known"), bags, similarity)
-    labels = components(links.unionByName(late), "cc-all")
+    linked = copies.join(components(links.unionByName(late), "cc-all").withColumnRenamed("v", "rep"), "rep")
+    least = linked.groupBy("component").agg(F.min(F.struct("low", "key")).alias("least"))
+    named = linked.join(least, "component").select("key", F.col("least.low").alias("class_low"), F.col("least.key").alias("class_key"))
+    named = cut(copies.join(named, "key", "left").select("key", "low", F.coalesce("class_low", "low").alias("class_low"), F.coalesce("class_key", "key").alias("class_key")), "bag-named")
+
+    out = signed.select("doc_id", "key").join(named, "key", "left")
+    own_id = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
+    first = (F.col("doc_id") == F.col("class_low")) & (F.col("key") == F.col("class_key"))
+    return out.select("doc_id", "key", own_id("low").alias("copy_id"), own_id("class_low").alias("class_id"), F.coalesce(first, F.lit(True)).alias("kept"))
 
-    out = signed.select("doc_id", "key").join(copies, "key", "left").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-    copy = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
-    out = out.select("doc_id", copy.alias("copy_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row: doc_id, copy_id (smallest id of its exact copies), class_id (smallest id of its class), kept."""
+    return near_rows(docs, similarity, bands, rows).drop("key")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the row with the smallest id stays; rows that link with nothing stay.
+    """Pipeline stage: of each class one row stays, as ``near_classes`` marks it; rows that link with nothing stay.
 
-    Texts are shuffled only for ids that occur in several rows, of which one of each text stays.
+    Rows are judged by id and text.  Of equal ids with equal texts one row stays, that of the smallest hash of all its columns; only
+    these rows are shuffled.
     """
-    marks = cut(near_classes(docs).select("doc_id", "kept"), "near-marks")
-    lost = cut(marks.where("not kept").select("doc_id").distinct(), "near-lost")
-    rows = docs.join(lost, "doc_id", "left_anti")
-    twice = cut(marks.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "near-twice")
+    marks = cut(near_rows(docs).where("doc_id is not null and key is not null").groupBy("doc_id", "key").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "near-marks")
+    of = {n: unused(docs, n) for n in ("near_id", "near_key")}
+    named = lambda rows: rows.select(F.col("doc_id").alias(of["near_id"]), F.col("key").alias(of["near_key"]))
+    meets = (F.col("doc_id").cast("long") == F.col(of["near_id"])) & (F.unhex(F.md5("text")) == F.col(of["near_key"]))
+    rows = docs.join(cut(named(marks.where("not kept or n > 1")), "near-lost"), meets, "left_anti")
+    twice = cut(named(marks.where("kept and n > 1")), "near-twice")
     if not twice.limit(1).count():
-        return rows.select(*docs.columns)
-    nth = unused(docs, "nth")
-    one = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    several = rows.join(twice, "doc_id", "left_semi").withColumn(nth, one).where(F.col(nth) == 1).drop(nth)
-    return rows.join(twice, "doc_id", "left_anti").unionByName(several).select(*docs.columns)
+        return rows
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    one = docs.join(twice, meets).groupBy(*of.values()).agg(F.min_by(F.struct(*whole), F.xxhash64(*whole)).alias("row"))
+    return rows.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

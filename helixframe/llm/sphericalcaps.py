@@ -14,8 +14,8 @@ which meet in one task.
 
 Nulls and edge cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; nor do vectors of different lengths, or rows with a null vec_id (their component is null and they are kept);
-equal vectors are one vertex and link with each other; repeated rows count as equal vectors; a vec_id is taken
-to name one vector; an empty table gives an empty result; columns other than vec_id and embedding are ignored.
+equal vectors are one vertex, whatever their ids are, and link with each other; repeated rows count as equal vectors; rows of one
+vec_id with different vectors have links of their own; an empty table gives an empty result; columns other than vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
@@ -303,8 +303,10 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     good = F.col("good") & F.col("vec_id").isNotNull()
     key = F.when(good, F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string"))), 256))
     keyed = cut(marked.select("vec_id", key.alias("key"), F.when(good, F.col("embedding")).alias("embedding")), "caps-keyed")
-    copies = cut(keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "caps-copies")
-    reps = keyed.join(copies, "key").where("vec_id = rep").dropDuplicates(["rep"]).select("rep", "copies", "embedding")
+    # ``rep`` numbers the distinct vectors; the table is written, so numbers stay as they are.
+    copies = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    copies = cut(copies.withColumn("rep", F.monotonically_increasing_id()), "caps-copies")
+    reps = keyed.join(copies, "key").where("vec_id = low").dropDuplicates(["rep"]).select("rep", "copies", "embedding")
     reps = cut(reps, "caps-reps")
     blocks, words = parameters(reps.count())
     passed = cut(reps.select("rep", "embedding").mapInArrow(_filters(blocks, words), "rep long, filters array<long>"), "caps-filters")
@@ -321,10 +323,12 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = cut(full.mapInArrow(_compare(cosine), "a long, b long, n long"), "caps-links")
     counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(found.where("b is not null").select("a", "b"), "caps-cc").withColumnRenamed("v", "rep")
-    known = cut(copies.join(counts, "rep", "left").join(labels, "rep", "left"), "caps-known")
+    linked = copies.join(labels, "rep")
+    named = linked.join(linked.groupBy("component").agg(F.min("low").alias("component_low")), "component").select("rep", "component_low")
+    known = cut(copies.join(counts, "rep", "left").join(named, "rep", "left"), "caps-known")
     out = keyed.select("vec_id", "key").join(known, "key", "left")
     links = F.when(F.col("rep").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.coalesce("component_low", "low", "vec_id")
     return out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
     )

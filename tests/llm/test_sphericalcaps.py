@@ -56,6 +56,16 @@ def test_equal_to_brute_force_and_edges(spark, monkeypatch):
             assert all(x == (n, component, i == component) for x in got[i]), i
 
 
+def test_vectors_that_share_an_id_keep_their_links(spark):
+    rng = np.random.default_rng(3)
+    u, v = rng.standard_normal((2, 16)).round(3)
+    rows = [(1, u.tolist()), (2, (2 * u).tolist()), (1, v.tolist()), (4, (3 * v).tolist()), (9, rng.standard_normal(16).tolist())]
+    for parts in (1, 3, 8):
+        frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = sorted(tuple(r) for r in S.near_vectors(frame_).collect())
+        assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (4, 1, 1, False), (9, 0, 9, True)]
+
+
 def test_recall_of_pairs_at_the_threshold(spark):
     rng = np.random.default_rng(4)
     a = rng.standard_normal((400, 64))
