@@ -41,8 +41,8 @@ from helixframe.llm.textbytes import chunks, column, mix, utf8, word_hashes
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS, ROWS = 20, 6
-#: Up to this many candidate texts' ids and hashes are broadcast (about 40 bytes each); more are shuffled.
-BROADCAST_IDS = 300_000
+#: Up to this many texts' ids and hashes are broadcast (about 80 bytes each); more are shuffled.
+BROADCAST_IDS = 1_000_000
 MEMBERS_A_TASK = 64
 #: Below so many live processes each gives ``BLOCK_POINTS`` points at once.
 FEW, BLOCK_POINTS = 4096, 16
@@ -387,7 +387,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of = {n: unused(docs, n) for n in ("near_id", "near_key")}
     named = lambda rows: rows.select(F.col("doc_id").alias(of["near_id"]), F.col("key").alias(of["near_key"]))
     meets = (F.col("doc_id").cast("long") == F.col(of["near_id"])) & (F.unhex(F.md5("text")) == F.col(of["near_key"]))
-    rows = docs.join(cut(named(marks.where("not kept or n > 1")), "near-lost"), meets, "left_anti")
+    lost = cut(named(marks.where("not kept or n > 1")), "near-lost")
+    rows = docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, meets, "left_anti")
     twice = cut(named(marks.where("kept and n > 1")), "near-twice")
     if not twice.limit(1).count():
         return rows
