@@ -9,31 +9,33 @@ from pyspark.sql import functions as F
 from helixframe.functions import dna
 from helixframe.scratch import cut
 
-TRANCHES, TOP, RANGES = 4, 1000, 64
+TRANCHES, TOP = 4, 1000
+#: Distinct scores of a range are about so many at most.
+RANGE_SCORES = 1_000_000
 WORST_HIGH, WORST_LOW = float(-(2**31)), float(2**31 - 1)
 
 
 def tie_rank(frame: DataFrame, score: str, rank: str, high_is_good: bool) -> DataFrame:
-    """Competition rank plus half the number of ties, rounded down; ``frame`` is read three times.
+    """Competition rank plus half the number of ties, rounded down; ``frame`` is read twice.
 
-    Only distinct scores are ranked, so ties meet as one row, and these by ranges: edges are ``RANGES`` quantiles of
-    the scores, counts of the ranges before are summed over these few rows, and no task orders all scores.
+    Only distinct scores are ranked, so ties meet as one row.  These are dealt out by ranges and sorted; a first pass over
+    the written ranges sums each partition, the sums (a row a partition) are added up, and a second pass
+    counts on from them.  The number of partitions follows the shuffle settings, so no task orders more than its share, however many scores there are.
     A score that is null or not a number is the worst.
     """
     worst = WORST_HIGH if high_is_good else WORST_LOW
     rows = frame.withColumn("_value", F.coalesce(F.col(score).try_cast("double"), F.lit(worst)))
-    edges = sorted(set(rows.approxQuantile("_value", [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)))
     value = -F.col("_value") if high_is_good else F.col("_value")
-    edges = F.array(*[F.lit(-e if high_is_good else e) for e in edges]).cast("array<double>")
     counts = rows.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_range", F.size(F.filter(edges, lambda e: e < value)))
-    upto = W.rowsBetween(W.unboundedPreceding, -1)
-    base = counts.groupBy("_range").agg(F.sum("_n").alias("_sum"))  # at most RANGES rows
-    base = base.select("_range", F.coalesce(F.sum("_sum").over(upto.orderBy("_range")), F.lit(0)).alias("_base"))
-    counts = counts.join(F.broadcast(base), "_range")
-    before = F.col("_base") + F.coalesce(F.sum("_n").over(upto.partitionBy("_range").orderBy(value)), F.lit(0))
-    ranks = counts.select(F.col("_value").alias("_key"), (before + 1 + F.floor(F.col("_n") / 2)).cast("long").alias(rank))
-    return rows.join(ranks, F.col("_value") == F.col("_key")).drop("_value", "_key")
+    parts = max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // RANGE_SCORES))
+    ordered = cut(counts.repartitionByRange(parts, value).withColumn("_range", F.spark_partition_id()), "score-ranges")
+    upto = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    base = ordered.groupBy("_range").agg(F.sum("_n").alias("_sum"))  # a row a partition
+    base = base.select("_range", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_base"))
+    inside = W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    ranks = ordered.join(F.broadcast(base), "_range").select(F.col("_value").alias("_key"), (before + 1 + F.floor(F.col("_n") / 2)).cast("long").alias(rank))
+    return rows.join(cut(ranks, "score-ranks"), F.col("_value") == F.col("_key")).drop("_value", "_key")
 
 
 def aggregate_ranks(frame: DataFrame, scores: dict[str, bool], key: str = "guide_id", tranches: int = TRANCHES, top: int = TOP) -> DataFrame:
