@@ -42,6 +42,11 @@ def _pattern(enzymes: list[Enzyme]) -> str:
     return f"(?s)(?={'|'.join(ways)})"
 
 
+def halo(enzymes: list[Enzyme], flank: int = 0) -> tuple[int, int]:
+    """Letters that a piece needs before and behind its own."""
+    return flank, max(e.length for e in enzymes) - 1 + flank
+
+
 def find_sites_of(contigs: DataFrame, enzymes: list[Enzyme], flank: int = 0) -> DataFrame:
     """Sites of all ``enzymes`` in one scan of ``contigs(contig, contig_idx, seq)``.
 
@@ -50,15 +55,17 @@ def find_sites_of(contigs: DataFrame, enzymes: list[Enzyme], flank: int = 0) ->
     allows a window, so rows are made for candidates only; both strands are read off the same window.  ``context``
     is null where a flank leaves the contig; it may hold letters other than bases.
     """
-    longest = max(e.length for e in enzymes)
-    after = longest - 1 + flank
+    before, after = halo(enzymes, flank)
     size = max(BLOCK, 1 << after.bit_length())  # a block's neighbours hold its flanks
-    shortest = min(e.length for e in enzymes)
-    rows = _blocks(contigs.where(F.length("seq") >= shortest), flank, after, size)
+    rows = _blocks(contigs.where(F.length("seq") >= min(e.length for e in enzymes)), before, after, size)
     spark = contigs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = rows.repartition(tasks, "contig_idx", "at")
+    return find_sites_in(rows.repartition(tasks, "contig_idx", "at"), size, enzymes, flank)
+
 
+def find_sites_in(rows: DataFrame, size: int, enzymes: list[Enzyme], flank: int = 0) -> DataFrame:
+    """The same of pieces (contig, contig_idx, size, at, lead, piece) of ``size`` own letters each, with those of ``halo`` around them."""
+    longest, after = max(e.length for e in enzymes), halo(enzymes, flank)[1]
     inner = F.least(F.lit(size), F.col("size") - F.col("at"))
     rows = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((inner - 1) / CHUNK).cast("int"))))
     first = F.greatest(F.col("lead") + F.col("c") * CHUNK - flank, F.lit(0))
