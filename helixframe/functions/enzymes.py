@@ -30,6 +30,17 @@ class Enzyme:
     def key(self, bases: Column) -> Column:
         return F.substring(bases, *self.compared)
 
+    @property
+    def halves(self) -> tuple[tuple[int, int], tuple[int, int]]:
+        """Length and shift of both halves of the packed compared bases."""
+        low = self.guide // 2
+        return (self.guide - low, 2 * low), (low, 0)
+
+    def half(self, enc: Column, k: int) -> Column:
+        """Half ``k`` of the packed compared bases, a number whose order is that of the bases."""
+        size, shift = self.halves[k]
+        return F.shiftrightunsigned(enc, shift).bitwiseAND(F.lit((1 << 2 * size) - 1).cast("bigint"))
+
     def _end(self, window: Column, head: bool, letters: tuple[str, ...]) -> Column:
         n = len(letters[0])
         return F.substring(window, 1 if head else self.length - n + 1, n).isin(*letters)

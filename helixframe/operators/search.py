@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations, product
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,21 +14,37 @@ from helixframe.functions.enzymes import Enzyme
 from helixframe.scratch import cut
 
 MAX_MISMATCHES, MAX_OFF_TARGETS = 4, 2000
-#: Up to this many guides are broadcast (about 60 bytes each); more go through halves.
-BROADCAST_GUIDES = 2_000
+#: Up to so many guides are compared with every target, and up to so many neighbours of guides (about 90 bytes each) are broadcast.
+SCANNED_GUIDES, BROADCAST_KEYS = 2_000, 2_000_000
+#: What a comparison, the look-up of a key, a broadcast key and a shuffled row take, in comparisons.
+COMPARE, PROBE, BUILD, SHUFFLE = 1, 6, 10, 60
+#: Targets that are taken to be there where nobody counted them.
+MANY_TARGETS = 1 << 24
+#: Bases of a bin of the traversal, and about how many targets its first round holds.
+LEAD, FIRST_ROUND = 7, 1 << 16
 
 
-def _named(guides: DataFrame) -> DataFrame:
+def named(guides: DataFrame) -> DataFrame:
     return guides.select(F.col("guide_id"), F.col("bases").alias("guide"), F.col("enc").alias("guide_enc"))
 
 
-def join_broadcast(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES) -> DataFrame:
-    """Every guide against every target; for a number of guides that has been checked to be small."""
+def _heavy(targets: DataFrame) -> list[str]:
+    return [f.name for f in targets.schema.fields if f.dataType.typeName() == "array"]
+
+
+def attach(hits: DataFrame, targets: DataFrame) -> DataFrame:
+    """The lists (positions) of the hits' targets; they join last, when the pairs are known."""
+    heavy = _heavy(targets)
+    return hits.join(targets.select(F.col("bases").alias("_of"), *heavy), F.col("bases") == F.col("_of")).drop("_of") if heavy else hits
+
+
+def join_scan(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES) -> DataFrame:
+    """Every target against a broadcast block of guides; for a number of guides that has been checked to be small."""
     distance = dna.mismatches(F.col("enc"), F.col("guide_enc"), enzyme.guide)
-    return targets.join(F.broadcast(_named(guides)), distance <= most).withColumn("mm", distance).drop("enc", "guide_enc")
+    return targets.join(F.broadcast(named(guides)), distance <= most).withColumn("mm", distance).drop("enc", "guide_enc")
 
 
-def _masks(length: int, most: int) -> list[int]:
+def masks(length: int, most: int) -> list[int]:
     """What a packed string of ``length`` bases is XORed with to give each of its neighbours within ``most`` mismatches."""
     out = []
     for n in range(min(most, length) + 1):
@@ -36,51 +53,81 @@ def _masks(length: int, most: int) -> list[int]:
     return out
 
 
-def join_halves(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES) -> DataFrame:
+def neighbours(length: int, most: int) -> int:
+    return sum(comb(length, n) * 3**n for n in range(min(most, length) + 1))
+
+
+def near_keys(enc: Column, enzyme: Enzyme, k: int, most: int) -> Column:
+    """All keys that half ``k`` of a target within ``most`` mismatches may have, if that half holds at most ``most // 2`` of them."""
+    # One literal, whatever its length is.
+    every = F.split(F.lit(",".join(map(str, masks(enzyme.halves[k][0], most // 2)))), ",").cast("array<bigint>")
+    return F.transform(every, lambda m: enzyme.half(enc, k).bitwiseXOR(m))
+
+
+def _marked(enzyme: Enzyme) -> int:
+    """A bit above the keys marks those of the second half."""
+    return 1 << 2 * max(size for size, _ in enzyme.halves)
+
+
+def guide_keys(guides: DataFrame, enzyme: Enzyme, most: int) -> DataFrame:
+    """The guides with all their keys: guide_id, guide, guide_enc, guide_half (of both halves)."""
+    marked = F.transform(near_keys(F.col("guide_enc"), enzyme, 1, most), lambda x: x + _marked(enzyme))
+    # Guides are few rows before their neighbours are listed, so they are dealt out first.
+    spark = guides.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return named(guides).repartition(tasks, "guide_enc").withColumn("guide_half", F.explode(F.concat(near_keys(F.col("guide_enc"), enzyme, 0, most), marked)))
+
+
+def exact(pairs: DataFrame, enzyme: Enzyme, most: int, second: Column) -> DataFrame:
+    """Pairs within ``most`` mismatches; those met on the ``second`` half count only if the first one is no way to them."""
+    distance = dna.mismatches(F.col("enc"), F.col("guide_enc"), enzyme.guide)
+    first = dna.mismatches(enzyme.half(F.col("enc"), 0), enzyme.half(F.col("guide_enc"), 0), enzyme.halves[0][0])
+    return pairs.where((distance <= most) & (~second | (first > most // 2))).withColumn("mm", distance).drop("enc", "guide_enc")
+
+
+def join_halves(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES, broadcast: bool = False) -> DataFrame:
     """Equi-join on a half of the compared bases, then the exact distance.
 
     Of two strings within ``most`` mismatches, some half has at most ``most // 2`` of them.  The guides' halves are replaced by
     all their neighbours at that distance, so a key is 4^10 wide and candidates are few; a pair counts in its first half
-    unless that has more mismatches than allowed.  Lists of positions wait until the pairs are known.
+    unless that has more mismatches than allowed.  ``broadcast`` sends the guides' keys to the targets, which then stay
+    where they are; else both sides are shuffled.  Lists of positions wait until the pairs are known.
+    """
+    heavy = _heavy(targets)
+    own = F.array(enzyme.half(F.col("enc"), 0), enzyme.half(F.col("enc"), 1) + _marked(enzyme))
+    left, right = targets.drop(*heavy).withColumn("half", F.explode(own)), guide_keys(guides, enzyme, most)
+    pairs = left.join(F.broadcast(right) if broadcast else right, F.col("half") == F.col("guide_half"))
+    return attach(exact(pairs, enzyme, most, F.col("half") >= _marked(enzyme)).drop("half", "guide_half"), targets)
+
+
+def costs(n_guides: int, n_targets: int, enzyme: Enzyme, most: int = MAX_MISMATCHES) -> dict[str, float]:
+    """What each strategy costs, in comparisons; those whose broadcast would be too large are left out."""
+    keys = sum(neighbours(size, most // 2) for size, _ in enzyme.halves)
+    met = n_guides * n_targets * sum(neighbours(size, most // 2) / 4**size for size, _ in enzyme.halves)
+    out = {"halves": SHUFFLE * (2 * n_targets + n_guides * keys) + COMPARE * met}
+    if n_guides * keys <= BROADCAST_KEYS:
+        out["probe"] = PROBE * 2 * n_targets + BUILD * n_guides * keys + COMPARE * met
+    if n_guides <= SCANNED_GUIDES:
+        out["scan"] = COMPARE * n_guides * n_targets
+    return out
+
+
+def pick(n_guides: int, n_targets: int, enzyme: Enzyme, most: int = MAX_MISMATCHES) -> str:
+    price = costs(n_guides, n_targets, enzyme, most)
+    return min(price, key=price.get)
+
+
+def discover(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES, strategy: str = "auto", n_targets: int | None = None) -> DataFrame:
+    """Hits (guide_id, guide, bases, cnt, mm, ...) by the cheapest join: ``scan``, ``probe`` or ``halves``.
+
+    ``auto`` counts the guides, as far as it needs to, and takes ``n_targets`` as given (an index knows it).
     """
-    n, low = enzyme.guide, enzyme.guide // 2
-    sizes, shifts = (n - low, low), (2 * low, 0)
-    half = lambda enc, k: F.shiftrightunsigned(enc, shifts[k]).bitwiseAND(F.lit((1 << 2 * sizes[k]) - 1).cast("bigint"))
-
-    def keys(enc: Column, near: bool) -> Column:
-        """Keys of both halves, the second marked by a bit above them."""
-        out = []
-        for k in (0, 1):
-            masks = _masks(sizes[k], most // 2) if near else [0]
-            all_of = F.array(*[F.lit(m + (k << 2 * max(sizes))).cast("bigint") for m in masks])
-            own = half(enc, k)
-            out.append(F.transform(all_of, lambda m: own.bitwiseXOR(m)))  # noqa: B023
-        return F.concat(*out)
-
-    heavy = [f.name for f in targets.schema.fields if f.dataType.typeName() == "array"]
-    slim = targets.drop(*heavy)
-    left = slim.withColumn("half", F.explode(keys(F.col("enc"), False)))
-    # Guides are few rows before their neighbours are listed, so they are dealt out first.
-    spark = guides.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    right = _named(guides).repartition(tasks, "guide_enc").withColumn("guide_half", F.explode(keys(F.col("guide_enc"), True)))
-    pairs = left.join(right, F.col("half") == F.col("guide_half"))
-    distance = dna.mismatches(F.col("enc"), F.col("guide_enc"), n)
-    first = dna.mismatches(half(F.col("enc"), 0), half(F.col("guide_enc"), 0), sizes[0])
-    second = F.col("half") >= (1 << 2 * max(sizes))
-    hits = pairs.where((distance <= most) & (~second | (first > most // 2))).withColumn("mm", distance)
-    hits = hits.drop("enc", "guide_enc", "half", "guide_half")
-    if not heavy:
-        return hits
-    return hits.join(targets.select(F.col("bases").alias("_of"), *heavy), F.col("bases") == F.col("_of")).drop("_of")
-
-
-def discover(guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES, strategy: str = "auto") -> DataFrame:
-    """Hits (guide_id, guide, bases, cnt, mm, ...) by the cheaper of both joins; ``auto`` counts the guides."""
     if strategy == "auto":
-        few = guides.limit(BROADCAST_GUIDES + 1).count() <= BROADCAST_GUIDES
-        strategy = "broadcast" if few else "halves"
-    return {"broadcast": join_broadcast, "halves": join_halves}[strategy](guides, targets, enzyme, most)
+        limit = max(SCANNED_GUIDES, BROADCAST_KEYS // sum(neighbours(size, most // 2) for size, _ in enzyme.halves)) + 1
+        strategy = pick(guides.limit(limit).count(), MANY_TARGETS if n_targets is None else n_targets, enzyme, most)
+    if strategy == "scan":
+        return join_scan(guides, targets, enzyme, most)
+    return join_halves(guides, targets, enzyme, most, {"probe": True, "halves": False}[strategy])
 
 
 def overflow(hits: DataFrame, enzyme: Enzyme, most: int = MAX_OFF_TARGETS) -> DataFrame:
@@ -100,6 +147,57 @@ def overflow(hits: DataFrame, enzyme: Enzyme, most: int = MAX_OFF_TARGETS) -> Da
     return near.withColumn("_before", before).where(F.col("_before") < most).drop("_before", "_base", "_bin")
 
 
+def bin_number(enc: Column, enzyme: Enzyme) -> Column:
+    """The traversal's bin of a target as a number; bins are met in its order."""
+    return F.shiftrightunsigned(enc, 2 * (enzyme.guide - LEAD))
+
+
+def rounds(bins: list[tuple[int, int]], first: int = FIRST_ROUND) -> list[tuple[int, int]]:
+    """Ranges [from, to) of bin numbers in traversal order, each of which holds about as many targets as all before it together; ``bins`` are (number, targets)."""
+    out, start, passed, held = [], 0, 0, 0
+    for number, n in sorted(bins):
+        held += n
+        if held >= max(first, passed):
+            out.append((start, number + 1))
+            start, passed, held = number + 1, passed + held, 0
+    return out + [(start, 4**LEAD)] if held or not out else out
+
+
+def discover_until(
+    guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES, limit: int = MAX_OFF_TARGETS, strategy: str = "auto",
+    bins: list[tuple[int, int]] | None = None, first: int = FIRST_ROUND,
+) -> DataFrame:
+    """The same rows as ``overflow`` of all hits, but a guide is searched no further than to its limit.
+
+    Targets are met in rounds over their bins in traversal order, each as large as all before it, so few are needed; guides that reached
+    the limit leave after each.  Only hits before the limit are written.  ``bins`` are the numbers and sizes of at most
+    4^7 bins, as an index lists them.
+    """
+    if bins is None:
+        counted = targets.groupBy(bin_number(F.col("enc"), enzyme).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        bins = [tuple(r) for r in counted.collect()]
+    heavy, shift = _heavy(targets), 2 * (enzyme.guide - LEAD)
+    slim, left = targets.drop(*heavy), guides
+    in_order = W.partitionBy("guide_id").orderBy(*enzyme.order(F.col("bases")))
+    kept, seen = None, None
+    for start, stop in rounds(bins, first) if limit > 0 else []:
+        part = slim.where((F.col("enc") >= start << shift) & (F.col("enc") < stop << shift))
+        hits = discover(left, part, enzyme, most, strategy, sum(n for b, n in bins if start <= b < stop))
+        # A hit is one occurrence at least, so later ones than the limit's number are not needed.
+        hits = hits.withColumn("_nth", F.row_number().over(in_order)).where(F.col("_nth") <= limit).drop("_nth")
+        hits = hits.join(seen, "guide_id", "left") if seen is not None else hits.withColumn("_seen", F.lit(0).cast("long"))
+        before = F.coalesce("_seen", F.lit(0)) + F.coalesce(F.sum("cnt").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        new = cut(hits.withColumn("_before", before).where(F.col("_before") < limit).drop("_before", "_seen"), "hits-round")
+        kept = new if kept is None else kept.unionByName(new)
+        seen = cut(kept.groupBy("guide_id").agg(F.sum("cnt").alias("_seen")), "hits-seen")
+        left = cut(guides.join(seen.where(F.col("_seen") >= limit), "guide_id", "left_anti"), "guides-left")
+        if not left.limit(1).count():
+            break
+    if kept is None:
+        return attach(discover(guides, slim, enzyme, most, strategy).limit(0), targets).withColumn("overflowed", F.lit(False))
+    return attach(kept.join(seen.select("guide_id", (F.col("_seen") >= limit).alias("overflowed")), "guide_id"), targets)
+
+
 def by_guide(hits: DataFrame) -> DataFrame:
     """Distinct targets and occurrences of each guide with a hit."""
     return hits.groupBy("guide_id", "guide").agg(F.count(F.lit(1)).alias("n_hits"), F.sum("cnt").alias("ot_count"))

@@ -1,8 +1,8 @@
 """Queries over the driver's tables and their SQL counterparts.
 
 The tables hold no nucleotides.  The document genome makes some: a document is a contig whose
-letters, lower-cased, are mapped to bases.  Searches take as guides every target whose packed compared bases are divisible by 20,
-against all targets; all other queries use all rows.
+letters, lower-cased, are mapped to bases.  Searches take as guides every target whose id, a hash of its bases, is divisible by 20,
+or the first site of each benchmark passage, against all targets; all other queries use all rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import dna
 from helixframe.functions.enzymes import ENZYMES, Enzyme, enzyme
 from helixframe.operators import folding as fold
-from helixframe.operators import intervals, randoms, ranking, scoring, search, sites, targets
+from helixframe.operators import intervals, randoms, ranking, scoring, search, seek, sites, targets
 from helixframe.scratch import cut, scratch_path
 from helixframe.sources import bed, fasta, guide_table
 from helixframe.sources import index as target_index
@@ -48,10 +48,10 @@ def oracle_sql():
     return dict(ORACLES)
 
 
-def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def genome(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    texts = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, AS_BASES)
-    return docs.select(F.col("doc_id").cast("string").alias("contig"), F.col("doc_id").alias("contig_idx"), seq.alias("seq"))
+    return texts.select(F.col(key).cast("string").alias("contig"), F.col(key).alias("contig_idx"), seq.alias("seq"))
 
 
 def ngg_sites(spark: SparkSession, sf_dir: str, flank: int = 0, nuclease: Enzyme = NGG) -> DataFrame:
@@ -62,14 +62,37 @@ def ngg_targets(spark: SparkSession, sf_dir: str, positions: bool = False, nucle
     return targets.build_targets(ngg_sites(spark, sf_dir, 0, nuclease), nuclease, positions)
 
 
+def as_guides(found: DataFrame) -> DataFrame:
+    """A guide's id packs all bases, as targets that differ in the PAM alone share their compared bases."""
+    return found.select(dna.encode(F.col("bases")).alias("guide_id"), "bases", "enc")
+
+
 def some_guides(found: DataFrame) -> DataFrame:
-    """Targets as guides; an id packs all bases, as targets that differ in the PAM alone share their compared bases."""
-    return found.where(F.col("enc") % EVERY == 0).select(dna.encode(F.col("bases")).alias("guide_id"), "bases", "enc")
+    """Targets whose hashed id is divisible by 20, so that no base of theirs is fixed."""
+    return as_guides(found.where(dna.draw(F.col("bases")) % EVERY == 0))
+
+
+def passage_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first site of each benchmark passage."""
+    found = sites.find_sites(genome(spark, sf_dir, "benchmark", "item_id"), NGG)
+    first = found.groupBy("contig_idx").agg(F.min_by("bases", F.struct("start", ~F.col("fwd"))).alias("bases")).select("bases").distinct()
+    return cut(as_guides(first.withColumn("enc", dna.encode(NGG.key(F.col("bases"))))), "guides")
 
 
 def ngg_hits(spark: SparkSession, sf_dir: str, strategy: str = "auto", most: int = 4, nuclease: Enzyme = NGG, positions: bool = False) -> DataFrame:
     found = cut(ngg_targets(spark, sf_dir, positions, nuclease), "targets")  # read as guides and as targets
-    return search.discover(some_guides(found), found, nuclease, most, strategy)
+    return search.discover(some_guides(found), found, nuclease, most, strategy, found.count())
+
+
+def ngg_hits_until(spark: SparkSession, sf_dir: str, limit: int, most: int = 4, nuclease: Enzyme = NGG) -> DataFrame:
+    found = cut(ngg_targets(spark, sf_dir, False, nuclease), "targets")
+    return search.discover_until(some_guides(found), found, nuclease, most, limit)
+
+
+def ngg_index(spark: SparkSession, sf_dir: str) -> target_index.Index:
+    path, contigs = scratch_path(spark, "index"), genome(spark, sf_dir)
+    target_index.write_index(ngg_targets(spark, sf_dir), NGG, path, contigs.select("contig", "contig_idx", F.length("seq").alias("length")))
+    return target_index.read_index(spark, path)
 
 
 # SQL building blocks.
@@ -83,12 +106,13 @@ def _revcomp(text: str) -> str:
     return f"reverse(translate({text}, 'ACGT', 'TGCA'))"
 
 
+_DRAW = lambda key: f"('0x' || substr(md5({key}), 1, 13))::bigint"
 GENOME_SQL = f"""
 chunked as (select doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}') as seq from documents)
 """
 
 
-def sites_sql(nuclease: Enzyme, flank: int = 0, name: str = "sites") -> str:
+def sites_sql(nuclease: Enzyme, flank: int = 0, name: str = "sites", source: str = "chunked") -> str:
     n = nuclease.length
     flip = lambda p: p.translate(str.maketrans("ACGT", "TGCA"))[::-1]
     quoted = lambda pams: ", ".join(f"'{p}'" for p in pams)
@@ -100,7 +124,7 @@ def sites_sql(nuclease: Enzyme, flank: int = 0, name: str = "sites") -> str:
 pieces_{name} as (
   select doc_id, length(seq) as size, part * 256 as base, greatest(part * 256 - {flank}, 0) as first,
          substr(seq, greatest(part * 256 - {flank}, 0) + 1, {256 + n - 1 + 2 * flank}) as piece
-  from (select doc_id, seq, unnest(range(0, (length(seq) - {n}) // 256 + 1)) as part from chunked where length(seq) >= {n})
+  from (select doc_id, seq, unnest(range(0, (length(seq) - {n}) // 256 + 1)) as part from {source} where length(seq) >= {n})
 ), windows_{name} as (
   select doc_id, start, w, ctx from (
     select doc_id, start, substr(piece, start - first + 1, {n}) as w, {around} as ctx
@@ -116,7 +140,10 @@ def targets_sql(nuclease: Enzyme = NGG) -> str:
     return f"{GENOME_SQL}, {sites_sql(nuclease)}, targets as materialized (select bases, least(count(*), 32767)::int as cnt, {_enc('bases', *nuclease.compared)} as enc from sites group by bases)"
 
 
-def hits_sql(most: int = 4, nuclease: Enzyme = NGG) -> str:
+SOME_GUIDES = f"select bases, enc from targets where {_DRAW('bases')} % {EVERY} = 0"
+
+
+def hits_sql(most: int = 4, nuclease: Enzyme = NGG, guides: str = SOME_GUIDES) -> str:
     """Hits by equality of one of ``most + 1`` segments, in the first of which that agrees a pair counts, then the distance."""
     x, n = "xor(g.enc, t.enc)", nuclease.guide
     mm = f"bit_count(({x} | ({x} >> 1)) & {int('01' * n, 2)})"
@@ -127,13 +154,18 @@ def hits_sql(most: int = 4, nuclease: Enzyme = NGG) -> str:
         f"select g.guide_id, g.bases as guide, t.bases, t.cnt, {mm}::int as mm from guides g join targets t on {same(k)} where {mm} <= {most}" + "".join(f" and not {same(j)}" for j in range(k))
         for k in range(most + 1)
     ]
-    return f"""{targets_sql(nuclease)}, guides as materialized (select {_enc('bases', 1, nuclease.length)} as guide_id, bases, enc from targets where enc % {EVERY} = 0),
+    return f"""{targets_sql(nuclease)}, guides as materialized (select {_enc('bases', 1, nuclease.length)} as guide_id, bases, enc from ({guides})),
 hits as materialized ({' union all '.join(joins)})"""
 
 
 SITES = f"with {GENOME_SQL}, {sites_sql(NGG)} "
 TARGETS = f"with {targets_sql()} "
 HITS = f"with {hits_sql()} "
+PASSAGE_HITS = (
+    f"with passages as (select item_id as doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}') as seq from benchmark), "
+    + sites_sql(NGG, 0, "first_sites", "passages") + ", "
+    + hits_sql(guides=f"select distinct bases, {_enc('bases')} as enc from (select arg_min(bases, start * 2 + (not fwd)::int) as bases from first_sites group by contig_idx)") + " "
+)
 PLACE = ("contig", "contig_idx", "start", "stop", "fwd")
 
 # Sites.
@@ -264,9 +296,6 @@ def extract_fasta(spark, sf_dir):
     return kept.select(F.concat(F.lit(">"), "name", F.lit("\n"), "bases").alias("record"))
 
 
-_DRAW = lambda key: f"('0x' || substr(md5({key}), 1, 13))::bigint"
-
-
 @query(TARGETS + f"select bases, cnt from targets where {_DRAW("'1:' || bases")} < {int(0.1 * (1 << 52))}")
 def sample(spark, sf_dir):
     return targets.subsample(ngg_targets(spark, sf_dir), 0.1).select("bases", "cnt")
@@ -297,6 +326,18 @@ def hamming_join_pigeonhole(spark, sf_dir):
     return ngg_hits(spark, sf_dir, "halves").select("guide_id", "guide", "bases", "cnt", "mm")
 
 
+@query(PASSAGE_HITS + "select guide_id, guide, bases, cnt, mm from hits")
+def hamming_scan(spark, sf_dir):
+    """Guides of the benchmark, few enough to be compared with every target."""
+    return search.discover(passage_guides(spark, sf_dir), ngg_targets(spark, sf_dir), NGG, 4, "scan").select("guide_id", "guide", "bases", "cnt", "mm")
+
+
+@query(PASSAGE_HITS + "select guide_id, guide, bases, cnt, mm from hits")
+def hamming_probe(spark, sf_dir):
+    """The same guides by a broadcast of their neighbours' halves; targets are not shuffled for the search."""
+    return search.discover(passage_guides(spark, sf_dir), ngg_targets(spark, sf_dir), NGG, 4, "probe").select("guide_id", "guide", "bases", "cnt", "mm")
+
+
 @query(f"with {hits_sql(3, CPF1)} select guide_id, guide, bases, cnt, mm from hits")
 def hamming_join_cpf1(spark, sf_dir):
     return ngg_hits(spark, sf_dir, "auto", 3, CPF1).select("guide_id", "guide", "bases", "cnt", "mm")
@@ -346,23 +387,34 @@ def interval_remap(spark, sf_dir):
 
 # Aggregates over hits.
 
-_BEFORE = "coalesce(sum(cnt) over (partition by guide_id order by bases rows between unbounded preceding and 1 preceding), 0)"
 
+def _cut_off_sql(hits: str, limit: int, order: str) -> str:
+    before = f"coalesce(sum(cnt) over (partition by guide_id order by {order} rows between unbounded preceding and 1 preceding), 0)"
+    return (
+        f"with {hits}, o as (select *, {before} as before, sum(cnt) over (partition by guide_id) >= {limit} as overflowed from hits) "
+        f"select guide_id, bases, cnt, mm, overflowed from o where before < {limit}"
+    )
 
-@query(f"{HITS}, o as (select *, {_BEFORE} as before, sum(cnt) over (partition by guide_id) >= {LOW_LIMIT} as overflowed from hits) select guide_id, bases, cnt, mm, overflowed from o where before < {LOW_LIMIT}")
+
+@query(_cut_off_sql(hits_sql(), LOW_LIMIT, "bases"))
 def overflow_cutoff(spark, sf_dir):
-    return search.overflow(ngg_hits(spark, sf_dir), NGG, LOW_LIMIT).select("guide_id", "bases", "cnt", "mm", "overflowed")
+    return ngg_hits_until(spark, sf_dir, LOW_LIMIT).select("guide_id", "bases", "cnt", "mm", "overflowed")
 
 
-_BEFORE5 = "coalesce(sum(cnt) over (partition by guide_id order by substr(bases, 5, 7), bases rows between unbounded preceding and 1 preceding), 0)"
+@query(_cut_off_sql(hits_sql(), search.MAX_OFF_TARGETS, "bases"))
+def overflow_cutoff_default(spark, sf_dir):
+    return ngg_hits_until(spark, sf_dir, search.MAX_OFF_TARGETS).select("guide_id", "bases", "cnt", "mm", "overflowed")
 
 
-@query(
-    f"with {hits_sql(3, CPF1)}, o as (select *, {_BEFORE5} as before, sum(cnt) over (partition by guide_id) >= {LOW_LIMIT} as overflowed from hits) "
-    f"select guide_id, bases, cnt, mm, overflowed from o where before < {LOW_LIMIT}"
-)
+@query(_cut_off_sql(hits_sql(3, CPF1), LOW_LIMIT, "substr(bases, 5, 7), bases"))
 def overflow_cutoff_cpf1(spark, sf_dir):
-    return search.overflow(ngg_hits(spark, sf_dir, "auto", 3, CPF1), CPF1, LOW_LIMIT).select("guide_id", "bases", "cnt", "mm", "overflowed")
+    return ngg_hits_until(spark, sf_dir, LOW_LIMIT, 3, CPF1).select("guide_id", "bases", "cnt", "mm", "overflowed")
+
+
+@query(_cut_off_sql(hits_sql(), LOW_LIMIT, "bases"))
+def overflow_of_hits(spark, sf_dir):
+    """The cut-off of hits that are there already."""
+    return search.overflow(ngg_hits(spark, sf_dir), NGG, LOW_LIMIT).select("guide_id", "bases", "cnt", "mm", "overflowed")
 
 
 @query(
@@ -597,6 +649,16 @@ def fasta_roundtrip(spark, sf_dir):
     return fasta.read_fasta(spark, path).select("contig", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("digest"))
 
 
+@query(f"with {GENOME_SQL}, {sites_sql(NGG, 6)} select contig, start::int as start, fwd, bases, context from sites")
+def fasta_pieces(spark, sf_dir):
+    """Sites of a FASTA file of wrapped lines, read by pieces of contigs."""
+    path, size = scratch_path(spark, "fasta"), 4096
+    rows = genome(spark, sf_dir).select("contig", F.lower(F.regexp_replace("seq", "(.{60})", "$1\n")).alias("seq"))
+    fasta.write_fasta(rows, "contig", "seq", path)
+    pieces = fasta.read_pieces(spark, path, *sites.halo([NGG], 6), size)
+    return sites.find_sites_in(pieces, size, [NGG], 6).select("contig", F.col("start").cast("int").alias("start"), "fwd", "bases", "context")
+
+
 @query(f"with {GENOME_SQL} select doc_id::varchar as contig, length(seq)::bigint as length from chunked")
 def dictionary_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "dict")
@@ -621,19 +683,33 @@ def bed_roundtrip(spark, sf_dir):
 
 @query(TARGETS + "select bases, cnt, enc, substr(bases, 1, 2) as bin from targets")
 def index_linear(spark, sf_dir):
-    path = scratch_path(spark, "index")
-    target_index.write_index(ngg_targets(spark, sf_dir), NGG, path)
-    return target_index.read_index(spark, path)[0].select("bases", "cnt", "enc", "bin")
+    return ngg_index(spark, sf_dir).targets.select("bases", "cnt", "enc", "bin")
 
 
-@query(TARGETS + "select bases, cnt from targets where substr(bases, 1, 2) in ('AC', 'GT') or substr(bases, 1, 1) = 'T' or substr(bases, 2, 1) = 'A'")
+@query(
+    TARGETS + "select 0 as half, enc >> 26 as bin, count(*) as targets, sum(cnt)::bigint as occurrences from targets group by all "
+    "union all select 1, (enc & 1048575) >> 6, count(*), sum(cnt)::bigint from targets group by all"
+)
+def index_bins(spark, sf_dir):
+    return ngg_index(spark, sf_dir).bins.select("half", "bin", "targets", "occurrences")
+
+
+@query(f"with {GENOME_SQL} select doc_id::varchar as contig, doc_id as contig_idx, length(seq)::bigint as length from chunked")
+def index_contigs(spark, sf_dir):
+    return ngg_index(spark, sf_dir).contigs
+
+
+@query(PASSAGE_HITS + "select guide_id, guide, bases, cnt, mm from hits")
 def index_seek(spark, sf_dir):
-    """The bins that guides beginning with TA may meet within one mismatch, and two bins by name."""
-    path = scratch_path(spark, "index")
-    target_index.write_index(ngg_targets(spark, sf_dir), NGG, path)
-    found, nuclease = target_index.read_index(spark, path)
-    near = target_index.seek(found, found.where("bin = 'TA'"), nuclease, 1)
-    return near.unionByName(found.where("bin in ('AC', 'GT')")).select("bases", "cnt").distinct()
+    """Guides of the benchmark within 4 mismatches, read from what they reach in both copies."""
+    return seek.search_index(passage_guides(spark, sf_dir), ngg_index(spark, sf_dir), 4, "seek")
+
+
+@query(HITS + "select guide_id, guide, bases, cnt, mm from hits")
+def index_search(spark, sf_dir):
+    """All guides, by the cheaper of reading what they reach and a pass over the index."""
+    index = ngg_index(spark, sf_dir)
+    return seek.search_index(cut(some_guides(index.targets), "guides"), index)
 
 
 @query(

@@ -76,7 +76,7 @@ def run(spark: SparkSession, arguments: list[str]) -> None:
     if a.command == "index":
         commands.build_index(spark, a.reference, a.database, a.enzyme)
     elif a.command == "discover":
-        strategy = "broadcast" if a.forceLinear else "auto"
+        strategy = "linear" if a.forceLinear else "auto"
         commands.discover(spark, a.fasta, a.database, a.output, a.positionOutput, a.maxMismatch, a.flankingSequence, a.maximumOffTargets, a.minGC, a.maxGC, strategy)
     elif a.command == "score":
         beds = dict(pair.split(":", 1) for pair in a.inputAnnotationBed.split(",") if pair)

@@ -68,7 +68,7 @@ def test_joins_agree_with_brute_force(spark, most):
     guides = found.where(F.col("enc") % 5 == 0).select(F.col("enc").alias("guide_id"), "bases", "enc")
     rows = [r.bases for r in found.collect()]
     want = {(g, t) for g in (r.bases for r in guides.collect()) for t in rows if sum(a != b for a, b in zip(g[:20], t[:20])) <= most}
-    for strategy in ("broadcast", "halves", "auto"):
+    for strategy in ("scan", "probe", "halves", "auto"):
         got = search.discover(guides, found, NGG, most, strategy).collect()
         assert {(r.guide, r.bases) for r in got} == want and len(got) == len(want)
 
@@ -76,7 +76,7 @@ def test_joins_agree_with_brute_force(spark, most):
 def test_search_brings_positions(spark):
     found = some_targets(spark, 80).withColumn("positions", F.array("cnt"))
     guides = found.where(F.col("enc") % 5 == 0).select(F.col("enc").alias("guide_id"), "bases", "enc")
-    for strategy in ("broadcast", "halves"):
+    for strategy in ("scan", "probe", "halves"):
         rows = search.discover(guides, found, NGG, 4, strategy).collect()
         assert rows and all(r.positions == [r.cnt] for r in rows)
 
@@ -129,6 +129,73 @@ def test_positions_of_a_repeat_family(spark, monkeypatch):
     assert row.cnt == 7 and [(p.contig, p.start, p.fwd) for p in row.positions] == [(c, s, f) for c, _, s, f in want]
 
 
+def test_no_task_meets_all_places_of_a_repeat_family(spark):
+    """A target with a million places over ten contigs: lists hold a stretch each, only its first places are merged."""
+    sites_of = spark.range(1_000_000).select(
+        F.concat(F.lit("c"), (F.col("id") % 10)).alias("contig"), (F.col("id") % 10).alias("contig_idx"), F.floor(F.col("id") / 10).alias("start"),
+        (F.floor(F.col("id") / 10) + 23).alias("stop"), F.lit("A" * 21 + "GG").alias("bases"), F.lit(True).alias("fwd"),
+    )
+    seen, real = [], targets.cut
+    targets.cut = lambda df, label: [out := real(df, label), label == "stretches" and seen.append(out)][0]
+    try:
+        row = targets.build_targets(sites_of, NGG).first()
+    finally:
+        targets.cut = real
+    assert row.cnt == dna.COUNT_CAP and [p.start for p in row.positions] == list(range(dna.COUNT_CAP)) and {p.contig for p in row.positions} == {"c0"}
+    assert seen[0].agg(F.max("n")).first()[0] <= 1 << targets.STRETCH < 1_000_000 / 8
+
+
+def test_score_ranges_are_even(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_SCORES", 5_000)
+    frame = spark.range(200_000).select(F.col("id").alias("guide_id"), ((F.col("id") * 7919) % 200_003).alias("s"))
+    kept, real = [], ranking.cut
+    monkeypatch.setattr(ranking, "cut", lambda df, label: [out := real(df, label), label == "score-ranges" and kept.append(out)][0])
+    got = ranking.tie_rank(frame, "s", "r", True).orderBy(F.desc("s")).select("r").collect()
+    assert [r.r for r in got] == list(range(1, 200_001))
+    sizes = sorted(r["count"] for r in kept[0].groupBy("_range").count().collect())
+    assert len(sizes) >= 40 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
+def test_nested_bins(spark):
+    """Intervals of all lengths against plain Python; one as long as a chromosome is two rows at most."""
+    rng = random.Random(4)
+    beds = [(rng.choice("ab"), s, s + rng.choice([0, 1, 50, 5_000, 4 * 10**6, 2 * 10**8]), f"r{k}", k) for k in range(150) for s in [rng.randint(0, 2 * 10**8)]]
+    beds += [("a", 0, 250_000_000, "chr", 150), ("b", 4095, 4097, "edge", 151), ("b", 8191, 2 * 10**9, "far", 152)]
+    found = [(rng.choice("abc"), s, s + n, k) for k in range(400) for s, n in [(rng.choice([rng.randint(0, 2 * 10**8), 4090, 8190, 32767]), rng.choice([1, 23, 9_000]))]]
+    frame = spark.createDataFrame(beds, "contig string, start long, stop long, name string, idx int")
+    got = intervals.overlap_join(spark.createDataFrame(found, "contig string, start long, stop long, n int"), frame, ["n"], "hit").collect()
+    want = {n: ",".join(b[3] for b in beds if b[0] == c and s < b[2] and b[1] < e) or "NA" for c, s, e, n in found}
+    assert {r.n: r.hit for r in got} == want and len(got) == 400
+    rows = frame.withColumn("_level", intervals._level("start", "stop")).select(F.size(intervals._bins("start", "stop")).alias("n"))
+    assert rows.agg(F.max("n")).first()[0] <= 2
+
+
+@pytest.mark.parametrize("split", ["1k", "7k", "128m"])
+def test_pieces_give_the_sites_of_whole_contigs(spark, tmp_path, split):
+    rng = random.Random(3)
+    seqs = {"one x": 9_000, "two": 40, "three": 20_000, "none": 0, "four": 5}
+    text = {name: "".join(rng.choice("acgtN" if k % 97 == 0 else "ACGT") for k in range(n)) for name, n in seqs.items()}
+    wrap = lambda s, n: "\n".join(s[k : k + n] for k in range(0, len(s), n))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fa").write_text(">one x\n" + wrap(text["one x"], 60) + "\n>two\r\n" + text["two"] + "\r\n>three\n" + wrap(text["three"], 71) + "\n")
+    (tmp_path / "in" / "b.fa").write_text(">none\n>four\nAC GT\ta\n")
+    text["four"] = "ACGTA"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        pieces = fasta.read_pieces(spark, str(tmp_path / "in"), *sites.halo([NGG], 6), 512)
+        rows = sorted(map(tuple, pieces.collect()), key=lambda r: (r[1], r[3]))
+        got = sites.find_sites_in(pieces, 512, [NGG], 6).drop("enzyme").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    names = ["one_x", "two", "three", "none", "four"]
+    want = [(n, k + 1, len(s), at, min(6, at), s[max(0, at - 6) : at + 512 + 28]) for k, (n, s) in enumerate(zip(names, (text[x].upper() for x in seqs))) for at in range(0, len(s), 512)]
+    assert rows == want
+    whole = spark.createDataFrame([(n, k + 1, text[x].upper()) for k, (n, x) in enumerate(zip(names, seqs))], "contig string, contig_idx long, seq string")
+    shape = lambda rows: sorted((r.contig, r.start, r.stop, r.bases, r.fwd, r.context or "") for r in rows)
+    assert shape(got) == shape(sites.find_sites(whole, NGG, 6).collect()) and got
+
+
 def test_closest_goldens(spark):
     schema = "guide_id long, guide string, bases string, cnt int, mm int"
     rows = [(1, "g", "a", 1, 1), (2, "g", "a", 40, 1), (3, "g", "a", 70, 1), (3, "g", "b", 20, 2), (3, "g", "c", 10, 4), (4, "g", "a", 5, 0)]
@@ -246,8 +313,9 @@ def test_index_round_trip_and_stream(spark, tmp_path):
     seqs = ["".join(rng.choice("ACGT") for _ in range(800)) for _ in range(3)]
     found = targets.build_targets(sites.find_sites(contigs(spark, *seqs), NGG), NGG)
     index.write_index(found, NGG, str(tmp_path / "index"))
-    back, nuclease = index.read_index(spark, str(tmp_path / "index"))
-    assert nuclease is NGG and back.count() == found.count()
+    whole = index.read_index(spark, str(tmp_path / "index"))
+    back = whole.targets
+    assert whole.enzyme is NGG and back.count() == found.count() == whole.n_targets
     contigs(spark, seqs[0]).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("contig string, contig_idx long, seq string").parquet(str(tmp_path / "in"))
     run = stream_hits(stream, back, NGG, 2).writeStream.format("memory").queryName("hits").start()
@@ -273,7 +341,7 @@ def test_randoms(spark):
 def test_targets_that_differ_in_the_pam_alone_are_guides_of_their_own(spark):
     rows = [("A" * 20 + "AGG", 1, 0), ("A" * 20 + "TGG", 2, 0)]
     found = spark.createDataFrame(rows, "bases string, cnt int, enc long")
-    guides = catalog.some_guides(found)
+    guides = catalog.as_guides(found)
     assert guides.select("guide_id").distinct().count() == 2
     hits = search.by_guide(search.discover(guides, found, catalog.NGG))
     assert sorted((r["guide"], r["n_hits"], r["ot_count"]) for r in hits.collect()) == [(b, 2, 3) for b, _, _ in rows]
