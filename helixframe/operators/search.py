@@ -165,14 +165,17 @@ def rounds(bins: list[tuple[int, int]], first: int = FIRST_ROUND) -> list[tuple[
 
 def discover_until(
     guides: DataFrame, targets: DataFrame, enzyme: Enzyme, most: int = MAX_MISMATCHES, limit: int = MAX_OFF_TARGETS, strategy: str = "auto",
-    bins: list[tuple[int, int]] | None = None, first: int = FIRST_ROUND,
+    bins: list[tuple[int, int]] | None = None, first: int | None = None,
 ) -> DataFrame:
     """The same rows as ``overflow`` of all hits, but a guide is searched no further than to its limit.
 
     Targets are met in rounds over their bins in traversal order, each as large as all before it, so few are needed; guides that reached
     the limit leave after each.  Only hits before the limit are written.  ``bins`` are the numbers and sizes of at most
-    4^7 bins, as an index lists them.
+    4^7 bins, as an index lists them.  The first round holds about ``first`` targets, or at least as many as the guides have
+    keys, so that listing these again in each round never outweighs the targets.
     """
+    if first is None:
+        first = max(FIRST_ROUND, guides.count() * sum(neighbours(size, most // 2) for size, _ in enzyme.halves))
     if bins is None:
         counted = targets.groupBy(bin_number(F.col("enc"), enzyme).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
         bins = [tuple(r) for r in counted.collect()]
