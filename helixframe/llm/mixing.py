@@ -10,8 +10,8 @@ into ``FAN`` x ``FAN`` ranges; sizes are summed by range, the range that holds t
 found by a running sum over at most ``FAN`` rows a source, and only that range's rows are sorted.
 
 Nulls and edge cases: a null text has size 0; a null source is a source of its own and
-comes last; a source of size 0 takes 0; documents of size 0 take 0; repeated rows draw the same
-key and are taken in turn; an empty table gives an empty result; extra columns are ignored.
+comes last; a source of size 0 takes 0; documents of size 0 take 0; a draw is made of id and text, so rows
+without ids or with one id draw apart; equal rows draw the same key and are taken in turn; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def sized(docs: DataFrame, fan: int, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of the documents with their size, draw, and ranges of draws mix_b1 and mix_b2."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    head = F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)
+    own = F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+    head = F.substring(F.md5(own), 1, 13)
     u = (F.conv(head, 16, 10).cast("double") + 1.0) / float(2**52 + 2)
     out = docs.select(*keep, size.alias("mix_size"), F.length("text").cast("double").alias("mix_chars"), u.alias("mix_u"))
     mean = F.col("mix_chars") / F.col("mix_size")
@@ -152,7 +153,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, length(text) as n,
-         (('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 1.0) / 4503599627370498.0 as u
+         (('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint::double + 1.0) / 4503599627370498.0 as u
   from documents
 ), k as (
   select *, -ln(u) / (case when size > 0 then greatest(0.1::double, 1.0::double - abs(n::double / size - 6.0) / 10.0) else 0.1::double end) as draw from d

@@ -88,3 +88,12 @@ def test_stage_of_an_empty_table(spark):
     docs = docs_of(spark, [])
     out = mixing.stage(spark, docs, "")
     assert out.columns == docs.columns and out.count() == 0
+
+
+def test_rows_without_ids_draw_apart(spark):
+    """Of rows whose id is null or the same, a share is taken like of all others."""
+    rows = [(None if k % 2 else 7, f"text number {k} of many", "a") for k in range(400)] + [(1000 + k, "w " * 30, "b") for k in range(100)]
+    out = mixing.take(*(lambda r: (r, mixing.plan(r, (2, 5)), ["doc_id", "mix_size"]))(mixing.cut(mixing.sized(docs_of(spark, rows), 64, ["doc_id", "source"]), "mix"))).collect()
+    for group in ([r for r in out if r.doc_id is None], [r for r in out if r.doc_id == 7]):
+        whole = sum(r.taken % r.mix_size == 0 and r.taken > 0 for r in group)
+        assert 0.25 * len(group) < whole < 0.75 * len(group)
