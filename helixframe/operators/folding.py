@@ -1,7 +1,8 @@
 """Minimum free energy of short RNAs by dynamic programming.
 
-Stacks, hairpins, bulges, interior loops and multiloops with dangling ends on both sides; energies
-in tenths of kcal/mol at 37 degrees.  Interior loops use the general size and asymmetry terms.  All sequences of a batch
+Stacks, hairpins with bonuses of stable tetraloops, bulges, interior loops and multiloops with dangling ends on both
+sides; energies in tenths of kcal/mol at 37 degrees.  Interior loops of 1x1, 2x1 and 2x2 bases have
+tables, which ``loops_by_rule`` fills from closing pairs and mismatches unless others are given.  All sequences of a batch
 are folded side by side in numpy, so the loops run once a batch, not once a row.
 """
 
@@ -44,6 +45,17 @@ DANGLE5 = ((-5, -3, -2, -1), (-2, -3, 0, 0), (-3, -3, -4, -2), (-3, -1, -2, -2),
 HAIRPIN = (0, 0, 0, 57, 56, 56, 54, 59, 56, 64)
 BULGE = (0, 38, 28, 32, 36, 40, 44, 46, 47, 48)
 INTERIOR = (0, 0, 41, 51, 17, 18, 20, 22, 23, 24)
+# Bonuses of hairpins of four bases, by the bases with their closing pair.
+TETRALOOPS = {
+    "GGGGAC": -30, "GGUGAC": -30, "CGAAAG": -30, "GGAGAC": -30, "CGCAAG": -30, "GGAAAC": -30, "CGGAAG": -30, "CUUCGG": -30,
+    "CGUGAG": -30, "CGAAGG": -25, "CUACGG": -25, "GGCAAC": -25, "CGCGAG": -25, "UGAGAG": -25, "CGAGAG": -20, "AGAAAU": -20,
+    "CGUAAG": -20, "CUAACG": -20, "UGAAAG": -20, "GGAAGC": -15, "GGGAAC": -15, "UGAAAA": -15, "AGCAAU": -15, "AGUAAU": -15,
+    "CGGGAG": -15, "AGUGAU": -15, "GGCGAC": -15, "GGGAGC": -15, "GUGAAC": -15, "UGGAAA": -15,
+}
+# Interior loops: a closing pair other than CG and GC, first mismatches AG and GA, UU.
+INTERIOR_AU, INTERIOR_AG, INTERIOR_UU = 7, -11, -7
+# Small loops by the number of closing pairs other than CG and GC: 1x1, 1x1 of two G, 2x1, 2x2 without mismatch bonuses.
+LOOP_1X1, LOOP_1X1_GG, LOOP_2X1, LOOP_2X2 = (4, 11, 17), (-14, -10, -4), (23, 30, 37), (11, 18, 25)
 TERMINAL_AU, ASYMMETRY, MOST_ASYMMETRY = 5, 5, 30
 MULTI_CLOSE, MULTI_BRANCH, MULTI_FREE = 34, 4, 0
 LONGEST_LOOP = 30
@@ -62,10 +74,46 @@ def _table(values: tuple) -> np.ndarray:
 
 _STACK, _MISMATCH, _DANGLE3, _DANGLE5 = np.array(STACK, np.int32), _table(MISMATCH), _table(DANGLE3), _table(DANGLE5)
 _KIND = np.array([[PAIRS.index(a + b) if a + b in PAIRS else -1 for b in _BASES + "N"] for a in _BASES + "N"])
+_TETRALOOP = np.zeros((5,) * 6, np.int32)
+for _letters, _bonus in TETRALOOPS.items():
+    _TETRALOOP[tuple(_BASES.index(b) for b in _letters)] = _bonus
 
 
-def energies(letters: np.ndarray) -> np.ndarray:
+def _first_mismatch() -> np.ndarray:
+    """Bonuses of the bases beside a pair that closes an interior loop."""
+    out = np.zeros((5, 5), np.int32)
+    a, g, u = (_BASES.index(b) for b in "AGU")
+    out[a, g] = out[g, a] = INTERIOR_AG
+    out[u, u] = INTERIOR_UU
+    return out
+
+
+_BESIDE = _first_mismatch()
+
+
+def loops_by_rule() -> dict[str, np.ndarray]:
+    """Tables of small interior loops by outer pair, inner pair read from inside the loop, and bases of the loop (4: no base).
+
+    ``1x1``: base after the outer pair's first, base before its second.  ``2x1``: the single base of the
+    short side, then the long side's from 5' to 3', seen from the pair whose first base is followed by the single one.
+    ``2x2``: two bases of the 5' side, then two of the 3' side.
+    """
+    weak = np.array([k > 1 for k in range(len(PAIRS))], np.int64)
+    weak = weak[:, None] + weak[None, :]
+    one = np.broadcast_to(np.array(LOOP_1X1)[weak][:, :, None, None], (6, 6, 5, 5)).astype(np.int32)
+    g = _BASES.index("G")
+    one[:, :, g, g] = np.array(LOOP_1X1_GG)[weak]
+    two = np.broadcast_to(np.array(LOOP_2X1)[weak][:, :, None, None, None], (6, 6, 5, 5, 5)).astype(np.int32)
+    bonus = _BESIDE[:, None, None, :] + np.transpose(_BESIDE)[None, :, :, None]  # outer sees (5' first, 3' last), inner (3' first, 5' last)
+    return {"1x1": one, "2x1": two, "2x2": (np.array(LOOP_2X2)[weak][:, :, None, None, None, None] + bonus).astype(np.int32)}
+
+
+_LOOPS = loops_by_rule()
+
+
+def energies(letters: np.ndarray, loops: dict[str, np.ndarray] | None = None) -> np.ndarray:
     """Energies of sequences of one length, a row of base numbers each (4: no base); all rows are folded side by side."""
+    small = _LOOPS | (loops or {})
     rows, n = letters.shape
     code = letters.T.astype(np.int64)
     kind = {(i, j): _KIND[code[i], code[j]] for i in range(n) for j in range(n) if i != j}
@@ -90,13 +138,26 @@ def energies(letters: np.ndarray) -> np.ndarray:
             size = a + b
             bulge = _length(BULGE, size) if size else 0
             return bulge + (_STACK[outer, inner] if size < 2 else au(outer) + au(inner))
-        return _length(INTERIOR, a + b) + min(MOST_ASYMMETRY, ASYMMETRY * abs(a - b)) + np.where(outer > 1, 7, 0) + np.where(inner > 1, 7, 0)
+        five, three = code[i + 1 : p], code[q + 1 : j]
+        if a == 1 and b == 1:
+            return small["1x1"][outer, inner, five[0], three[0]]
+        if a == 1 and b == 2:
+            return small["2x1"][outer, inner, five[0], three[0], three[1]]
+        if a == 2 and b == 1:
+            return small["2x1"][inner, outer, three[0], five[0], five[1]]
+        if a == 2 and b == 2:
+            return small["2x2"][outer, inner, five[0], five[1], three[0], three[1]]
+        beside = _BESIDE[five[0], three[-1]] + _BESIDE[three[0], five[-1]]
+        weak = INTERIOR_AU * ((outer > 1).astype(np.int32) + (inner > 1))
+        return _length(INTERIOR, a + b) + min(MOST_ASYMMETRY, ASYMMETRY * abs(a - b)) + weak + beside
 
     for span in range(4, n):
         for i in range(n - span):
             j, size = i + span, span - 1
             best = _length(HAIRPIN, size) + (au(kind[i, j]) if size == 3 else _MISMATCH[kind[i, j], code[i + 1], code[j - 1]])
-            for p in range(i + 1, min(j - 5, i + LONGEST_LOOP + 2)):
+            if size == 4:
+                best = best + _TETRALOOP[tuple(code[i : j + 1])]
+            for p in range(i + 1, min(j - 4, i + LONGEST_LOOP + 2)):
                 for q in range(max(p + 4, j - LONGEST_LOOP + p - i - 2), j):
                     best = np.minimum(best, loop(i, j, p, q) + pair[p, q])
             for k in range(i + 6, j - 4):
@@ -104,7 +165,7 @@ def energies(letters: np.ndarray) -> np.ndarray:
             pair[i, j] = np.where(kind[i, j] >= 0, best, _NO)
             best = np.minimum(multi[i + 1, j], multi[i, j - 1]) + MULTI_FREE
             best = np.minimum(best, np.where(kind[i, j] >= 0, pair[i, j] + MULTI_BRANCH + ends(i, j), _NO))
-            for k in range(i + 5, j - 4):
+            for k in range(i + 5, j - 3):
                 best = np.minimum(best, multi[i, k - 1] + multi[k, j])
             multi[i, j] = np.minimum(best, _NO)
     open_ = np.zeros((n + 1, rows), np.int32)
@@ -116,12 +177,12 @@ def energies(letters: np.ndarray) -> np.ndarray:
     return open_[n] / 10.0
 
 
-def energy(sequence: str) -> float:
+def energy(sequence: str, loops: dict[str, np.ndarray] | None = None) -> float:
     """Minimum free energy in kcal/mol; 0 for sequences that do not fold."""
-    return float(_energies_of(pd.Series([sequence]))[0])
+    return float(_energies_of(pd.Series([sequence]), loops)[0])
 
 
-def _energies_of(sequences: pd.Series) -> pd.Series:
+def _energies_of(sequences: pd.Series, loops: dict[str, np.ndarray] | None = None) -> pd.Series:
     """Energies in kcal/mol; sequences of one length are folded together, null stays null."""
     texts = sequences.str.upper().str.replace("T", "U")
     out = pd.Series(np.nan, index=sequences.index)
@@ -130,20 +191,23 @@ def _energies_of(sequences: pd.Series) -> pd.Series:
     for n, group in texts.groupby(texts.str.len()):
         if n:
             raw = np.frombuffer("".join(group).encode("ascii", "replace"), np.uint8).reshape(len(group), int(n))
-            out[group.index] = energies(place[raw])
+            out[group.index] = energies(place[raw], loops)
         else:
             out[group.index] = 0.0
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def free_energy(sequences: pd.Series) -> pd.Series:
-    return _energies_of(sequences)
+def folding(guides: DataFrame, enzyme: Enzyme, shortest: int, loops: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """A column ``free_energy_n`` for each length from ``shortest`` to the guide's, nearest the PAM.
 
-
-def folding(guides: DataFrame, enzyme: Enzyme, shortest: int) -> DataFrame:
-    """A column ``free_energy_n`` for each length from ``shortest`` to the guide's, nearest the PAM."""
+    ``loops`` replaces tables of ``loops_by_rule``, such as measured ones.
+    """
     first, size = enzyme.compared
+
+    @F.pandas_udf(T.DoubleType())
+    def free_energy(sequences: pd.Series) -> pd.Series:
+        return _energies_of(sequences, loops)
+
     out = guides
     for n in range(shortest, size + 1):
         at = first if enzyme.five_prime else first + size - n

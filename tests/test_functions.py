@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,84 @@ def test_schulze(spark):
     votes = [[rng.randint(1, 9), rng.randint(1, 9)] for _ in range(25)]
     frame = spark.createDataFrame([(k, *v) for k, v in enumerate(votes)], "id int, a int, b int")
     assert [(r.score, r.rank) for r in schulze(frame, ["a", "b"], "id").orderBy("id").collect()] == widest(votes)
+
+
+def structures(rna, i, j):
+    """All sets of nested pairs of rna[i:j] with at least three bases in a hairpin."""
+    if j - i < 5:
+        return [()]
+    out = list(structures(rna, i + 1, j))
+    for k in range(i + 4, j):
+        if rna[i] + rna[k] in folding.PAIRS:
+            out += [((i, k), *a, *b) for a in structures(rna, i + 1, k) for b in structures(rna, k + 1, j)]
+    return out
+
+
+def loop_energy(rna, i, j, inner, loops):
+    """Energy of the loop that pair (i, j) closes around the pairs ``inner``."""
+    kind = lambda a, b: folding.PAIRS.index(rna[a] + rna[b])
+    base = lambda k: "ACGU".index(rna[k])
+    weak = lambda *pairs: sum(rna[a] + rna[b] not in ("CG", "GC") for a, b in pairs)
+    side = lambda a, b: {"AG": folding.INTERIOR_AG, "GA": folding.INTERIOR_AG, "UU": folding.INTERIOR_UU}.get(rna[a] + rna[b], 0)
+    if not inner:
+        size = j - i - 1
+        if size == 3:
+            return folding.HAIRPIN[3] + folding.TERMINAL_AU * weak((i, j))
+        return folding._length(folding.HAIRPIN, size) + folding.MISMATCH[kind(i, j)][base(i + 1)][base(j - 1)] + folding.TETRALOOPS.get(rna[i : j + 1], 0)
+    if len(inner) > 1:
+        total = folding.MULTI_CLOSE + folding.MULTI_BRANCH * (len(inner) + 1) + folding.TERMINAL_AU * weak((i, j), *inner)
+        total += folding.DANGLE5[kind(j, i)][base(j - 1)] + folding.DANGLE3[kind(j, i)][base(i + 1)]
+        return total + sum(folding.DANGLE5[kind(p, q)][base(p - 1)] + folding.DANGLE3[kind(p, q)][base(q + 1)] for p, q in inner)
+    ((p, q),) = inner
+    a, b, out, into = p - i - 1, j - q - 1, kind(i, j), kind(q, p)
+    if a + b == 0:
+        return folding.STACK[out][into]
+    if min(a, b) == 0:
+        return folding._length(folding.BULGE, a + b) + (folding.STACK[out][into] if a + b == 1 else folding.TERMINAL_AU * weak((i, j), (p, q)))
+    left, right = [base(k) for k in range(i + 1, p)], [base(k) for k in range(q + 1, j)]
+    if (a, b) == (1, 1):
+        return int(loops["1x1"][(out, into, *left, *right)])
+    if (a, b) == (1, 2):
+        return int(loops["2x1"][(out, into, *left, *right)])
+    if (a, b) == (2, 1):
+        return int(loops["2x1"][(into, out, *right, *left)])
+    if (a, b) == (2, 2):
+        return int(loops["2x2"][(out, into, *left, *right)])
+    size = folding._length(folding.INTERIOR, a + b) + min(folding.MOST_ASYMMETRY, folding.ASYMMETRY * abs(a - b))
+    return size + folding.INTERIOR_AU * weak((i, j), (p, q)) + side(i + 1, j - 1) + side(q + 1, p - 1)
+
+
+def structure_energy(rna, pairs, loops):
+    inside = lambda i, j: [(p, q) for p, q in pairs if i < p and q < j and not any(i < a < p and q < b < j for a, b in pairs)]
+    total = sum(loop_energy(rna, i, j, inside(i, j), loops) for i, j in pairs)
+    for i, j in inside(-1, len(rna)):
+        kind = folding.PAIRS.index(rna[i] + rna[j])
+        total += folding.TERMINAL_AU * (kind > 1)
+        total += folding.DANGLE5[kind]["ACGU".index(rna[i - 1])] if i else 0
+        total += folding.DANGLE3[kind]["ACGU".index(rna[j + 1])] if j + 1 < len(rna) else 0
+    return total
+
+
+@pytest.mark.parametrize("measured", [False, True])
+def test_folding_equals_the_best_of_all_structures(measured):
+    rng, loops, given = random.Random(11), folding.loops_by_rule(), None
+    if measured:  # tables without any symmetry, strong enough to decide
+        noise = np.random.default_rng(5)
+        given = loops = {k: noise.integers(-90, 10, t.shape).astype(np.int32) for k, t in loops.items()}
+    texts = ["".join(rng.choice("GGCCAU") for _ in range(rng.choice((10, 12, 13, 14)))) for _ in range(200)]
+    texts += ["GGAGAAACACC", "GCAGAAAACGC", "GGAAGAAACAACC", "GGCGAAAGCC", "GGGAAACGAAACC", "CGGAAACGGAAACG", "GGAGAAACAACC", "GGAAGAAACACC"]
+    texts += ["GG" + "A" * a + "GCAAAGC" + "U" * b + "CC" for a, b in ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 2))]
+    got = folding._energies_of(pd.Series(texts), given)
+    for rna, energy in zip(texts, got):
+        assert energy == pytest.approx(min(structure_energy(rna, pairs, loops) for pairs in structures(rna, 0, len(rna))) / 10), rna
+    assert sum(got < 0) > 30
+
+
+def test_small_loops_have_tables():
+    loops = folding.loops_by_rule()
+    assert {k: t.shape for k, t in loops.items()} == {"1x1": (6, 6, 5, 5), "2x1": (6, 6, 5, 5, 5), "2x2": (6, 6, 5, 5, 5, 5)}
+    stem = lambda a, b: folding.energy(f"GGC{a}GGCGAAAGCC{b}GCC")
+    assert stem("G", "G") < stem("A", "A")  # two G lie well beside each other
+    assert folding.energy("GGCGAAAGCC") < folding.energy("GGCGAAUGCC")  # a stable tetraloop
+    raised = {"1x1": loops["1x1"] + 60}
+    assert folding.energy("GGCAGGCGAAAGCCAGCC", raised) > folding.energy("GGCAGGCGAAAGCCAGCC")
