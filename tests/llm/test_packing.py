@@ -61,6 +61,41 @@ def test_plan_is_valid_and_tight(seed):
     assert valid(rows, 4096) == plan.sequences
     halves = sum(n for k, n in counts.items() if k > 2048)
     assert plan.sequences <= 1.02 * max(halves, sum(k * n for k, n in counts.items()) / 4096) + 3
+    assert plan.sequences <= packing.plan(counts, groups=160).sequences
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences over all partitions of ``lengths``."""
+    best = len(lengths)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= capacity:
+                place(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_of_few_pieces_against_all_partitions():
+    rng, more = random.Random(8), 0
+    for _ in range(400):
+        lengths = [rng.choice((rng.randint(1, 64), rng.randint(9, 40), rng.randint(1, 8))) for _ in range(rng.randint(1, 8))]
+        counts = {k: lengths.count(k) for k in set(lengths)}
+        plan = packing.plan(counts, capacity=64)
+        rows = [{"sequence_id": s + j // each, "offset": place + j % each * length, "length": length} for length, low, high, s, each, place in plan.rows for j in range(high - low)]
+        assert plan.used == counts and valid(rows, 64) == plan.sequences
+        least = fewest(lengths, 64)
+        assert least <= plan.sequences <= least + 1, lengths
+        more += plan.sequences - least
+    assert more <= 20, more
 
 
 def test_documents(spark, encoder):
