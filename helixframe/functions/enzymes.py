@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_FLIP = str.maketrans("ACGT", "TGCA")
+
 
 @dataclass(frozen=True)
 class Enzyme:
@@ -41,16 +43,10 @@ class Enzyme:
         size, shift = self.halves[k]
         return F.shiftrightunsigned(enc, shift).bitwiseAND(F.lit((1 << 2 * size) - 1).cast("bigint"))
 
-    def _end(self, window: Column, head: bool, letters: tuple[str, ...]) -> Column:
-        n = len(letters[0])
-        return F.substring(window, 1 if head else self.length - n + 1, n).isin(*letters)
-
-    def forward(self, window: Column) -> Column:
-        return self._end(window, self.five_prime, self.pams)
-
-    def backward(self, window: Column) -> Column:
-        flip = str.maketrans("ACGT", "TGCA")
-        return self._end(window, not self.five_prime, tuple(p.translate(flip)[::-1] for p in self.pams))
+    def pam(self, fwd: bool) -> tuple[int, tuple[str, ...]]:
+        """Where in a window of either strand the PAM lies (from 0), and the letters that it may have there."""
+        pams = self.pams if fwd else tuple(p.translate(_FLIP)[::-1] for p in self.pams)
+        return (0 if self.five_prime == fwd else self.length - len(pams[0])), pams
 
     def bin(self, bases: Column, bin_size: int = 7) -> Column:
         """The first bases in traversal order: behind a 5' PAM, else the first of all."""

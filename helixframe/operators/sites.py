@@ -35,9 +35,8 @@ def _pattern(enzymes: list[Enzyme]) -> str:
     """Zero-width pattern of the places where a window of some enzyme may begin."""
     heads, tails = set(), defaultdict(set)
     for e in enzymes:
-        for pams, head in ((e.pams, e.five_prime), (tuple(dna.flipped(p) for p in e.pams), not e.five_prime)):
-            for pam in pams:
-                heads.add(pam) if head else tails[e.length - len(pam)].add(pam)
+        for at, pams in (e.pam(True), e.pam(False)):
+            (tails[at] if at else heads).update(pams)
     ways = sorted(heads) + [f".{{{n}}}(?:{'|'.join(sorted(pams))})" for n, pams in sorted(tails.items())]
     return f"(?s)(?={'|'.join(ways)})"
 
@@ -77,25 +76,29 @@ def find_sites_in(rows: DataFrame, size: int, enzymes: list[Enzyme], flank: int
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
     step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
     starts = F.filter(F.aggregate(F.split(scanned, _pattern(enzymes), -1), zero, step, lambda acc: acc["all"]), lambda k: k < CHUNK)
-    rows = rows.withColumn("clean", ~F.col("piece").rlike("[^ACGT]"))
+    # The other strand is read once a chunk, not once a site.
+    rows = rows.withColumns({"clean": ~F.col("piece").rlike("[^ACGT]"), "back": dna.reverse_complement(F.col("piece")), "letters": F.length("piece")})
     rows = rows.withColumn("k", F.explode(starts)).withColumn("start", F.col("base") + F.col("k"))
 
-    window = lambda n: F.substring("piece", F.col("lead") + F.col("k") + 1, n if isinstance(n, Column) else F.lit(n))
+    # Enzymes share the few letters that decide.
+    pams = {(e, fwd): e.pam(fwd) for e in enzymes for fwd in (True, False)}
+    ends = {(at, len(letters[0])): f"end_{at}_{len(letters[0])}" for at, letters in pams.values()}
+    rows = rows.withColumns({name: F.substring("piece", F.col("lead") + F.col("k") + 1 + at, F.lit(n)) for (at, n), name in ends.items()})
     found = []
-    for e in enzymes:
-        w = window(e.length)
-        inside = (F.col("start") + e.length <= F.col("size")) & (F.col("clean") | ~w.rlike("[^ACGT]"))
-        for fwd, good in ((True, e.forward(w)), (False, e.backward(w))):
-            found.append(F.when(inside & good, F.struct(F.lit(e.name).alias("enzyme"), F.lit(e.length).alias("n"), F.lit(fwd).alias("fwd"))))
+    for (e, fwd), (at, letters) in pams.items():
+        inside = (F.col("start") + e.length <= F.col("size")) & (F.col("clean") | ~F.substring("piece", F.col("lead") + F.col("k") + 1, F.lit(e.length)).rlike("[^ACGT]"))
+        good = F.col(ends[at, len(letters[0])]).isin(*letters)
+        found.append(F.when(good & inside, F.struct(F.lit(e.name).alias("enzyme"), F.lit(e.length).alias("n"), F.lit(fwd).alias("fwd"))))
     rows = rows.withColumn("f", F.explode(F.array_compact(F.array(*found))))
-    rows = rows.select("contig", "contig_idx", "size", "start", "lead", "k", "piece", "f.enzyme", "f.n", "f.fwd")
+    rows = rows.select("contig", "contig_idx", "size", "start", "lead", "k", "piece", "back", "letters", "f.enzyme", "f.n", "f.fwd")
     whole = (F.col("start") >= flank) & (F.col("start") + F.col("n") + flank <= F.col("size"))
-    around = F.substring("piece", F.col("lead") + F.col("k") + 1 - flank, F.col("n") + 2 * flank)
-    strand = lambda c: F.when(F.col("fwd"), c).otherwise(dna.reverse_complement(c))
-    return rows.select(
-        "enzyme", "contig", "contig_idx", "start", (F.col("start") + F.col("n")).alias("stop"),
-        strand(window(F.col("n"))).alias("bases"), "fwd", F.when(whole, strand(around)).alias("context"),
-    )
+    first = F.col("lead") + F.col("k")
+
+    def strand(around: int) -> Column:
+        n = F.col("n") + 2 * around
+        return F.when(F.col("fwd"), F.substring("piece", first + 1 - around, n)).otherwise(F.substring("back", F.col("letters") - first - F.col("n") + 1 - around, n))
+
+    return rows.select("enzyme", "contig", "contig_idx", "start", (F.col("start") + F.col("n")).alias("stop"), strand(0).alias("bases"), "fwd", F.when(whole, strand(flank)).alias("context"))
 
 
 def find_sites(contigs: DataFrame, enzyme: Enzyme, flank: int = 0) -> DataFrame:
