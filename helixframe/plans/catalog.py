@@ -557,6 +557,19 @@ def tranche(spark, sf_dir):
     return _ranked(spark, sf_dir).select("guide_id", "tranche")
 
 
+@query(
+    f"{TARGETS}, scored as (select bases as guide_id, case when enc % 7 > 0 then cnt else {int(ranking.WORST_HIGH)} end::double as a, case when enc % 5 > 0 then enc % 1009 else {int(ranking.WORST_LOW)} end::double as b from targets), "
+    f"r as (select *, {_RANK('a', 'desc')} as rank_a, {_RANK('b', 'asc')} as rank_b from scored), m as (select *, (rank_a + rank_b) / 2.0::double as median from r) "
+    f"select guide_id, rank_a::bigint as rank_a, rank_b::bigint as rank_b, {_RANK('median', 'asc')}::bigint as median_rank from m"
+)
+def rank_missing(spark, sf_dir):
+    """A seventh of one score is missing and a fifth of the other is no number; these rank as the worst."""
+    rows = ngg_targets(spark, sf_dir).select(
+        F.col("bases").alias("guide_id"), F.when(F.col("enc") % 7 > 0, F.col("cnt")).alias("a"), F.when(F.col("enc") % 5 > 0, (F.col("enc") % 1009).cast("string")).otherwise("NA").alias("b")
+    )
+    return ranking.aggregate_ranks(rows, {"a": True, "b": False}).select("guide_id", "rank_a", "rank_b", "median_rank")
+
+
 @query(_RANKED + "select guide_id, top_x from (select guide_id, row_number() over (order by median, guide_id) as top_x, n from k) where top_x <= least(ceil(n / 4.0::double), 1000)")
 def top_x(spark, sf_dir):
     return _ranked(spark, sf_dir).where("top_x is not null").select("guide_id", "top_x")
@@ -694,6 +707,17 @@ def index_bins(spark, sf_dir):
     return ngg_index(spark, sf_dir).bins.select("half", "bin", "targets", "occurrences")
 
 
+@query(
+    TARGETS + "select 0 as half, bases, row_number() over (order by enc >> 20, bases) as place from targets "
+    "union all select 1, bases, row_number() over (order by enc & 1048575, bases) from targets"
+)
+def index_order(spark, sf_dir):
+    """The place of every target in both sorted copies, as the files hold them."""
+    index = ngg_index(spark, sf_dir)
+    first, second = (index.places(half).select(F.lit(half).alias("half"), "bases", "place") for half in (0, 1))
+    return first.unionByName(second)
+
+
 @query(f"with {GENOME_SQL} select doc_id::varchar as contig, doc_id as contig_idx, length(seq)::bigint as length from chunked")
 def index_contigs(spark, sf_dir):
     return ngg_index(spark, sf_dir).contigs

@@ -190,3 +190,14 @@ def test_guides_have_all_bases_at_every_place(spark):
     found = catalog.ngg_targets(spark, "/root/testdata/sf0.001")
     at_end = catalog.some_guides(found).groupBy(F.substring("bases", 20, 1).alias("base")).count().collect()
     assert {r["base"] for r in at_end} == set("ACGT")
+
+
+def test_places_follow_the_files(spark, tmp_path):
+    texts = texts_of(500, 9)
+    target_index.write_index(target_frame(spark, texts), NGG, str(tmp_path / "index"))
+    index = target_index.read_index(spark, str(tmp_path / "index"))
+    for half, key in ((0, lambda b: (b[:10], b)), (1, lambda b: (b[10:20], b))):
+        got = sorted((r.place, r.bases) for r in index.places(half).collect())
+        assert got == list(enumerate(sorted(texts, key=key), 1))
+    target_index.write_index(target_frame(spark, texts).limit(0), NGG, str(tmp_path / "none"))
+    assert target_index.read_index(spark, str(tmp_path / "none")).places(0).count() == 0
