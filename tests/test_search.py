@@ -201,3 +201,38 @@ def test_places_follow_the_files(spark, tmp_path):
         assert got == list(enumerate(sorted(texts, key=key), 1))
     target_index.write_index(target_frame(spark, texts).limit(0), NGG, str(tmp_path / "none"))
     assert target_index.read_index(spark, str(tmp_path / "none")).places(0).count() == 0
+
+
+@pytest.mark.parametrize("name", ["spcas9ngg", "cpf1", "spcas9ngg19"])
+@pytest.mark.parametrize("most", [1, 4])
+def test_dealt_pairs_equal_brute_force(spark, name, most, monkeypatch):
+    """Few pairs at once and four bases a deal; strings that share their compared bases are pairs of their own."""
+    monkeypatch.setattr(search, "AT_ONCE", 7)
+    e, rng = enzyme(name), random.Random(most)
+    first = e.compared[0] - 1
+    texts = sorted({t[: e.length] for t in texts_of(60, 5, e)})
+    every = sorted({*texts, *(changed(t, rng.sample(range(e.guide), rng.randint(0, 6)), rng, first) for t in texts for _ in range(5)), *("A" + t[1:] if e.five_prime else t[:20] + "A" + t[21:] for t in texts)})
+    found = target_frame(spark, every, e).repartition(3)
+    guides = guide_frame(found.where(F.col("bases").isin(texts)))
+    part = lambda b: b[first : first + e.guide]
+    want = {(g, t, n) for g in texts for t in every for n in [sum(a != b for a, b in zip(part(g), part(t)))] if n <= most}
+    for n_targets in (len(every), 1 << 28):
+        got = search.discover(guides, found, e, most, "halves", n_targets).collect()
+        assert {(r.guide, r.bases, r.mm) for r in got} == want and len(got) == len(want)
+
+
+def test_guides_are_shuffled_without_their_neighbours(spark, tmp_path):
+    """A guide has 872 neighbours within 2 mismatches of either half; 74 rows of it are dealt."""
+    assert sum(search.neighbours(search.dealt(size, 10**6), 2) for size, _ in NGG.halves) == 74
+    target_frame(spark, texts_of(2_000, 7)).write.parquet(str(tmp_path / "targets"))
+    found = spark.read.parquet(str(tmp_path / "targets"))
+    hits = search.discover(guide_frame(found), found, NGG, 4, "halves")
+    hits.collect()
+    nodes, most = [hits._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
+        nodes += children
+    assert found.count() < most <= 74 * found.count()
