@@ -345,3 +345,24 @@ def test_targets_that_differ_in_the_pam_alone_are_guides_of_their_own(spark):
     assert guides.select("guide_id").distinct().count() == 2
     hits = search.by_guide(search.discover(guides, found, catalog.NGG))
     assert sorted((r["guide"], r["n_hits"], r["ot_count"]) for r in hits.collect()) == [(b, 2, 3) for b, _, _ in rows]
+
+
+def test_sites_of_pieces_with_letters_of_several_bytes(spark):
+    """Places count letters, not bytes, whatever lies in a batch; contexts keep other letters."""
+    rng = random.Random(12)
+    body = lambda n: "".join(rng.choice("ACGTGGa") for _ in range(n))
+    texts = ["", body(30) + "é語" + body(60) + "ß" + body(30), body(5000) + "\U0001f600" + body(4000), "é" * 40, body(9000)]
+    contigs = spark.createDataFrame([(str(k), k, t) for k, t in enumerate(texts)], "contig string, contig_idx long, seq string").coalesce(1)
+    flip = lambda t: t.translate(str.maketrans("ACGTacgt", "TGCAtgca"))[::-1]
+    want = set()
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 22):
+            w = t[i : i + 23]
+            around = t[i - 6 : i + 29] if i >= 6 and i + 29 <= len(t) else None
+            if not set(w) - set("ACGT"):
+                want |= {(k, i, w, True, around)} if w.endswith("GG") else set()
+                want |= {(k, i, flip(w), False, around and flip(around))} if w.startswith("CC") else set()
+    got = sites.find_sites(contigs, NGG, 6)
+    assert not [c for c in ("lambdafunction", "regexp") if c in got._jdf.queryExecution().optimizedPlan().toString()]  # letters are scanned a batch at a time
+    got = got.collect()
+    assert {(r.contig_idx, r.start, r.bases, r.fwd, r.context) for r in got} == want and len(got) == len(want)
