@@ -210,6 +210,31 @@ def test_folding_equals_the_best_of_all_structures(measured):
     assert sum(got < 0) > 30
 
 
+def test_parts_of_a_sequence_are_folded_with_the_whole():
+    texts = pd.Series(["GCCAGGAAGTACTCGAGTAC", "AAAAAAAAAAAAAAAAAAAA", None, "GGCGAAAGCC", "", "GCNAGGAAGNACTCGAGTAC"])
+    windows = lambda n: [(0, n), (min(1, n), n), (0, max(0, n - 1)), (min(4, n), max(4, n - 2))]
+    for k, found in enumerate(folding._energies_within(texts, windows)):
+        for text, energy in zip(texts, found):
+            assert np.isnan(energy) if text is None else energy == folding.energy(text[slice(*windows(len(text))[k])])
+
+
+def test_guides_are_folded_once_for_all_lengths(spark, monkeypatch):
+    seen, fold = [], folding.window_energies
+    monkeypatch.setattr(folding, "window_energies", lambda letters, windows, loops=None: seen.append(len(letters)) or fold(letters, windows, loops))
+    found = folding._energies_within(pd.Series(["GCCAGGAAGTACTCGAGTAC"] * 3), lambda n: [(1, n), (0, n)])
+    assert seen == [3] and len(found) == 2
+    rows = spark.createDataFrame([("GCCAGGAAGTACTCGAGTACTGG",), (None,)], "bases string")
+    for name, size in (("spcas9ngg", 20), ("cpf1", 19)):
+        out = folding.folding(rows, enzyme(name), size - 1)
+        assert out.columns[0] == "bases"
+        first, size = enzyme(name).compared
+        for row in out.collect():
+            for column in out.columns[1:]:
+                n = int(column.rsplit("_", 1)[1])
+                at = first - 1 if enzyme(name).five_prime else first - 1 + size - n
+                assert row[column] == (None if row["bases"] is None else folding.energy(row["bases"][at : at + n]))
+
+
 def test_small_loops_have_tables():
     loops = folding.loops_by_rule()
     assert {k: t.shape for k, t in loops.items()} == {"1x1": (6, 6, 5, 5), "2x1": (6, 6, 5, 5, 5), "2x2": (6, 6, 5, 5, 5, 5)}
