@@ -47,7 +47,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = memoryview(lines.buffers()[2] or b"")
         files, blocks = batch.column(1).to_pylist(), batch.column(2).to_numpy()
         heads = pc.starts_with(lines, ">").to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(heads | np.append(True, blocks[1:] != blocks[:-1])).tolist() + [len(lines)]
+        # Ends of several files may begin at one offset in each and be read by one task.
+        of = batch.column(1).dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero(heads | np.append(True, (blocks[1:] != blocks[:-1]) | (of[1:] != of[:-1]))).tolist() + [len(lines)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             where, name = (files[a], int(blocks[a])), None
             if heads[a]:

@@ -196,6 +196,30 @@ def test_pieces_give_the_sites_of_whole_contigs(spark, tmp_path, split):
     assert shape(got) == shape(sites.find_sites(whole, NGG, 6).collect()) and got
 
 
+def test_ends_of_files_that_one_task_reads_stay_apart(spark, tmp_path):
+    rng, contigs = random.Random(8), {}
+    for k in range(3):
+        folder = tmp_path / "in"
+        folder.mkdir(exist_ok=True)
+        text = ""
+        for part, size in (("a", 3000), ("b", 2000), ("c", 500)):  # a split of 4096 ends within b
+            seq = contigs[f"{part}{k}"] = "".join(rng.choice("ACGT") for _ in range(size))
+            text += f">{part}{k}\n" + "\n".join(seq[x : x + 50] for x in range(0, size, 50)) + "\n"
+        (folder / f"{k}.fa").write_text(text)
+    names = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        rows = fasta.read_pieces(spark, str(tmp_path / "in"), 0, 0, 1 << 16).collect()
+        assert {r["contig"]: r["piece"] for r in rows} == contigs
+        assert [r["contig"] for r in sorted(rows, key=lambda r: r["contig_idx"])] == list(contigs)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+
 def test_closest_goldens(spark):
     schema = "guide_id long, guide string, bases string, cnt int, mm int"
     rows = [(1, "g", "a", 1, 1), (2, "g", "a", 40, 1), (3, "g", "a", 70, 1), (3, "g", "b", 20, 2), (3, "g", "c", 10, 4), (4, "g", "a", 5, 0)]
