@@ -236,3 +236,70 @@ def test_guides_are_shuffled_without_their_neighbours(spark, tmp_path):
         children = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
         nodes += children
     assert found.count() < most <= 74 * found.count()
+
+
+@pytest.mark.parametrize("name,most", [("spcas9ngg", 4), ("cpf1", 3), ("spcas9ngg19", 2)])
+def test_long_lists_are_compared_by_parts(name, most, monkeypatch):
+    """Many targets with one half: fewer comparisons than pairs of a guide and a target of its list, and the same pairs."""
+    e, rng = enzyme(name), np.random.default_rng(4)
+    low = 4 ** e.halves[1][0]
+    targets = np.unique(np.concatenate([rng.integers(0, low, 3_000), rng.integers(0, low, 3_000) * low, rng.integers(0, low, 500) * low + 5]))
+    guides = targets[::7]
+    x = targets[:, None] ^ guides
+    apart = np.bitwise_count((x | x >> 1) & int("01" * e.guide, 2))
+    want = sorted((int(targets[t]), int(guides[g]), int(apart[t, g])) for t, g in zip(*np.nonzero(apart <= most)))
+    listed, compared = search._listed, []
+    monkeypatch.setattr(search, "_listed", lambda first, n: compared.append(int(n.sum())) or listed(first, n))
+    counts = []
+    for long in (20, 1 << 40):
+        monkeypatch.setattr(search, "LONG", long)
+        monkeypatch.setattr(search, "GUIDES_AT_ONCE", 100)
+        got = []
+        for half, (size, shift) in enumerate(e.halves):
+            first = targets >> (shift + 2 * (size - 3)) & 63
+            for prefix in range(64):
+                some = targets[first == prefix]
+                at, guide, mm = search.meet(some, guides, e, most, half, prefix, 3)
+                got += zip(some[at].tolist(), guide.tolist(), mm.tolist())
+        assert sorted(got) == want
+        counts.append(sum(compared))
+        compared.clear()
+    assert counts[0] < counts[1] / 2
+
+
+def test_deals_leave_out_what_lies_behind_the_limit(spark):
+    """10,000 hits of one guide, of which 10 are needed: no deal gives more than these, and the cut-off is the same."""
+    rng = random.Random(3)
+    texts = {"TTTA" + "A" * 10 + changed("C" * 10, rng.sample(range(10), 3), rng) for _ in range(20_000)}
+    texts |= set(texts_of(2_500, 12, CPF1))
+    found = target_frame(spark, sorted(texts), CPF1).cache()
+    guides = guide_frame(found.where(F.xxhash64("bases") % 5 == 0)).unionByName(
+        spark.createDataFrame([(1, "TTTG" + "A" * 10 + "C" * 10)], "guide_id long, bases string").withColumn("enc", dna.encode(CPF1.key(F.col("bases"))))
+    ).cache()
+    every = search.discover(guides, found, CPF1, 3, "halves", 10**6).cache()
+    few = search.discover(guides, found, CPF1, 3, "halves", 10**6, 10).cache()
+    assert every.where("guide_id = 1").count() > 1_000 and few.where("guide_id = 1").count() <= 10 * 20
+    of = lambda frame: sorted((r.guide_id, r.bases, r.cnt, r.mm, r.overflowed) for r in frame.select("guide_id", "bases", "cnt", "mm", "overflowed").collect())
+    want = of(search.overflow(every, CPF1, 10))
+    assert of(search.overflow(few, CPF1, 10)) == want
+    assert of(search.discover_until(guides, found, CPF1, 3, 10, "halves")) == want
+
+
+def test_auto_leaves_no_hits_out(spark, monkeypatch):
+    """A repeat's occurrences are no limit where none is given, however the join is picked."""
+    monkeypatch.setattr(search, "pick", lambda *a: "halves")
+    texts = sorted({"A" * 17 + x + y + z + "AGG" for x in "ACGT" for y in "ACGT" for z in "ACGT"})
+    found = target_frame(spark, texts, NGG, dict.fromkeys(texts, 9_000))
+    assert search.discover(guide_frame(found), found, NGG, 4, n_targets=100).count() == len(texts) ** 2
+
+
+def test_many_guides_bring_their_names(spark, monkeypatch):
+    """Pairs are not shuffled to be named, and guides that share their compared bases all have them."""
+    found = target_frame(spark, sorted({t[:20] + n + "GG" for t in texts_of(200, 21) for n in "AC"})).cache()
+    guides = guide_frame(found)
+    rows = lambda: sorted(tuple(r) for r in search.discover(guides, found, NGG, 4, "halves").select("guide_id", "guide", "bases", "cnt", "mm").collect())
+    want = rows()
+    monkeypatch.setattr(search, "SENT_GUIDES", 10)
+    assert rows() == want and len(want) >= 4 * 200
+    plan = search.discover(guides, found, NGG, 4, "halves")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
