@@ -2,6 +2,7 @@
 
 import json
 import random
+from math import comb
 
 import numpy as np
 import pytest
@@ -303,3 +304,79 @@ def test_many_guides_bring_their_names(spark, monkeypatch):
     assert rows() == want and len(want) >= 4 * 200
     plan = search.discover(guides, found, NGG, 4, "halves")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_pairs_of_a_deal_come_in_pieces():
+    """7.8 million pairs of 4,096 guides, which were one table before."""
+    some = np.arange(4**6, dtype=np.int64)
+    sizes = [len(at) for at, _, _ in search._Deal(some, NGG, 4, 0, 0, 3).pairs(some)]
+    assert sum(sizes) == 4**6 * sum(comb(6, n) * 3**n for n in range(5)) and max(sizes) <= search.AT_ONCE
+
+
+def test_first_hits_of_many_guides_wait_for_few_pairs(monkeypatch):
+    """Guides whose hits before the limit are too many to wait together are searched in parts."""
+    some = np.arange(4**5, dtype=np.int64)
+    deal = search._Deal(some, NGG, 4, 0, 0, 3)
+    every = search._joined(list(deal.pairs(some)))
+    seen = []
+
+    def pick(at, guide, mm):  # the 20 smallest targets of a guide
+        by = np.lexsort((at, guide))
+        begins = np.searchsorted(guide[by], guide[by])
+        kept = by[np.arange(len(by)) - begins < 20]
+        seen.append(len(at))
+        return at[kept], guide[kept], mm[kept]
+
+    want = sorted(zip(*(x.tolist() for x in pick(*every))))
+    seen.clear()
+    monkeypatch.setattr(search, "PAIRS_HELD", 5_000)
+    monkeypatch.setattr(search, "AT_ONCE", 1_000)
+    got = [x.tolist() for x in search._joined(list(deal.first_hits(some, pick)))]
+    assert sorted(zip(*got)) == want and max(seen) <= 6_000 + 4**5
+
+
+def test_deals_hold_few_targets():
+    """Where many targets begin alike a deal has more bases, and those of one half are dealt by a hash; guides reach the deals of all their targets."""
+    rng = np.random.default_rng(6)
+    low = 4**10
+    targets = np.unique(np.concatenate([rng.integers(0, low * low, 3_000), rng.integers(0, low, 3_000) + 77 * low, rng.integers(0, low, 3_000) * low + 5, 4**14 + rng.integers(0, 4**14, 3_000)]))
+    lead = [targets >> 20 >> 8, (targets & (low - 1)) >> 8]
+    deals = search._Deals([np.bincount(x, minlength=4**6) for x in lead], 200)
+    first, held = [np.full(len(targets), -1) for _ in lead], {}
+    for half, x in enumerate(lead):
+        for c, by in deals.first[half].items():
+            first[half] = np.maximum(first[half], by[x >> 2 * (6 - c)])
+        assert (first[half] >= 0).all()
+        for number, n in zip(*np.unique(first[half], return_counts=True)):
+            held[int(number)] = n / deals.parts[number]
+            assert deals.of[number] == deals.of[number + deals.parts[number] - 1]
+    assert max(held.values()) <= 200 and max(deals.parts) > 1 and {c for _, c, _ in deals.of} >= {3, 6}
+    guides = targets[::40]
+    reached = {(int(g), int(d)) for guide, deal in deals.reached(guides, NGG, 4) for g, d in zip(guide, deal)}
+    x = targets[:, None] ^ guides
+    apart = lambda x: np.bitwise_count((x | x >> 1) & int("01" * 20, 2))
+    for t, g in zip(*np.nonzero(apart(x) <= 4)):
+        half = int(apart(x[t, g] >> 20) > 2)
+        number = int(first[half][t])
+        assert all((int(g), number + k) in reached for k in range(deals.parts[number]))
+
+
+@pytest.mark.parametrize("sent", [True, False])
+@pytest.mark.parametrize("name,most", [("spcas9ngg", 4), ("cpf1", 3)])
+def test_small_deals_equal_brute_force(spark, name, most, sent, monkeypatch):
+    """Targets by 50, guides by 20, pairs by 30, where most targets share a half."""
+    for key, value in {"DEAL_ROWS": 50, "COUNTED": 5, "GUIDES_AT_ONCE": 20, "PAIRS_AT_ONCE": 30, "SENT_GUIDES": 1 << 19 if sent else 10}.items():
+        monkeypatch.setattr(search, key, value)
+    e, rng = enzyme(name), random.Random(8)
+    first = e.compared[0] - 1
+    base = texts_of(1, 8, e)[0][: e.length]
+    alike = {changed(base, rng.sample(range(10), rng.randint(1, 4)), rng, first) for _ in range(300)} | {changed(base, rng.sample(range(10, 20), rng.randint(1, 4)), rng, first) for _ in range(300)}
+    texts = sorted({*alike, *(t[: e.length] for t in texts_of(300, 8, e)), *("A" + t[1:] if e.five_prime else t[:20] + "A" + t[21:] for t in alike)})
+    found = target_frame(spark, texts, e).cache()
+    guides = guide_frame(found.where(F.xxhash64("bases") % 3 == 0)).cache()
+    of = lambda hits: sorted(tuple(r) for r in hits.select("guide_id", "guide", "bases", "cnt", "mm").collect())
+    want = of(search.discover(guides, found, e, most, "scan"))
+    assert of(search.discover(guides, found, e, most, "halves", len(texts))) == want and len(want) > 20_000
+    cut_off = lambda hits: sorted(tuple(r) for r in search.overflow(hits, e, 7).select("guide_id", "bases", "cnt", "mm", "overflowed").collect())
+    few = search.discover(guides, found, e, most, "halves", len(texts), 7)
+    assert cut_off(few) == cut_off(search.discover(guides, found, e, most, "scan"))
